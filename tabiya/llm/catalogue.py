@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.llm import quality_rules
+from tabiya.llm import mixing, quality_rules, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": mixing.op3_mixing,
+    "op5_url_filters": url_filters.op5_url_filters,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+    "op5_url_filters": url_filters.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
