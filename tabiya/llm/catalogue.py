@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.llm import mixing, packing, quality_rules, token_counts, url_filters
+from tabiya.llm import mixing, packing, pii, quality_rules, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts.op2_token_counts,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": url_filters.op5_url_filters,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
