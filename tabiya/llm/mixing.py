@@ -102,16 +102,17 @@ def readings(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, written_first: bool = True) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken, n_readings and first_position (null if
-    none), range-sorted by that position."""
+    none), range-sorted by that position. Documents without one are spread by the seeded order."""
     rows = sized(docs, ())
     read = readings(written(rows, "mix-sizes") if written_first else rows)
     positions = F.transform(f"{P}readings", lambda r: r["position"])
     out = read.select(
         F.col(f"{P}id").alias("doc_id"), F.col(f"{P}size").alias("size"), F.col(f"{P}source_size").alias("source_size"), F.col(f"{P}target").alias("target"),
         F.aggregate(f"{P}readings", F.lit(0).cast("long"), lambda n, r: n + r["words"]).alias("taken"),
-        F.size(f"{P}readings").alias("n_readings"), F.round(F.array_min(positions), 6).alias("first_position"),
+        F.size(f"{P}readings").alias("n_readings"), F.round(F.array_min(positions), 6).alias("first_position"), f"{P}order",
     )
-    return out.repartitionByRange(F.col("first_position").asc_nulls_last()).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
+    by = [F.col("first_position").asc_nulls_last(), F.col(f"{P}order")]
+    return out.repartitionByRange(*by).sortWithinPartitions(*by).drop(f"{P}order")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
