@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.llm import mixing, packing, pii, quality_rules, token_counts, topk, url_filters
+from tabiya.llm import line_dedup, mixing, packing, pii, quality_rules, token_counts, topk, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op5_url_filters": url_filters.op5_url_filters,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op7_exact_topk": topk.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
