@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.llm import line_dedup, mixing, packing, pii, quality_rules, token_counts, topk, url_filters
+from tabiya.llm import line_dedup, mixing, packing, pii, quality_rules, token_counts, topk, url_filters, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality_classifier": weak_labels.op4_quality_classifier,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_exact_topk": topk.op7_exact_topk,
