@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.llm import line_dedup, mixing, packing, pii, quality_rules, token_counts, topk, url_filters, weak_labels
+from tabiya.llm import jaccard_join, line_dedup, mixing, packing, pii, quality_rules, token_counts, topk, url_filters, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_classifier": weak_labels.op4_quality_classifier,
