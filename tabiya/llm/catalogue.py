@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tabiya.llm import jaccard_join, line_dedup, mixing, packing, pii, quality_rules, token_counts, topk, url_filters, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
@@ -27,3 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_topk": topk.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabiya.llm.common import SPACES, table, written
 
@@ -218,7 +219,7 @@ def dedup(docs: DataFrame, index: LineIndex, refs: DataFrame | None = None) -> D
     rows = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_line_doc")), "left").drop("_line_doc")
     rows = rows.select(*docs.columns, F.col("_line_lost.hi").alias("_line_hi"), F.col("_line_lost.lo").alias("_line_lo"))
     place, n_own = docs.columns.index("text"), len(docs.columns)
-    out = docs.schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    out = StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
