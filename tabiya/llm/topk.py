@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabiya.llm.common import table, written
 
-BITS, BLOCK, QUERY_BLOCK, CELLS_A_GROUP = 5, 2048, 1024, 8
+BITS, BLOCK, QUERY_BLOCK, CELLS_A_GROUP = 6, 2048, 1024, 8
 
 
 def scaled(rows: DataFrame, by: float = 64.0, column: str = "embedding", key: str = "vec_id") -> DataFrame:
