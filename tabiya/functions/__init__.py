@@ -1 +1 @@
-"""."""
+"""Column functions: predicates, text analysis, record rules."""

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tabiya.plans import logs, records, structured, texts
+from tabiya.plans.standins import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: run for module in (structured, texts, logs, records) for name, run in module.CATALOGUE.queries.items()}
+ORACLES: dict[str, str] = {name: sql for module in (structured, texts, logs, records) for name, sql in module.CATALOGUE.oracles.items()}

@@ -1 +1 @@
-"""."""
+"""Scans of records and change logs, collection layouts and sinks."""

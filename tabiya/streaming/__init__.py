@@ -1 +1 @@
-"""."""
+"""Continuous ingest with Structured Streaming."""
