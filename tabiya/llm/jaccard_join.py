@@ -41,7 +41,9 @@ WORDS, PERCENT = 5, 80
 #: Bits of the Bloom filter (16 MB) and shingles in the table of frequent ones (10 MB): bounds of the broadcasts.
 BLOOM_BITS, FREQUENT = 1 << 27, 1 << 20
 #: Shingles a task gathers before it sends them; bits of a shingle that are counted.
-FLUSH, COUNTED_BITS = 4_000_000, 48
+FLUSH, COUNTED_BITS = 2_000_000, 48
+#: Shingles whose frequencies a task looks up at once.
+LOOKED_UP = 200_000
 #: Prefix lengthenings to choose from, and the cost of verifying a candidate against scanning a list entry.
 LENGTHENINGS, VERIFY_COST = (1, 2, 3, 4, 6, 8), 8.0
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
@@ -114,8 +116,8 @@ def first_pass(docs: DataFrame, shards: int) -> DataFrame:
         uid, held, gathered, seen = TaskContext.get().partitionId() << 32, [], 0, set()
         for batch in batches:
             sizes, keys = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text)
+            for value in batch.column(1):
+                s = shingle_set(value.as_py())
                 key = set_key(s)
                 sizes.append(len(s))
                 keys.append(key)
@@ -223,26 +225,33 @@ def prefixes(docs: DataFrame, known: Frequencies) -> DataFrame:
         ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([np.zeros(0, np.uint64), *arrays])))
 
+    def chosen(sets: list[np.ndarray], keys: list[bytes]) -> pa.RecordBatch:
+        levels = np.split(sent.value.level(np.concatenate([np.zeros(0, np.uint64), *sets])), np.cumsum([len(s) for s in sets])[:-1]) if sets else []
+        found = [(key, s, *adaptive_prefix(s, level)) for key, s, level in zip(keys, sets, levels, strict=True)]
+        found = [f for f in found if len(f[3])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.binary()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), lists([f[3] for f in found]), lists([f[1] for f in found])],
+            names=["key", "n", "more", "prefix", "shingles"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sets, keys = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text)
+            sets, keys, held = [], [], 0
+            for value in batch.column(0):
+                s = shingle_set(value.as_py())
                 key = set_key(s)
                 if len(s) and key not in seen:
                     seen.add(key)
                     sets.append(s)
                     keys.append(key)
+                    held += len(s)
+                if held >= LOOKED_UP:
+                    yield chosen(sets, keys)
+                    sets, keys, held = [], [], 0
+            yield chosen(sets, keys)
             if len(seen) > 1_000_000:
                 seen.clear()
-            levels = np.split(sent.value.level(np.concatenate([np.zeros(0, np.uint64), *sets])), np.cumsum([len(s) for s in sets])[:-1]) if sets else []
-            found = [(key, s, *adaptive_prefix(s, level)) for key, s, level in zip(keys, sets, levels, strict=True)]
-            found = [f for f in found if len(f[3])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.binary()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), lists([f[3] for f in found]), lists([f[1] for f in found])],
-                names=["key", "n", "more", "prefix", "shingles"],
-            )
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "key binary, n long, more int, prefix array<long>, shingles array<long>")
 
