@@ -13,9 +13,11 @@ A document's set is its distinct five-word shingles. Two documents link at Jacca
    never sent.
 4. Stars. In each shingle's list, members meet only the list's least member, so a group of thousands of near copies
    makes as many pairs as members. What verifies is joined to components.
-5. Rest. Lists whose members are still in several components are joined in full, members of different components
-   only; pairs that share enough prefix shingles and fit in size are verified. Then components are final: every pair
-   of documents that could link was verified or was already in one component.
+5. Rest. Lists whose members are still in several components are compared in full, members of different components
+   only. Short lists are joined. Long ones (many documents close to one another that don't link) are dealt in blocks;
+   a task compares two blocks by bitmaps of the sets, whose common bits bound what two sets can share, and emits only
+   pairs that may still link. Pairs that share enough prefix shingles and fit in size are verified. Then components
+   are final: every pair of documents that could link was verified or was already in one component.
 
 Defined results: words are split at blanks after lower-casing A-Z; fewer than five words are one shingle; a text
 without words, or null, has the empty set and links with nothing; rows with a null id keep it and are in the component
@@ -46,6 +48,8 @@ FLUSH, COUNTED_BITS = 2_000_000, 48
 LOOKED_UP = 200_000
 #: Prefix lengthenings to choose from, and the cost of verifying a candidate against scanning a list entry.
 LENGTHENINGS, VERIFY_COST = (1, 2, 3, 4, 6, 8), 8.0
+#: Members of a list that is joined; members of a block of a longer one; least and most bits of a set's bitmap.
+SHORT_LIST, BLOCK, BITMAP_BITS = 32, 512, (512, 1 << 16)
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
@@ -216,6 +220,38 @@ def adaptive_prefix(s: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]
     return more, s[prefix[levels[prefix] > 0]]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """About eight bits or more for each shingle, one of them set."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (8 * len(s) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block, or of two, that fit in size, are in different components, and share few enough bits apart:
+    a bit that only one of two sets has is a shingle the other lacks."""
+    group = group.sort_values("node").reset_index(drop=True)
+    node, n, label, more = (group[c].to_numpy() for c in ("node", "n", "label", "more"))
+    own, size = group["block"].to_numpy(), group["bitmap"].map(len).to_numpy()
+    two = group["low_block"].iloc[0] != group["high_block"].iloc[0]
+    out = []
+    for length in np.unique(size):  # sizes within a quarter of each other have bitmaps of one length or the next
+        maps = {i: np.unpackbits(np.frombuffer(group["bitmap"][i], np.uint8).reshape(-1, length), axis=1, bitorder="little").max(axis=0) for i in np.flatnonzero((size == length) | (size == 2 * length))}
+        left, right = np.flatnonzero(size == length), np.array(list(maps))
+        x, y = (np.stack([maps[i] for i in side]).astype(np.float32) for side in (left, right))
+        common = x @ y.T
+        most = np.minimum(n[left][:, None] - (x.sum(axis=1)[:, None] - common), n[right][None, :] - (y.sum(axis=1)[None, :] - common))
+        ok = (100 + PERCENT) * most >= PERCENT * (n[left][:, None] + n[right][None, :])
+        ok &= label[left][:, None] != label[right][None, :]
+        ok &= (size[right] != length)[None, :] | (left[:, None] < right[None, :])
+        ok &= (own[left][:, None] != own[right][None, :]) if two else True
+        i, j = np.nonzero(ok)
+        i, j = left[i], right[j]
+        out.append(pd.DataFrame({"a": np.where(label[i] < label[j], node[i], node[j]), "b": np.where(label[i] < label[j], node[j], node[i]), "more": more[i], "more_b": more[j]}))
+    return pd.concat(out)
+
+
 def prefixes(docs: DataFrame, known: Frequencies) -> DataFrame:
     """key, n, more, prefix and shingles of the sets that share a prefix shingle with some document."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -230,8 +266,8 @@ def prefixes(docs: DataFrame, known: Frequencies) -> DataFrame:
         found = [(key, s, *adaptive_prefix(s, level)) for key, s, level in zip(keys, sets, levels, strict=True)]
         found = [f for f in found if len(f[3])]
         return pa.RecordBatch.from_arrays(
-            [pa.array([f[0] for f in found], pa.binary()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), lists([f[3] for f in found]), lists([f[1] for f in found])],
-            names=["key", "n", "more", "prefix", "shingles"],
+            [pa.array([f[0] for f in found], pa.binary()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), lists([f[3] for f in found]), lists([f[1] for f in found]), pa.array([bitmap(f[1]) for f in found], pa.binary())],
+            names=["key", "n", "more", "prefix", "shingles", "bitmap"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +289,7 @@ def prefixes(docs: DataFrame, known: Frequencies) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key binary, n long, more int, prefix array<long>, shingles array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key binary, n long, more int, prefix array<long>, shingles array<long>, bitmap binary")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -292,7 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = written(first_pass(docs, shards), "shingles")
     rows = first.where("uid IS NOT NULL").select("uid", "doc_id", "n", "key")
     classes = written(rows.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_doc"), F.count("*").alias("class_size")), "classes")
-    found = prefixes(docs, frequencies(first, shards)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "more", "prefix", "shingles")])
+    found = prefixes(docs, frequencies(first, shards)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "more", "prefix", "shingles", "bitmap")])
     nodes = written(found.join(classes.select("key", "node"), "key").drop("key"), "nodes")
     entries = nodes.select("node", "n", "more", F.explode("prefix").alias("shingle"))
 
@@ -305,10 +341,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     placed = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = written(placed, "entries")
-    open_lists = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    still = placed.join(open_lists, "shingle")
-    other = still.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("more").alias("more_b"), F.col("label").alias("label_b"))
-    rest = still.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("label") < F.col("label_b")) & _fits("n", "n_b"))
+    open_lists = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low <> high").select("shingle", "many")
+    still = written(placed.join(open_lists, "shingle"), "open-entries")
+    short = still.where(F.col("many") <= SHORT_LIST).drop("many")
+    other = short.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("more").alias("more_b"), F.col("label").alias("label_b"))
+    joined = short.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("label") < F.col("label_b")) & _fits("n", "n_b"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    long = still.where(F.col("many") > SHORT_LIST).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    long = long.join(nodes.select("node", "bitmap"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = long.withColumn("low_block", F.least("block", "with")).withColumn("high_block", F.greatest("block", "with"))
+    met = long.select("shingle", "low_block", "high_block", "block", "node", "n", "more", "label", "bitmap").groupBy("shingle", "low_block", "high_block").applyInPandas(may_link, "a long, b long, more int, more_b int")
+    rest = joined.select("a", "b", "more", "more_b").unionByName(met)
     rest_links = written(verified(enough(rest), nodes), "rest-links")
     final = components(star_links.unionByName(rest_links))
 
