@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 def all_of(predicates: Iterable[Column | None]) -> Column:
     """AND of those that are there; without any, everything matches."""
-    return reduce(and_, [p for p in predicates if p is not None], F.lit(True))
+    asked = [p for p in predicates if p is not None]
+    return reduce(and_, asked) if asked else F.lit(True)
 
 
 def any_of(predicates: Iterable[Column]) -> Column:
-    return reduce(or_, predicates, F.lit(False))
+    """OR of the predicates; without any, nothing matches."""
+    predicates = list(predicates)
+    return reduce(or_, predicates) if predicates else F.lit(False)
 
 
 def at_least(predicates: Iterable[Column], m: int) -> Column:
