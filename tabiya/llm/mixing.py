@@ -93,7 +93,7 @@ def readings(rows: DataFrame) -> DataFrame:
 
     def reading(pass_no: Column) -> Column:
         taken = F.when(pass_no < F.col(f"{P}passes"), F.col(f"{P}size")).otherwise(last)
-        done = (pass_no * F.col(f"{P}source_size") + F.col(f"{P}before") + taken / 2) / F.col(f"{P}take")
+        done = (pass_no * F.col(f"{P}source_size") + F.col(f"{P}before") + taken / 2) / F.greatest(F.col(f"{P}take"), F.lit(1))
         return F.struct(taken.alias("words"), due(done).alias("position"))
 
     passes = F.sequence(F.lit(0).cast("long"), F.col(f"{P}passes"))
