@@ -15,25 +15,25 @@ def ids(frame):
 
 @pytest.fixture(scope="module")
 def forum(spark):
-    return spark.createDataFrame([("forum_id", "a forum post", "chess", "chess", "nt9", False, 1), ("hidden", "a forum post", "chess", "chess", "nt9", True, 2)], SPECS["forum"].schema)
+    return spark.createDataFrame([("forum_id", "a forum post", "chess", "chess", "ann1", False, 1), ("hidden", "a forum post", "chess", "chess", "ann1", True, 2)], SPECS["forum"].schema)
 
 
 def test_forum(forum):
     assert ids(search(forum, ForumQuery("chess"))) == ["forum_id"]
-    assert ids(search(forum, ForumQuery("nt9 posts"))) == ["forum_id"]
+    assert ids(search(forum, ForumQuery("ann1 posts"))) == ["forum_id"]
     assert ids(search(forum, ForumQuery("chess", troll=True))) == ["hidden", "forum_id"]
-    assert ids(search(forum, ForumQuery("user:nt9"))) == ["forum_id"] and ids(search(forum, ForumQuery("user:else"))) == []
+    assert ids(search(forum, ForumQuery("user:ann1"))) == ["forum_id"] and ids(search(forum, ForumQuery("user:else"))) == []
     assert ids(search(forum, ForumQuery(""))) == [] and ids(search(forum, ForumQuery("", empty_text="all"))) == ["forum_id"]
     assert ids(search(forum, ForumQuery("the"))) == []
 
 
 def test_ublog(spark):
-    posts = spark.createDataFrame([("abcdefgh", "lil bubber, hayo!", "en", 0, 5, 1), ("none", "lil other", "en", 3, 6, None)], SPECS["ublog"].schema)
-    assert ids(search(posts, UblogQuery("lil bubber", "score", 1))) == ["abcdefgh"]
-    assert ids(search(posts, UblogQuery("hayo", "newest", 2))) == []
-    assert ids(search(posts, UblogQuery("lil and bubber", "likes"))) == ["abcdefgh"]
-    assert ids(search(posts, UblogQuery("lil", "newest"))) == ["abcdefgh", "none"]  # quality comes before the date
-    assert ids(search(posts, UblogQuery("lil quality:1", "likes"))) == ["abcdefgh"]
+    posts = spark.createDataFrame([("abcdefgh", "tiny river, hello!", "en", 0, 5, 1), ("none", "tiny other", "en", 3, 6, None)], SPECS["ublog"].schema)
+    assert ids(search(posts, UblogQuery("tiny river", "score", 1))) == ["abcdefgh"]
+    assert ids(search(posts, UblogQuery("hello", "newest", 2))) == []
+    assert ids(search(posts, UblogQuery("tiny and river", "likes"))) == ["abcdefgh"]
+    assert ids(search(posts, UblogQuery("tiny", "newest"))) == ["abcdefgh", "none"]  # quality comes before the date
+    assert ids(search(posts, UblogQuery("tiny quality:1", "likes"))) == ["abcdefgh"]
 
 
 def test_team(spark):
