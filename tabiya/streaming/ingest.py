@@ -1,10 +1,11 @@
 """Continuous ingest: a stream of changes kept applied to a collection.
 
-A collection is a folder of snapshots, `v=<batch>`, and a file-less pointer: the snapshot with the largest number that
-was completed (`_SUCCESS`). Each micro-batch writes the next snapshot from the last one; a batch that is replayed after
-a failure writes the same number again from the same predecessor, so nothing is applied twice. Versions guard against
-files that arrive out of order. At scale a table format with MERGE takes the place of snapshots; the batch body is the
-same.
+A collection is a folder of Parquet tables: `delta=<batch>` holds the changes of one micro-batch, `base=<batch>` all
+documents up to a batch. Applying a batch writes its changes and nothing else, so its cost doesn't depend on the size of
+the collection; reading takes the newest version of each document from the last base and the deltas after it; and
+`compact`, a batch job to be run now and then, makes a new base. Only tables with `_SUCCESS` count. A batch that is
+replayed after a failure overwrites its own delta, so nothing is applied twice, and versions guard against files that
+arrive out of order. Deleted documents stay as rows until a compaction drops those older than a given version.
 """
 
 from __future__ import annotations
@@ -12,36 +13,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tabiya.operators.changes import action_counts, last_per_document, merge_versions
+from tabiya.operators.changes import DELETE, action_counts, last_per_document
 
 
 class Collection:
-    """Snapshots in a folder; paths are Hadoop's, so any shared store will do."""
+    """Paths are Hadoop's, so any shared store will do."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType):
         """schema: the documents' columns with `_id`, `version` and `deleted`."""
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.stored = StructType(list(schema.fields)).add("_batch", "long")
 
-    def _complete(self) -> list[int]:
+    def batches(self, kind: str = "delta") -> list[int]:
+        """Numbers of the completed tables."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        found = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")) or []
-        return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found)
+        found = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().removeprefix(f"{kind}=")) for f in found)
 
-    def snapshot(self, before: int | None = None) -> DataFrame:
-        """The latest snapshot (before a batch), with deleted documents as rows."""
-        done = [v for v in self._complete() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}") if done else self.spark.createDataFrame([], self.schema)
+    def snapshot(self) -> DataFrame:
+        """The newest version of each document, deleted ones as rows with `deleted`."""
+        base = self.batches("base")[-1:]
+        deltas = [n for n in self.batches() if not base or n > base[0]]
+        paths = [f"{self.path}/base={n}" for n in base] + [f"{self.path}/delta={n}" for n in deltas]
+        rows = self.spark.read.schema(self.stored).parquet(*paths) if paths else self.spark.createDataFrame([], self.stored)
+        return last_per_document(rows, "_id", ("version", "_batch")).select(*self.schema.names)
 
     def documents(self) -> DataFrame:
         return self.snapshot().where("NOT deleted").drop("version", "deleted")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         """One batch of changes (the documents' columns, version and action)."""
-        merge_versions(self.snapshot(before=batch), changes).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        rows = changes.withColumn("deleted", F.col("action") == DELETE).withColumn("_batch", F.lit(batch).cast("long"))
+        rows.select(*self.stored.names).write.mode("overwrite").parquet(f"{self.path}/delta={batch}")
+
+    def compact(self, forget_before: object = None) -> None:
+        """A new base of everything so far, without the deletions whose version is below `forget_before`."""
+        done = self.batches()
+        if not done:
+            return
+        rows = self.snapshot()
+        if forget_before is not None:
+            rows = rows.where(~F.col("deleted") | (F.col("version") >= F.lit(forget_before)))
+        rows.withColumn("_batch", F.lit(done[-1]).cast("long")).write.mode("overwrite").parquet(f"{self.path}/base={done[-1]}")
 
 
 def ingest(

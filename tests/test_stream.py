@@ -31,9 +31,16 @@ def test_stream_equals_batch_also_after_a_restart(spark, tmp_path):
         last = last_per_document(spark.createDataFrame(everything, schema))
         want = {(r.doc_id, r.value) for r in last.where("op <> 'delete'").collect()}
         assert {(r["_id"], r.value) for r in collection.documents().collect()} == want
-    before = collection._complete()
-    collection.apply(_translate(last_per_document(spark.createDataFrame(everything[-5:], schema))), before[-1])  # a batch that is run again
-    assert collection._complete() == before and {(r["_id"], r.value) for r in collection.documents().collect()} == want
+    before, shown = collection.batches(), lambda: {(r["_id"], r.value) for r in collection.documents().collect()}
+    old = _translate(last_per_document(spark.createDataFrame(_rows(9), schema)))
+    collection.apply(old, before[-1] + 1)  # changes that arrive late
+    assert shown() == want
+    collection.apply(old.limit(0), before[-1] + 1)  # a batch that is run again takes its own place
+    collection.compact()
+    assert shown() == want and collection.batches("base") == [before[-1] + 1]
+    late = spark.createDataFrame([("d1", 1000, 1000, "delete", 7), ("new", 1000, 1001, "update", 8)], schema)
+    collection.apply(_translate(last_per_document(late)), before[-1] + 2)
+    assert shown() == {w for w in want if w[0] != "d1"} | {("new", 8)}
 
 
 def test_explicit_start_and_dry_run(spark, tmp_path):
@@ -43,7 +50,7 @@ def test_explicit_start_and_dry_run(spark, tmp_path):
     document = spark.createDataFrame([], "_id string, value int, version struct<cluster_time:long,seq:long>, deleted boolean").schema
     collection = Collection(spark, str(tmp_path / "docs"), document)
     ingest(change_log(spark, log, schema, stream=True), collection, _translate, str(tmp_path / "c"), since=14, dry_run=count).awaitTermination()
-    assert sum(seen[0].values()) == len({r[0] for r in _rows(30) if r[1] >= 14 and r[0]}) and collection._complete() == []
+    assert sum(seen[0].values()) == len({r[0] for r in _rows(30) if r[1] >= 14 and r[0]}) and collection.batches() == []
 
 
 def test_collection_layout(spark, tmp_path):
