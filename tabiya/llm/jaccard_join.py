@@ -230,11 +230,12 @@ def bitmap(s: np.ndarray) -> bytes:
 
 def may_link(group: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one block, or of two, that fit in size, are in different components, and share few enough bits apart:
-    a bit that only one of two sets has is a shingle the other lacks."""
+    a bit that only one of two sets has is a shingle the other lacks. A pair is emitted in the first only of the long
+    lists that both are in, with their number."""
     group = group.sort_values("node").reset_index(drop=True)
     node, n, label, more = (group[c].to_numpy() for c in ("node", "n", "label", "more"))
     own, size = group["block"].to_numpy(), group["bitmap"].map(len).to_numpy()
-    two = group["low_block"].iloc[0] != group["high_block"].iloc[0]
+    two, here, lists = group["low_block"].iloc[0] != group["high_block"].iloc[0], group["shingle"].iloc[0], [frozenset(x) for x in group["lists"]]
     out = []
     for length in np.unique(size):  # sizes within a quarter of each other have bitmaps of one length or the next
         maps = {i: np.unpackbits(np.frombuffer(group["bitmap"][i], np.uint8).reshape(-1, length), axis=1, bitorder="little").max(axis=0) for i in np.flatnonzero((size == length) | (size == 2 * length))}
@@ -248,7 +249,10 @@ def may_link(group: pd.DataFrame) -> pd.DataFrame:
         ok &= (own[left][:, None] != own[right][None, :]) if two else True
         i, j = np.nonzero(ok)
         i, j = left[i], right[j]
-        out.append(pd.DataFrame({"a": np.where(label[i] < label[j], node[i], node[j]), "b": np.where(label[i] < label[j], node[j], node[i]), "more": more[i], "more_b": more[j]}))
+        both = [lists[a] & lists[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        first = np.array([min(c) == here for c in both], bool)
+        i, j, shared = i[first], j[first], np.array([len(c) for c in both], np.int64)[first]
+        out.append(pd.DataFrame({"a": np.where(label[i] < label[j], node[i], node[j]), "b": np.where(label[i] < label[j], node[j], node[i]), "more": more[i], "more_b": more[j], "shared": shared}))
     return pd.concat(out)
 
 
@@ -334,8 +338,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     least = entries.groupBy("shingle").agg(F.min(F.struct("node", "n", "more")).alias("b"), F.count("*").alias("many")).where("many > 1")
     stars = entries.join(least, "shingle").where(F.col("node") != F.col("b.node"))
-    stars = stars.select(F.col("node").alias("a"), "n", "more", F.col("b.node").alias("b"), F.col("b.n").alias("n_b"), F.col("b.more").alias("more_b")).where(_fits("n", "n_b"))
-    enough = lambda pairs: pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("more", "more_b")).alias("needed")).where("shared >= needed")
+    stars = stars.select(F.col("node").alias("a"), "n", "more", F.col("b.node").alias("b"), F.col("b.n").alias("n_b"), F.col("b.more").alias("more_b"), F.lit(1).cast("long").alias("shared")).where(_fits("n", "n_b"))
+    enough = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min(F.least("more", "more_b")).alias("needed")).where("shared >= needed")
     star_links = written(verified(enough(stars), nodes), "star-links")
     labels = components(star_links)
 
@@ -348,10 +352,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = short.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("label") < F.col("label_b")) & _fits("n", "n_b"))
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     long = still.where(F.col("many") > SHORT_LIST).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    long = long.join(nodes.select("node", "bitmap"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lists = long.groupBy("node").agg(F.collect_set("shingle").alias("lists"))  # at most a prefix
+    long = long.join(nodes.select("node", "bitmap").join(lists, "node"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     long = long.withColumn("low_block", F.least("block", "with")).withColumn("high_block", F.greatest("block", "with"))
-    met = long.select("shingle", "low_block", "high_block", "block", "node", "n", "more", "label", "bitmap").groupBy("shingle", "low_block", "high_block").applyInPandas(may_link, "a long, b long, more int, more_b int")
-    rest = joined.select("a", "b", "more", "more_b").unionByName(met)
+    met = long.select("shingle", "low_block", "high_block", "block", "node", "n", "more", "label", "bitmap", "lists").groupBy("shingle", "low_block", "high_block").applyInPandas(may_link, "a long, b long, more int, more_b int, shared long")
+    rest = joined.select("a", "b", "more", "more_b", F.lit(1).cast("long").alias("shared")).unionByName(met)
     rest_links = written(verified(enough(rest), nodes), "rest-links")
     final = components(star_links.unionByName(rest_links))
 
