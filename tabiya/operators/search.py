@@ -230,18 +230,21 @@ class StudyQuery:
         whole = rows.where((F.col("owner") == terms) | F.array_contains("members", terms)).select("_id", F.lit(1.0).alias("_score"))
         if not query:
             return whole
-        own = fulltext.postings(rows, {"name": F.col("name"), "topics": F.concat_ws(" ", "topics"), "description": F.col("description")})
-        scores = fulltext.best_field(own, query, {"name": 3, "topics": 2, "description": 1}, every_word=True).unionByName(whole)
+        index = fulltext.postings(rows, {"name": F.col("name"), "topics": F.concat_ws(" ", "topics"), "description": F.col("description")})
+        boosts, others = {"name": 3.0, "topics": 2.0, "description": 1.0}, whole
         if self.chapter is not None or (by_owner and self.owner_searches_chapters):
-            texts = {"name": lambda c: c["name"], "description": lambda c: c["description"]}
+            texts = {"chapters.name": lambda c: c["name"], "chapters.description": lambda c: c["description"]}
             if self.chapter is None:
                 tag = lambda name: lambda c: c["tags"][name]
-                texts |= {t: tag(t) for t in ("event", "white", "black", "opening")}
+                texts |= {f"chapters.{t}": tag(t) for t in ("event", "white", "black", "opening")}
                 exact = lambda c: p.any_of([c["tags"][t] == terms for t in ("variant", "white_fide_id", "black_fide_id", "eco")])
-                scores = scores.unionByName(rows.where(p.same_element(F.col("chapters"), exact)).select("_id", F.lit(1.0).alias("_score")))
-            inside = fulltext.element_postings(rows, "chapters", texts)
-            scores = scores.unionByName(fulltext.best_field(inside, query, dict.fromkeys(texts, 1.0)))
-        return scores.groupBy("_id").agg(F.sum("_score").alias("_score"))
+                others = others.unionByName(rows.where(p.same_element(F.col("chapters"), exact)).select("_id", F.lit(1.0).alias("_score")))
+            index = index.unionByName(fulltext.element_postings(rows, "chapters", texts))
+            boosts |= dict.fromkeys(texts, 1.0)
+        inside = F.col("field").startswith("chapters.")  # any word in one chapter's field; all words in one of the study's own
+        fields = fulltext.scored_fields(index, query, boosts).where(inside | (F.col("matched") == len(query)))
+        best = fields.groupBy("_id", inside.alias("inside")).agg(F.max("score").alias("_score")).select("_id", "_score")
+        return best.unionByName(others).groupBy("_id").agg(F.sum("_score").alias("_score"))
 
     def sort(self) -> list[Column]:
         by = {"name": F.lower("name"), "likes": F.col("likes"), "created_at": F.col("created_at"), "updated_at": F.col("updated_at"), "hot": F.col("rank")}
