@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 #: Pieces kept in a Python worker at most; beyond that the table starts anew.
-KEPT = 600_000
+KEPT = 250_000
 #: Characters on whose classes all pattern engines agree: Latin blocks, general punctuation, currency signs.
 UNCOMMON = "[^\\x00-\\u024F\\u2000-\\u206F\\u20A0-\\u20BF]"
 #: A space before other white space or at the end of the text.
