@@ -13,13 +13,20 @@ the other, modulo its size; dates (73,049 days), addresses and social-security n
 
 Everything is DataFrame functions on one row: no shuffle and no table that grows.
 
+What fails validation hides nothing: a text with such a match is searched again, and there every place and every length
+that a form allows is tried. Numbers grouped as cards are, and IBANs as long as their country has them, are taken
+first, so that a number or a capital word next to one does not become part of it; among the others the longest.
+
 Defined results: a null text stays null with no findings; what looks like a number but fails validation is left alone;
-where forms overlap the first of KINDS wins; a date with
+where valid forms overlap the leftmost wins, in one place the first of KINDS; what a text had only by chance (digits
+next to each other that pass as one number) may be seen differently in its pseudonyms, so undoing may leave it; a date with
 slashes is read day first unless only month first is a date, so undoing one of these may swap day and month; repeated rows give repeated rows; named columns are kept, others not read.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +48,24 @@ KINDS: dict[str, str] = {
     "foreign_phone": r"(?<![0-9A-Za-z+])\+[2-9][0-9]{1,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
 ANY = "|".join(f"(?:{form})" for form in KINDS.values())
+#: How card numbers are grouped, the likelier first where several begin in one place.
+CARDS = ("[0-9]{13,19}", *("[ -]?".join(f"[0-9]{{{n}}}" for n in sizes) for sizes in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (6, 13))))
+#: Countries by the length of their IBANs.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form(country: str, length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return _NO_WORD + country + f"[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "") + _END
+
+
+#: Forms that leave no choice of length; matches of ANY that no other of them could begin in; lengths of the other forms.
+EXACT = {"iban": [_iban_form(f"(?:{names.replace(' ', '|')})", n) for n, names in IBANS.items()], "card": [f"(?<![0-9]){form}(?![0-9])" for form in CARDS]}
+SURE = {"iban": EXACT["iban"], "card": EXACT["card"][:5]}
+LENGTHS = {"iban": [_iban_form("[A-Z]{2}", n) for n in range(35, 11, -1)], "foreign_phone": [KINDS["foreign_phone"].replace("{2,4}(?![0-9])", f"{{{n}}}(?![0-9])") for n in (4, 3, 2)]}
 #: A text without one of these has nothing to find; it is much faster to look for than ANY.
 HINT = r"[0-9@]|[Pp]ass|[Ss]ecret|[Tt]oken|[Kk]ey"
 #: Days 1900-01-01 to 2099-12-31 are 17 x 4297; the area codes 1-899 without 666, and the groups, are 898 x 99.
@@ -121,12 +146,31 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), step)
 
 
+def _is_card(d: Column) -> Column:
+    """Digits whose last is their check digit, and not one digit repeated."""
+    n = F.length(d)
+    return (luhn_digit(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1))) & ~d.rlike(r"^(.)\1*$")
+
+
+def _is_iban(t: Column) -> Column:
+    return mod97(F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4))) == 1
+
+
+def _is_ssn(v: Column) -> Column:
+    return (v[0] > 0) & (v[0] != 666) & (v[0] < 900) & (v[1] > 0) & (v[2] > 0)
+
+
+def _day(m: Column, form: str) -> Column:
+    """Days since FIRST_DAY; null if it isn't a date of that form in the permuted days."""
+    day = F.date_diff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit(FIRST_DAY).cast("date"))
+    return let(day, lambda d: F.when(d.between(0, DAYS[0] * DAYS[1] - 1), d))
+
+
 def _card(m: Column, key: str, undo: bool) -> Column:
     def new(d: Column) -> Column:
         n, first = F.length(d), F.substring(d, 1, 1)
         body = permute_string(F.substring(d, F.lit(2), n - 2), key, F.concat(F.lit("card"), first), undo)
-        luhn = luhn_digit(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1))
-        return F.when(luhn & ~d.rlike(r"^(.)\1*$"), let(F.concat(first, body), lambda p: F.concat(p, luhn_digit(p))))
+        return F.when(_is_card(d), let(F.concat(first, body), lambda p: F.concat(p, luhn_digit(p))))
 
     return let(let(_only(m, "0-9"), new), lambda digits: F.when(digits.isNotNull(), _refill(m, digits, "0-9")))
 
@@ -151,9 +195,8 @@ def _foreign(m: Column, key: str, undo: bool) -> Column:
 def _iban(m: Column, key: str, undo: bool) -> Column:
     def new(t: Column) -> Column:
         country, bban = F.substring(t, 1, 2), F.substring(t, F.lit(5), F.length(t))
-        valid = mod97(F.concat(bban, F.substring(t, 1, 4))) == 1
         put = let(permute_string(bban, key, F.concat(F.lit("iban"), country), undo), lambda p: F.concat(country, F.lpad((98 - mod97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0"), p))
-        return F.when(valid, put)
+        return F.when(_is_iban(t), put)
 
     return let(let(F.replace(m, F.lit(" "), F.lit("")), new), lambda t: F.when(t.isNotNull(), _refill(m, t, "A-Z0-9")))
 
@@ -170,14 +213,13 @@ def _ip(m: Column, key: str, undo: bool) -> Column:
 def _ssn(m: Column, key: str, undo: bool) -> Column:
     def new(v: Column) -> Column:
         area, group, serial = v[0], v[1], v[2]
-        valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
         place = area - F.when(area > 666, 2).otherwise(1)
 
         def put(p: Column) -> Column:
             at = F.floor(p["x"] / 99).cast("long")
             return F.concat_ws("-", F.lpad((at + F.when(at >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((p["x"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["y"] + 1).cast("string"), 4, "0"))
 
-        return F.when(valid, let(permute_pair(place * 99 + group - 1, serial - 1, *SSN, key, "ssn", undo), put))
+        return F.when(_is_ssn(v), let(permute_pair(place * 99 + group - 1, serial - 1, *SSN, key, "ssn", undo), put))
 
     return let(F.transform(F.split(m, "-"), lambda v: v.cast("int")), new)
 
@@ -185,11 +227,9 @@ def _ssn(m: Column, key: str, undo: bool) -> Column:
 def _date(m: Column, form: str, key: str, undo: bool) -> Column:
     def new(day: Column) -> Column:
         pair = permute_pair(F.floor(day / DAYS[1]), day % DAYS[1], *DAYS, key, "date", undo)
-        return F.when(
-            day.between(0, DAYS[0] * DAYS[1] - 1), let(pair, lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int")), form))
-        )
+        return F.when(day.isNotNull(), let(pair, lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int")), form)))
 
-    return let(F.date_diff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit(FIRST_DAY).cast("date")), new)
+    return let(_day(m, form), new)
 
 
 def _day_date(m: Column, key: str, undo: bool) -> Column:
@@ -227,13 +267,72 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     return let(text, lambda t: F.struct(F.when(t.isNotNull(), kind).alias("kind"), t.alias("text")))
 
 
+def valid(kind: str, m: Column) -> Column:
+    """Whether a match of the form is a value of the kind; true for kinds that the form alone decides."""
+    if kind == "date":
+        return F.when(m.contains("."), _day(m, "dd.MM.yyyy")).otherwise(F.coalesce(_day(m, "dd/MM/yyyy"), _day(m, "MM/dd/yyyy"))).isNotNull()
+    checks = {
+        "iban": lambda: let(F.replace(m, F.lit(" "), F.lit("")), _is_iban), "iso_date": lambda: _day(m, "yyyy-MM-dd").isNotNull(), "ip": lambda: F.forall(F.split(m, r"\."), lambda v: v.cast("int") < 256),
+        "ssn": lambda: let(F.transform(F.split(m, "-"), lambda v: v.cast("int")), _is_ssn), "card": lambda: let(_only(m, "0-9"), _is_card), "foreign_phone": lambda: F.length(_only(m, "0-9")).between(8, 15),
+    }
+    return checks.get(kind, lambda: F.lit(True))()
+
+
+CHECKED = ("iban", "iso_date", "date", "ip", "ssn", "card", "foreign_phone")
+
+
+def _settled(m: Column) -> Column:
+    """Whether a match of ANY is what a search of every place would find there."""
+    out = None
+    for name, form in KINDS.items():
+        sure = valid(name, m) & m.rlike("|".join(f"^(?:{f})$" for f in SURE[name])) if name in SURE else valid(name, m)
+        is_it = m.rlike(f"^(?:{form})$")
+        out = F.when(is_it, sure) if out is None else out.when(is_it, sure)
+    return F.coalesce(out, F.lit(False))
+
+
+def _valid_only(text: Column) -> Column:
+    """ANY with the forms that need validation replaced by the values in this text that pass."""
+
+    def found(within: Column, kind: str, forms: list[str], where: str = "(?=({}))") -> Column:
+        """The valid values, those of earlier forms first; by default in every place, also inside one another."""
+        matches = [F.regexp_extract_all(within, F.lit(where.format(form)), F.lit(1)) for form in forms]
+        return F.filter(F.array_distinct(F.concat(*matches)), lambda m: valid(kind, m))
+
+    def between(kind: str, values: Column) -> Column:
+        form = (EXACT.get(kind) or [KINDS[kind]])[0]
+        before, after = form[: form.index(")") + 1], form[form.rindex("(?!") :]
+        quoted = F.array_join(F.transform(values, lambda v: F.concat(F.lit("\\Q"), v, F.lit("\\E"))), "|")
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"{before}(?:"), quoted, F.lit(f"){after}"))).otherwise(F.lit("(?!)"))
+
+    def form(exact: Column) -> Column:
+        taken = F.concat_ws("|", *[between(kind, exact[kind]) for kind in EXACT])
+        left = let(taken, lambda t: F.regexp_replace(text, t, F.lit("\u0000")))
+
+        def whole(rest: Column) -> Column:
+            values = {kind: found(text, kind, LENGTHS.get(kind, [KINDS[kind]])) for kind in CHECKED if kind not in EXACT}
+            values["iban"] = F.concat(exact["iban"], found(rest, "iban", LENGTHS["iban"]))
+            values["card"] = F.concat(exact["card"], found(rest, "card", [KINDS["card"]], "({})"))
+            return F.concat_ws("|", *[let(values[kind], partial(between, kind)) if kind in values else F.lit(f"(?:{form})") for kind, form in KINDS.items()])
+
+        return let(left, whole)
+
+    return let(F.struct(*[found(text, kind, forms).alias(kind) for kind, forms in EXACT.items()]), form)
+
+
 def pseudonymised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = KEY, undo: bool = False) -> DataFrame:
     """The kept columns, the text with pseudonyms, and how many findings of each kind it had."""
-    hits = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    found = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], F.col("text").alias("_text"), F.coalesce(hits, F.array().cast("array<string>")).alias("_hits"))
+
+    def searched(text: Column) -> Column:
+        by = lambda form: F.struct(form.alias("form"), F.regexp_extract_all(text, form, F.lit(0)).alias("hits"))
+        return let(by(F.lit(ANY)), lambda first: F.when(F.forall(first["hits"], _settled), first).otherwise(let(_valid_only(text), by)))
+
+    search = F.when(F.col("text").rlike(HINT), let(F.col("text"), searched))
+    found = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], F.col("text").alias("_text"), search.alias("_search"))
+    found = found.select("*", F.coalesce("_search.hits", F.array().cast("array<string>")).alias("_hits"))
 
     def put(new: Column) -> Column:
-        pieces = F.split("_text", ANY, -1)
+        pieces = F.split("_text", F.col("_search.form"), -1)
         replaced = F.transform(F.col("_hits"), lambda m, i: F.coalesce(F.get(new, i)["text"], m))
         joined = let(replaced, lambda r: F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(r, i), F.lit("")))), ""))
         count = lambda kind: F.size(F.filter(new, lambda e: e["kind"] == kind))

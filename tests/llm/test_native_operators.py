@@ -148,6 +148,26 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(spark, awkward, nothing):
     assert same == {(r.doc_id, r.text) for r in awkward.collect()}
 
 
+NEXT_TO = [
+    ("4111 1111 1111 1111", "4111 1111 1111 1111 12/26"), ("4111 1111 1111 1111", "4111 1111 1111 1111 123"), ("4111-1111-1111-1111", "4111-1111-1111-1111 2 items"), ("4111 1111 1111 1111", "no 12 4111 1111 1111 1111"),
+    ("4111 1111 1111 1111", "12 34 4111 1111 1111 1111 56 78"), ("3782 822463 10005", "3782 822463 10005 1234"), ("4111111111111111", "7 4111111111111111 8"), ("ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1332 BIC"),
+    ("BE68 5390 0754 7034", "BE68 5390 0754 7034 EUR"), ("AT611904300234573201", "AT611904300234573201 BIC"), ("DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00 A1"), ("4111 1111 1111 1111", "AB12 4111 1111 1111 1111"),
+    ("123-45-6789", "5 123-45-6789 1235"), ("4111 1111 1111 1111", "31.13.1999 4111 1111 1111 1111 1"), ("+44 20 7946 0958", "+44 20 7946 0958 and 4111 1111 1111 1112"), ("743-555-3824", "12345678 743-555-3824"),
+]
+
+
+def test_values_next_to_numbers_and_capital_words_are_found(spark):
+    docs = spark.createDataFrame([(i, f"é {text}, {text}\n{text}") for i, (_, text) in enumerate(NEXT_TO)], "doc_id long, text string")
+    made = pii.pseudonymised(docs)
+    back = {r.doc_id: r.text for r in pii.pseudonymised(made, undo=True).collect()}
+    for r in made.collect():
+        value, text = NEXT_TO[r.doc_id]
+        before, after = text.split(value)
+        new = re.fullmatch(f"é {re.escape(before)}(.*){re.escape(after)}, {re.escape(before)}(.*){re.escape(after)}\n{re.escape(before)}(.*){re.escape(after)}", r.text)
+        assert new and new[1] == new[2] == new[3] != value and len(new[1]) == len(value), r.text
+        assert sum(r[f"n_{kind}"] for kind in pii.KINDS) == 3 and back[r.doc_id] == f"é {text}, {text}\n{text}"
+
+
 def test_pairs_are_permuted(spark):
     a, b = 5, 7
     pairs = spark.range(a * b).select(F.col("id"), pii.permute_pair(F.floor(F.col("id") / b), F.col("id") % b, a, b, "k", "t").alias("p"))
