@@ -94,8 +94,9 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def first_pass(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows with `uid` are documents (doc_id, n, key); rows with `shard` are blobs of shingles to be counted."""
+def first_pass(docs: DataFrame, shards: int, row: str | None = None) -> DataFrame:
+    """Rows with `uid` (the column `row`, if given) are documents (doc_id, n, key); rows with `shard` are blobs of
+    shingles to be counted."""
     names = ["uid", "doc_id", "n", "key", "shard", "steps", "wide", "counts"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary())
     width = np.uint64(COUNTED_BITS - shards.bit_length() + 1)
@@ -133,13 +134,13 @@ def first_pass(docs: DataFrame, shards: int) -> DataFrame:
                     yield from flush(held)
                     held, gathered, seen = [], 0, set()
             n = batch.num_rows
-            yield rows(uid=list(range(uid, uid + n)), doc_id=batch.column(0).to_pylist(), n=sizes, key=keys)
+            yield rows(uid=batch.column(2).to_pylist() if row else list(range(uid, uid + n)), doc_id=batch.column(0).to_pylist(), n=sizes, key=keys)
             uid += n
         if held:
             yield from flush(held)
 
     schema = "uid long, doc_id long, n long, key binary, shard int, steps binary, wide boolean, counts binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(row)] if row else [])).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -325,11 +326,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id and class_size of every row of docs."""
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id, class_size and component of every row of docs. component is the uid of a
+    row of the component, so it tells components apart where ids are null or repeated. A column of docs with a
+    different long in every row can be named to be the uid."""
     partitions = docs.rdd.getNumPartitions()
     shards = 1 << min(16, max(6, (2 * partitions - 1).bit_length()))
-    first = written(first_pass(docs, shards), "shingles")
+    first = written(first_pass(docs, shards, row), "shingles")
     rows = first.where("uid IS NOT NULL").select("uid", "doc_id", "n", "key")
     classes = written(rows.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_doc"), F.count("*").alias("class_size")), "classes")
     found = prefixes(docs, frequencies(first, shards)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "more", "prefix", "shingles", "bitmap")])
@@ -362,18 +365,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     reached = final.join(classes.select("node", "least_doc"), "node")
     ids = reached.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of_class = classes.join(final.join(ids, "label").select("node", "component_id"), "node", "left").select("key", "class_size", F.coalesce("component_id", "least_doc").alias("component_id"))
-    linked = rows.where("n > 0").join(of_class, "key").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
-    alone = rows.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    of_class = classes.join(final.join(ids, "label").select("node", "label", "component_id"), "node", "left").select("key", "class_size", F.coalesce("component_id", "least_doc").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    linked = rows.where("n > 0").join(of_class, "key").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "component")
+    alone = rows.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), F.col("uid").alias("component"))
     return linked.unionByName(alone)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least id, with the columns it came with; documents with an
-    empty set and rows with a null id all stay. Of rows that repeat the id the one that comes first is kept."""
-    groups = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    dropped = groups.where(F.col("_component") != F.col("doc_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, with the columns it came with: the one with the least id, null ids last, and of rows
+    that repeat that id the first. Rows with an empty set all stay."""
+    row = "_representatives_row"
+    rows = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "rows")
+    found = written(near_duplicates(rows, row).select("uid", "doc_id", "component"), "components")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("least")).select(F.col("least.uid").alias("uid"))
+    dropped = found.join(kept, "uid", "left_anti").select(F.col("uid").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

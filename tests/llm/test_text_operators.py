@@ -78,6 +78,15 @@ def test_copies_are_one_class_and_representatives_stay(spark):
     assert sorted(r.doc_id for r in jj.representatives(docs).collect() if r.doc_id is not None) == [1, 2]
 
 
+def test_one_row_of_each_component_stays(spark):
+    x, y, z, u = (" ".join(f"{c}{i}" for i in range(50)) for c in "xyzu")
+    rows = [(3, x, "a"), (5, x, "b"), (5, y, "c"), (6, y + " more", "d"), (7, z, "e"), (7, z, "e"), (None, z, "f"), (None, u, "g"), (None, u, "g"), (8, "", "h"), (8, "", "h"), (None, None, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string").repartition(4)
+    want = [(3, x, "a"), (5, y, "c"), (7, z, "e"), (None, u, "g"), (8, "", "h"), (8, "", "h"), (None, None, "i")]
+    assert jj.representatives(docs).columns == docs.columns
+    assert collections.Counter(map(tuple, jj.representatives(docs).collect())) == collections.Counter(want)
+
+
 def test_a_prefix_never_misses():
     rng = np.random.default_rng(6)
     for _ in range(300):
