@@ -3,7 +3,8 @@
 Numbers and dates are found by their form and validated (Luhn, mod 97, calendar, octets, area codes); what passes is
 permuted under a key inside its own format by a Feistel network: a card stays a card with a right check digit, a date
 a date, an address an address. A permutation maps equal values to equal pseudonyms in every document and different
-ones to different ones, and with the key it can be undone. Separators and the width of fields stay where they are.
+ones to different ones, and with the key it can be undone. Separators and the width of fields stay where they are; an
+octet of an address keeps its number of digits.
 Mail addresses and secrets (access keys, assigned passwords and tokens) are permuted character by character inside
 their classes (digit, small, capital).
 
@@ -13,14 +14,20 @@ the other, modulo its size; dates (73,049 days), addresses and social-security n
 
 Everything is DataFrame functions on one row: no shuffle and no table that grows.
 
-What fails validation hides nothing: a text with such a match is searched again, and there every place and every length
-that a form allows is tried. Numbers grouped as cards are, and IBANs as long as their country has them, are taken
+Texts of any length take work in proportion to it: no form repeats a group without bound, which the engine would do by
+recursion, and a value is put back by splitting it at the characters it keeps.
+
+What fails validation hides nothing: a text with such a match is cut where no form can match across, and each part with
+such a match is searched again; there every place and every length that a form allows is tried. Numbers grouped as cards are, and IBANs as long as their country has them, are taken
 first, so that a number or a capital word next to one does not become part of it; among the others the longest.
 
 Defined results: a null text stays null with no findings; what looks like a number but fails validation is left alone;
 where valid forms overlap the leftmost wins, in one place the first of KINDS; what a text had only by chance (digits
 next to each other that pass as one number) may be seen differently in its pseudonyms, so undoing may leave it; a date with
-slashes is read day first unless only month first is a date, so undoing one of these may swap day and month; repeated rows give repeated rows; named columns are kept, others not read.
+slashes is read day first unless only month first is a date, so undoing one of these may swap day and month; octets with
+leading zeros are no address; addresses have at most 32 labels of 63 characters (RFC 1035) and 64 characters before the
+sign (RFC 5321); repeated rows give repeated rows; named columns are kept, others not read, and a kept column with the
+name of a result column (`text`, `n_<kind>`) gives way to it.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ from tabiya.llm.common import let, table
 KEY, ROUNDS = "tabiya-example-key", 8
 _NO_WORD, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 KINDS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,30}\.[A-Za-z]{2,63}",
     "access_key": _NO_WORD + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _END,
     "secret": _NO_WORD + r"(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey) ?[=:] ?[\"']?[A-Za-z0-9_-]{8,}",
     "iban": _NO_WORD + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
@@ -68,6 +75,8 @@ SURE = {"iban": EXACT["iban"], "card": EXACT["card"][:5]}
 LENGTHS = {"iban": [_iban_form("[A-Z]{2}", n) for n in range(35, 11, -1)], "foreign_phone": [KINDS["foreign_phone"].replace("{2,4}(?![0-9])", f"{{{n}}}(?![0-9])") for n in (4, 3, 2)]}
 #: A text without one of these has nothing to find; it is much faster to look for than ANY.
 HINT = r"[0-9@]|[Pp]ass|[Ss]ecret|[Tt]oken|[Kk]ey"
+#: After a character that no form contains, or a full stop and a blank, no match can go on, and none looks back at it.
+CUT = r"(?<=[^A-Za-z0-9._%+@=:\"'()/ -]|\. )"
 #: Days 1900-01-01 to 2099-12-31 are 17 x 4297; the area codes 1-899 without 666, and the groups, are 898 x 99.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 SSN = (898 * 99, 9999)
@@ -78,7 +87,7 @@ def _only(text: Column, kept: str) -> Column:
 
 
 def _chars(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))
+    return F.split(text, "")
 
 
 def _number(hexes: Column) -> Column:
@@ -112,22 +121,23 @@ def permute_string(value: Column, key: str, tweak: Column, undo: bool = False) -
     return F.aggregate(_rounds(undo), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permute_pair(x: Column, y: Column, a: int, b: int, key: str, tweak: str, undo: bool = False) -> Column:
+def permute_pair(x: Column, y: Column, a: int | Column, b: int | Column, key: str, tweak: str, undo: bool = False) -> Column:
     """The pair (x, y), x < a and y < b, permuted among all such pairs, as struct<x, y>."""
+    sizes = [n if isinstance(n, Column) else F.lit(n) for n in (a, b)]
 
     def step(state: Column, i: Column) -> Column:
         even = i % 2 == 0
         digest = lambda other: _number(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other.cast("string")), 256), 1, 12))
-        add = lambda mine, other, n: F.pmod(mine - digest(other) if undo else mine + digest(other), F.lit(n).cast("long"))
-        return F.struct(F.when(even, add(state["x"], state["y"], a)).otherwise(state["x"]).alias("x"), F.when(even, state["y"]).otherwise(add(state["y"], state["x"], b)).alias("y"))
+        add = lambda mine, other, n: F.pmod(mine - digest(other) if undo else mine + digest(other), n.cast("long"))
+        return F.struct(F.when(even, add(state["x"], state["y"], sizes[0])).otherwise(state["x"]).alias("x"), F.when(even, state["y"]).otherwise(add(state["y"], state["x"], sizes[1])).alias("y"))
 
     return F.aggregate(_rounds(undo), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), step)
 
 
 def _refill(form: Column, new: Column, kept: str) -> Column:
     """The characters of `form` in the class replaced, in order, by those of `new`."""
-    place = lambda i: F.length(_only(F.substring(form, F.lit(1), i + 1), kept))
-    return F.array_join(F.transform(_chars(form), lambda c, i: F.when(c.rlike(f"[{kept}]"), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
+    gaps = F.split(form, f"[{kept}]", -1)
+    return let(_chars(new), lambda chars: F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(chars, i), F.lit("")))), ""))
 
 
 def luhn_digit(payload: Column) -> Column:
@@ -160,6 +170,10 @@ def _is_ssn(v: Column) -> Column:
     return (v[0] > 0) & (v[0] != 666) & (v[0] < 900) & (v[1] > 0) & (v[2] > 0)
 
 
+def _is_ip(octets: Column) -> Column:
+    return F.forall(octets, lambda v: v.rlike("^(?:0|[1-9][0-9]*)$") & (v.cast("int") < 256))
+
+
 def _day(m: Column, form: str) -> Column:
     """Days since FIRST_DAY; null if it isn't a date of that form in the permuted days."""
     day = F.date_diff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit(FIRST_DAY).cast("date"))
@@ -202,12 +216,17 @@ def _iban(m: Column, key: str, undo: bool) -> Column:
 
 
 def _ip(m: Column, key: str, undo: bool) -> Column:
+    """Octets of one, two and three digits are 10, 90 and 156 values; a pair is of two octets' values."""
+
     def new(o: Column) -> Column:
-        pair = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip", undo)
-        put = lambda p: F.concat_ws(".", *[F.floor(v).cast("long").cast("string") for v in (p["x"] / 256, p["x"] % 256, p["y"] / 256, p["y"] % 256)])
-        return F.when(F.forall(o, lambda v: v < 256), let(pair, put))
+        wide = lambda i, *by: F.element_at(F.array(*map(F.lit, by)), F.length(o[i]))
+        low, many = (lambda i: wide(i, 0, 10, 100)), (lambda i: wide(i, 10, 90, 156))
+        half = lambda i: (o[i].cast("int") - low(i)) * many(i + 1) + o[i + 1].cast("int") - low(i + 1)
+        octets = lambda v, i: [(F.floor(v / many(i + 1)) + low(i)).cast("string"), (v % many(i + 1) + low(i + 1)).cast("string")]
+        pair = permute_pair(half(0), half(2), many(0) * many(1), many(2) * many(3), key, "ip", undo)
+        return F.when(_is_ip(o), let(pair, lambda p: F.concat_ws(".", *octets(p["x"], 0), *octets(p["y"], 2))))
 
-    return let(F.transform(F.split(m, r"\."), lambda v: v.cast("int")), new)
+    return let(F.split(m, r"\."), new)
 
 
 def _ssn(m: Column, key: str, undo: bool) -> Column:
@@ -272,7 +291,7 @@ def valid(kind: str, m: Column) -> Column:
     if kind == "date":
         return F.when(m.contains("."), _day(m, "dd.MM.yyyy")).otherwise(F.coalesce(_day(m, "dd/MM/yyyy"), _day(m, "MM/dd/yyyy"))).isNotNull()
     checks = {
-        "iban": lambda: let(F.replace(m, F.lit(" "), F.lit("")), _is_iban), "iso_date": lambda: _day(m, "yyyy-MM-dd").isNotNull(), "ip": lambda: F.forall(F.split(m, r"\."), lambda v: v.cast("int") < 256),
+        "iban": lambda: let(F.replace(m, F.lit(" "), F.lit("")), _is_iban), "iso_date": lambda: _day(m, "yyyy-MM-dd").isNotNull(), "ip": lambda: let(F.split(m, r"\."), _is_ip),
         "ssn": lambda: let(F.transform(F.split(m, "-"), lambda v: v.cast("int")), _is_ssn), "card": lambda: let(_only(m, "0-9"), _is_card), "foreign_phone": lambda: F.length(_only(m, "0-9")).between(8, 15),
     }
     return checks.get(kind, lambda: F.lit(True))()
@@ -320,27 +339,39 @@ def _valid_only(text: Column) -> Column:
     return let(F.struct(*[found(text, kind, forms).alias(kind) for kind, forms in EXACT.items()]), form)
 
 
+def _parts(text: Column) -> Column:
+    """The text as array<struct<text, form, hits>>: in one part if every match of ANY is valid, else cut at CUT, with
+    the parts that have an invalid match searched for valid values only."""
+    part = lambda t, form: F.struct(t.alias("text"), form.alias("form"), F.regexp_extract_all(t, form, F.lit(0)).alias("hits"))
+    settled = lambda found: F.forall(found["hits"], _settled)
+
+    def closely(t: Column) -> Column:
+        again = let(_valid_only(t), lambda form: part(t, form))
+        return let(part(t, F.lit(ANY)), lambda found: F.when(settled(found), found).otherwise(again))
+
+    return let(part(text, F.lit(ANY)), lambda found: F.when(settled(found), F.array(found)).otherwise(F.transform(F.split(text, CUT, -1), closely)))
+
+
 def pseudonymised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = KEY, undo: bool = False) -> DataFrame:
     """The kept columns, the text with pseudonyms, and how many findings of each kind it had."""
+    own = [c for c in keep if c not in ("text", *(f"n_{kind}" for kind in KINDS))]
 
-    def searched(text: Column) -> Column:
-        by = lambda form: F.struct(form.alias("form"), F.regexp_extract_all(text, form, F.lit(0)).alias("hits"))
-        return let(by(F.lit(ANY)), lambda first: F.when(F.forall(first["hits"], _settled), first).otherwise(let(_valid_only(text), by)))
+    def put(part: Column) -> Column:
+        """struct<text, kinds> of a part."""
 
-    search = F.when(F.col("text").rlike(HINT), let(F.col("text"), searched))
-    found = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], F.col("text").alias("_text"), search.alias("_search"))
-    found = found.select("*", F.coalesce("_search.hits", F.array().cast("array<string>")).alias("_hits"))
+        def joined(new: Column) -> Column:
+            after = lambda i: F.coalesce(F.get(new, i)["text"], F.get(part["hits"], i), F.lit(""))
+            text = F.array_join(F.transform(F.split(part["text"], part["form"], -1), lambda piece, i: F.concat(piece, after(i))), "")
+            return F.struct(F.when(F.size(new) > 0, text).otherwise(part["text"]).alias("text"), F.transform(new, lambda e: e["kind"]).alias("kinds"))
 
-    def put(new: Column) -> Column:
-        pieces = F.split("_text", F.col("_search.form"), -1)
-        replaced = F.transform(F.col("_hits"), lambda m, i: F.coalesce(F.get(new, i)["text"], m))
-        joined = let(replaced, lambda r: F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(r, i), F.lit("")))), ""))
-        count = lambda kind: F.size(F.filter(new, lambda e: e["kind"] == kind))
-        counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
-        return F.struct(F.when(F.size("_hits") > 0, joined).otherwise(F.col("_text")).alias("text"), *counts)
+        return let(F.transform(part["hits"], lambda m: pseudonym(m, key, undo)), joined)
 
-    done = found.select("*", let(F.transform("_hits", lambda m: pseudonym(m, key, undo)), put).alias("_r"))
-    return done.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], "_r.*")
+    parts = F.when(F.col("text").rlike(HINT), F.transform(let(F.col("text"), _parts), put))
+    found = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in own], F.col("text").alias("_text"), parts.alias("_parts"))
+    found = found.select("*", F.coalesce(F.flatten(F.transform("_parts", lambda part: part["kinds"])), F.array().cast("array<string>")).alias("_kinds"))
+    text = F.when(F.size("_kinds") > 0, F.array_join(F.transform("_parts", lambda part: part["text"]), "")).otherwise(F.col("_text"))
+    count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).alias(f"n_{kind}")
+    return found.select(*[F.col(f"_keep_{c}").alias(c) for c in own], text.alias("text"), *map(count, KINDS))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
