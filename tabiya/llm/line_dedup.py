@@ -3,38 +3,47 @@
 A line's key is the line stripped and lower-cased; keys of at least MIN_CHARS code points that MIN_DOCS documents hold
 lose their lines everywhere but in the largest document that holds them. Keys are 128-bit hashes.
 
-The state is three tables, dealt into shards by the key. `references` says how often each document holds each key;
-documents are inserted by adding their counts and deleted by taking them away, so any sequence of both gives the state
-of the documents that are there. `holders` has, for keys that reach MIN_DOCS, the number and the largest of the
-documents. `filters` has a cuckoo filter for each shard with just those keys; filters support deletion, so they follow
-the changes of `holders` without being built anew.
-
-To dedup documents, their keys are first asked of the filters, and only the few that may be there are joined with the
-exact table. Filters are broadcast if they are small together (FILTER_BYTES), else every key is joined.
+The state is three tables. `references` says how often each document holds each key; documents are inserted by adding
+their counts and deleted by taking them away, so any sequence of both gives the state of the documents that are there.
+`holders` has, for keys that reach MIN_DOCS, the number and the largest of the documents. `filters` has a cuckoo filter
+for each shard of keys, with just the keys of `holders`; there are as many shards as the keys need at KEYS_A_SHARD. Each
+table is a first part and what later changes added: a change recounts the keys it touches only, and writes its own
+references, the holders that became others, and the filters of the shards these are in. A filter that has become too
+full is built anew from its shard's keys, and all are once the keys have outgrown the shards. `compacted` makes one part
+of many.
+
+To dedup documents, each of their references is sent to the filter of its shard, at any size, and only the few that may
+be common are joined with the exact table. A shard's references are dealt over SALTS tasks, each with the filter, so a
+line that every document holds is no large group; a task holds one filter at a time and streams the references by it.
 
 Defined results: a null or empty text is one empty line; a null id counts for no key, and its common lines all go;
 rows with one id are one document; a text that loses all lines becomes empty and stays; ties can't occur, as the
-largest id is unique; a table without rows gives none; extra columns are carried along.
+largest id is unique; a table without rows gives none; extra columns are carried along, but for those of `dedup` that
+have the name of one of its results.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tabiya.llm.common import SPACES, table, written
 
-MIN_CHARS, MIN_DOCS, SHARDS, FILTER_BYTES = 20, 3, 64, 64 << 20
+MIN_CHARS, MIN_DOCS = 20, 3
+#: Common keys for which a shard is made, least number of shards, tasks that a shard's references are dealt over, and
+#: the share of a filter's slots beyond which it is built anew.
+KEYS_A_SHARD, LEAST_SHARDS, SALTS, FULL = 1 << 15, 64, 8, 0.9
 BLANKS = SPACES.encode()
-KEY = ["shard", "hi", "lo"]
+KEY, RESULTS = ["hi", "lo"], ("n_lines", "n_dropped", "kept_sha256")
 
 
 def split_keys(text: str | None) -> tuple[list[bytes], list[bytes | None]]:
@@ -93,8 +102,9 @@ class CuckooFilter:
     def contains(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         marks, first, second = self._places(hi, lo)
         found = (self.table[first] == marks[:, None]).any(axis=1) | (self.table[second] == marks[:, None]).any(axis=1)
-        for place, mark in self.stash:
-            found |= (marks == mark) & ((first == place) | (second == place))
+        if self.stash:
+            stashed = np.array([place << 16 | mark for place, mark in self.stash])
+            found |= np.isin(first << 16 | marks, stashed) | np.isin(second << 16 | marks, stashed)
         return found
 
     def to_bytes(self) -> bytes:
@@ -107,77 +117,137 @@ class CuckooFilter:
         return CuckooFilter(0, np.frombuffer(blob, "<u2", -1, 16 + 16 * int(n)).reshape(int(buckets), CuckooFilter.SLOTS).copy(), [tuple(s) for s in stash])
 
 
+def _own(docs: DataFrame) -> Column:
+    """Tells the rows without an id apart by their text."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """shard, hi, lo, doc_id and refs: how many rows of a document hold a key (once each)."""
+    """hi, lo, doc_id, own and refs: how many rows of a document hold a key (once each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {k for k in split_keys(text)[1] if k is not None}
-                ids += [doc_id] * len(own)
-                keys += own
-            hi, lo = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2).T
-            shard = (hi % np.uint64(SHARDS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(ids, pa.int64()), pa.array(np.ones(len(ids), np.int64))], names=[*KEY, "doc_id", "refs"])
+            at, keys = [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                found = {k for k in split_keys(text)[1] if k is not None}
+                at += [row] * len(found)
+                keys += found
+            hi, lo = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.ones(len(at), np.int64))], names=[*KEY, "doc_id", "own", "refs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "shard int, hi long, lo long, doc_id long, refs long")
+    return docs.select(F.col("doc_id").cast("long"), _own(docs).alias("own"), F.col("text").cast("string")).mapInArrow(run, "hi long, lo long, doc_id long, own string, refs long")
 
 
-def holders(refs: DataFrame) -> DataFrame:
-    """Keys in at least MIN_DOCS documents. The first grouping is by key and document, the second combines before its
+def counted(refs: DataFrame) -> DataFrame:
+    """n_docs and max_doc of every key. The first grouping is by key and document, the second combines before its
     shuffle, so a key that every document holds is nowhere in one task."""
     held = refs.where("doc_id IS NOT NULL").groupBy(*KEY, "doc_id").agg(F.sum("refs").alias("refs")).where("refs > 0")
-    return held.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).where(F.col("n_docs") >= MIN_DOCS)
+    return held.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("hi", F.lit(shards)).cast("int").alias("shard")
 
 
 def _hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return frame["hi"].to_numpy(np.int64).view(np.uint64), frame["lo"].to_numpy(np.int64).view(np.uint64)
 
 
-def build_filters(held: DataFrame) -> DataFrame:
+FILTERS = "shard int, n_keys long, slots long, blob binary"
+
+
+def _filter_row(shard: int, n_keys: int, made: CuckooFilter) -> pd.DataFrame:
+    return pd.DataFrame({"shard": np.array([shard], np.int32), "n_keys": [n_keys], "slots": [made.table.size], "blob": [made.to_bytes()]})
+
+
+def build_filters(held: DataFrame, shards: int) -> DataFrame:
     def build(keys: pd.DataFrame) -> pd.DataFrame:
         made = CuckooFilter(len(keys))
         made.insert(*_hashes(keys))
-        return pd.DataFrame({"shard": keys["shard"].iloc[:1].astype("int32"), "blob": [made.to_bytes()]})
+        return _filter_row(keys["shard"].iloc[0], len(keys), made)
+
+    return held.select(*KEY, _shard(shards)).groupBy("shard").applyInPandas(build, FILTERS)
+
 
-    return held.select(*KEY).groupBy("shard").applyInPandas(build, "shard int, blob binary")
+def update_filters(filters: DataFrame, changes: DataFrame, held: DataFrame, shards: int) -> DataFrame:
+    """New filters of the shards that `changes` (hi, lo, came) are in: keys that came are inserted, the others deleted.
+    Filters that would be too full are built anew, of twice the size, from the keys in `held`."""
+    changes = changes.select(*KEY, "came", _shard(shards))
+    turned = changes.groupBy("shard").agg(F.sum(F.when(F.col("came"), 1).otherwise(-1)).alias("more"))
+    after = filters.join(turned, "shard", "right").select("shard", "blob", F.coalesce("n_keys", F.lit(0)).alias("n_keys"), "more", (F.coalesce(F.col("n_keys") + F.col("more"), F.col("more")) > FULL * F.coalesce("slots", F.lit(0))).alias("full"))
+    after = written(after, "line-filters-before")
+    all_keys = held.select(*KEY, F.lit(None).cast("boolean").alias("came"), _shard(shards)).join(after.where("full").select("shard"), "shard", "left_semi")
+    rows = changes.join(after.where("NOT full").select("shard"), "shard", "left_semi").unionByName(all_keys)
 
+    def change(key: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if old["full"].iloc[0]:
+            made = CuckooFilter(2 * len(keys))
+            made.insert(*_hashes(keys))
+            return _filter_row(key[0], len(keys), made)
+        made, came = CuckooFilter.from_bytes(old["blob"].iloc[0]), keys["came"].astype(bool)
+        made.delete(*_hashes(keys[~came]))
+        made.insert(*_hashes(keys[came]))
+        return _filter_row(key[0], int(old["n_keys"].iloc[0] + old["more"].iloc[0]), made)
 
-def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """The filters once `holders` went from before to after; only the keys that came or went are touched."""
-    came = after.select(*KEY).join(before.select(*KEY), KEY, "left_anti").withColumn("came", F.lit(True))
-    went = before.select(*KEY).join(after.select(*KEY), KEY, "left_anti").withColumn("came", F.lit(False))
+    return after.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(change, FILTERS)
 
-    def change(key: tuple, old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-        made = CuckooFilter.from_bytes(old["blob"].iloc[0]) if len(old) else CuckooFilter(len(changes))
-        made.delete(*_hashes(changes[~changes["came"].astype(bool)]))
-        made.insert(*_hashes(changes[changes["came"].astype(bool)]))
-        return pd.DataFrame({"shard": np.array([key[0]], np.int32), "blob": [made.to_bytes()]})
 
-    return filters.groupBy("shard").cogroup(came.unionByName(went).groupBy("shard")).applyInPandas(change, "shard int, blob binary")
+def _newest(parts: tuple[DataFrame, ...], by: list[str]) -> DataFrame:
+    """Of tables with the same keys, each key's row in the last table that has it."""
+    if len(parts) == 1:
+        return parts[0]
+    rest = [c for c in parts[0].columns if c not in by]
+    rows = reduce(DataFrame.unionByName, [part.withColumn("_part", F.lit(i)) for i, part in enumerate(parts)])
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), "_part").alias("_row")).select(*by, "_row.*")
 
 
 @dataclass(frozen=True)
 class LineIndex:
-    """The state; every change gives a new one, so that an older one can be gone back to."""
+    """The state, as the parts of its three tables; every change gives a new one, so that an older one can be gone
+    back to."""
 
-    references: DataFrame
-    holders: DataFrame
-    filters: DataFrame
+    reference_parts: tuple[DataFrame, ...]
+    holder_parts: tuple[DataFrame, ...]
+    filter_parts: tuple[DataFrame, ...]
+    shards: int
+
+    @staticmethod
+    def _of(refs: DataFrame) -> LineIndex:
+        held = written(counted(refs).where(F.col("n_docs") >= MIN_DOCS), "line-holders")
+        shards = max(LEAST_SHARDS, 1 << (held.count() // KEYS_A_SHARD).bit_length())
+        return LineIndex((refs,), (held,), (written(build_filters(held, shards), "line-filters"),), shards)
 
     @staticmethod
     def of(docs: DataFrame) -> LineIndex:
-        refs = written(references(docs), "line-references")
-        held = written(holders(refs), "line-holders")
-        return LineIndex(refs, held, written(build_filters(held), "line-filters"))
+        return LineIndex._of(written(references(docs), "line-references"))
+
+    @property
+    def references(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.reference_parts)
+
+    @property
+    def holders(self) -> DataFrame:
+        return _newest(self.holder_parts, KEY).where(F.col("n_docs") >= MIN_DOCS)
+
+    @property
+    def filters(self) -> DataFrame:
+        return _newest(self.filter_parts, ["shard"])
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
-        change = references(docs).withColumn("refs", F.lit(sign).cast("long") * F.col("refs"))
-        refs = self.references.unionByName(change).groupBy(*KEY, "doc_id").agg(F.sum("refs").alias("refs")).where("refs <> 0")
-        refs = written(refs, "line-references")
-        held = written(holders(refs), "line-holders")
-        return LineIndex(refs, held, written(update_filters(self.filters, self.holders, held), "line-filters"))
+        change = written(references(docs).withColumn("refs", F.lit(sign).cast("long") * F.col("refs")), "line-references")
+        touched = written(change.where("doc_id IS NOT NULL").select(*KEY).distinct(), "line-touched")
+        new = replace(self, reference_parts=(*self.reference_parts, change))
+        now = touched.join(counted(new.references.join(touched, KEY, "left_semi")), KEY, "left").select(*KEY, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc")
+        was = self.holders.select(*KEY, F.col("n_docs").alias("old_docs"), F.col("max_doc").alias("old_max"))
+        both = now.join(was, KEY, "left").withColumn("came", F.when(F.col("n_docs") >= MIN_DOCS, F.when(F.col("old_docs").isNull(), True)).otherwise(F.when(F.col("old_docs").isNotNull(), False)))
+        same = F.col("n_docs").eqNullSafe(F.col("old_docs")) & F.col("max_doc").eqNullSafe(F.col("old_max"))
+        others = written(both.where((F.col("old_docs").isNotNull() | (F.col("n_docs") >= MIN_DOCS)) & ~same).select(*KEY, "n_docs", "max_doc", "came"), "line-holders")
+        new = replace(new, holder_parts=(*self.holder_parts, others.drop("came")))
+        filters = written(update_filters(self.filters, others.where("came IS NOT NULL"), new.holders, self.shards), "line-filters")
+        new = replace(new, filter_parts=(*self.filter_parts, filters))
+        n_keys = new.filters.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first()["n"]
+        return new.compacted() if n_keys > 4 * self.shards * KEYS_A_SHARD else new
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -186,40 +256,51 @@ class LineIndex:
         """Without these documents, which were inserted with the same texts."""
         return self._changed(docs, -1)
 
+    def compacted(self) -> LineIndex:
+        """The same state in one part, with shards for the keys there now."""
+        refs = self.references.groupBy(*KEY, "doc_id", "own").agg(F.sum("refs").alias("refs")).where("refs <> 0")
+        return LineIndex._of(written(refs, "line-references"))
+
     def maybe_common(self, refs: DataFrame) -> DataFrame:
-        """Those references that the filters don't rule out."""
-        small = self.filters.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("n")).first()["n"] <= FILTER_BYTES
-        if not small:
-            return refs
-        blobs = refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in self.filters.collect()})
+        """hi, lo, doc_id, own and salt of those references that the filters don't rule out."""
+        none = lambda kind: F.lit(None).cast(kind)
+        salt = F.pmod(F.xxhash64("doc_id", "own"), F.lit(SALTS)).cast("int").alias("salt")
+        asked = refs.select(*KEY, "doc_id", "own", _shard(self.shards), salt, none("binary").alias("blob"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        filters = self.filters.select(none("long").alias("hi"), none("long").alias("lo"), none("long").alias("doc_id"), none("string").alias("own"), "shard", every, "blob")
+        rows = filters.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {shard: CuckooFilter.from_bytes(blob) for shard, blob in blobs.value.items()}
+            place, made = None, None
             for batch in batches:
-                shard, hi, lo = (batch.column(i).to_numpy() for i in range(3))
-                found = np.zeros(len(shard), bool)
-                for s in np.unique(shard):
-                    if s in filters:
-                        at = np.flatnonzero(shard == s)
-                        found[at] = filters[s].contains(hi[at].view(np.uint64), lo[at].view(np.uint64))
-                yield batch.filter(pa.array(found))
-
-        return refs.mapInArrow(run, refs.schema)
+                own = np.stack([batch.column(i).to_numpy() for i in (4, 5)], axis=1)
+                hi, lo = (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
+                opens = np.flatnonzero(batch.column(6).is_valid().to_numpy(zero_copy_only=False)).tolist()
+                keep = np.zeros(batch.num_rows, bool)
+                for start, end in zip([0, *(i + 1 for i in opens)], [*opens, batch.num_rows], strict=True):
+                    if start:
+                        place, made = own[start - 1], CuckooFilter.from_bytes(batch.column(6)[start - 1].as_py())
+                    if made is not None and start < end:
+                        here = (own[start:end] == place).all(axis=1)
+                        keep[start:end] = here & made.contains(hi[start:end], lo[start:end])
+                yield batch.select(["hi", "lo", "doc_id", "own", "salt"]).filter(pa.array(keep))
+
+        return rows.mapInArrow(run, "hi long, lo long, doc_id long, own string, salt int")
 
     def drops(self, refs: DataFrame) -> DataFrame:
-        """doc_id and the keys whose lines it loses, as one binary of 16 bytes each."""
-        lost = self.maybe_common(refs).join(self.holders, KEY).where("doc_id IS NULL OR doc_id <> max_doc")
-        key = F.struct("hi", "lo")
-        return lost.groupBy("doc_id").agg(F.collect_set(key).alias("_line_lost"))
+        """doc_id, own and the keys whose lines a document loses."""
+        held = self.holders.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        lost = self.maybe_common(refs).join(held, [*KEY, "salt"]).where("doc_id IS NULL OR doc_id <> max_doc")
+        return lost.groupBy("doc_id", "own").agg(F.collect_set(F.struct(*KEY)).alias("_line_lost"))
 
 
-def dedup(docs: DataFrame, index: LineIndex, refs: DataFrame | None = None) -> DataFrame:
-    """All columns of docs, the text with the lines it keeps, and n_lines, n_dropped and kept_sha256."""
-    lost = index.drops(references(docs) if refs is None else refs).withColumnRenamed("doc_id", "_line_doc")
-    rows = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_line_doc")), "left").drop("_line_doc")
-    rows = rows.select(*docs.columns, F.col("_line_lost.hi").alias("_line_hi"), F.col("_line_lost.lo").alias("_line_lo"))
+def _deduped(docs: DataFrame, index: LineIndex, refs: DataFrame | None) -> DataFrame:
+    """All columns of docs, the text with the lines it keeps, and the results under names of their own."""
+    lost = index.drops(references(docs) if refs is None else refs).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("own", "_line_own")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_line_doc")) & _own(docs).eqNullSafe(F.col("_line_own"))
+    rows = docs.join(lost, same, "left").select(*docs.columns, F.col("_line_lost.hi").alias("_line_hi"), F.col("_line_lost.lo").alias("_line_lo"))
     place, n_own = docs.columns.index("text"), len(docs.columns)
-    out = StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    out = StructType(list(docs.schema.fields)).add("_line_n_lines", "long").add("_line_n_dropped", "long").add("_line_kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,16 +323,22 @@ def dedup(docs: DataFrame, index: LineIndex, refs: DataFrame | None = None) -> D
     return rows.mapInArrow(run, out)
 
 
+def dedup(docs: DataFrame, index: LineIndex, refs: DataFrame | None = None) -> DataFrame:
+    """The columns of docs, the text with the lines it keeps, and n_lines, n_dropped and kept_sha256."""
+    rows = _deduped(docs, index, refs)
+    return rows.select(*[c for c in docs.columns if c not in RESULTS], *[F.col(f"_line_{c}").alias(c) for c in RESULTS])
+
+
 def deduped_documents(docs: DataFrame) -> DataFrame:
     """The documents with the lines they keep, in the columns they came with."""
     index = LineIndex.of(docs)
-    return dedup(docs, index, index.references).select(*docs.columns)
+    return _deduped(docs, index, index.references).select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = LineIndex.of(docs)
-    return dedup(docs, index, index.references).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return dedup(docs, index, index.references).select("doc_id", *RESULTS)
 
 
 ORACLE = r"""
