@@ -2,13 +2,19 @@
 
 Vectors are stored twice: exactly, a row each, and as cells: blocks of vectors whose components are quantised to a few
 bits on the block's own grid. The scan reads cells only. A cell bounds the score: the middle of the cell gives it up to
-the query's components times half a cell. Blocks of queries meet groups of cell blocks; each meeting keeps, for a
-query, what can still be among its k best by these bounds. Over all meetings the k-th largest lower bound of a query's
-scores prunes the rest. Exact vectors are then read in order of their bounds: first the k most promising of each
-query, which gives a k-th exact score, then those whose bound reaches it; nothing else can enter, so the result is
-certain.
+the query's components times half a cell.
 
-Every group of work holds one block of queries and at most CELLS_A_GROUP blocks of cells; no side is broadcast and
+The scan goes in rounds. In a round, groups of query blocks meet groups of cell blocks; a meeting keeps, for a query,
+what can still be among its k best by these bounds. After a round, the k-th largest lower bound of a query over all
+cells so far prunes what is kept and goes into the next round with the query, which meets as many cells as all before
+it together. So a round leaves about k pairs of a query, and there are as many rounds as the number of groups has
+binary digits: the pairs grow with the queries, not with the queries times the table.
+
+Exact vectors are then read in order of their bounds, also in rounds: first the k most promising of each query, which
+gives a k-th exact score, then twice as many of those whose bound still reaches it, until no query has any; nothing
+else can enter, so the result is certain.
+
+A meeting holds at most QUERIES_A_GROUP blocks of queries and CELLS_A_GROUP blocks of cells; no side is broadcast and
 nothing is collected.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tabiya.llm.common import table, written
 
-BITS, BLOCK, QUERY_BLOCK, CELLS_A_GROUP = 6, 2048, 1024, 8
+BITS, BLOCK, QUERY_BLOCK, CELLS_A_GROUP, QUERIES_A_GROUP = 6, 2048, 1024, 8, 4
 
 
 def scaled(rows: DataFrame, by: float = 64.0, column: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -91,18 +97,23 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"query_block": [part + number], "dim": pa.array([dim], pa.int32()), "q_rows": [rows.astype("<i8").tobytes()], "q": [v.astype("<i8").tobytes()]})
 
     few = max(1, queries.count() // (4 * size))
-    return queries.select("row", "dim", "v").coalesce(few).mapInArrow(run, "query_block long, dim int, q_rows binary, q binary")
+    return queries.select("row", "dim", "v").repartition(few, "row").mapInArrow(run, "query_block long, dim int, q_rows binary, q binary")
+
+
+PAIRS = "query_block long, place int, q_row long, row long, low double, high double"
 
 
 def _meet(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The pairs that the bounds leave, of a block of queries and a group of cell blocks."""
-        out = [pd.DataFrame({"q_row": np.array([], np.int64), "row": np.array([], np.int64), "low": np.array([], float), "high": np.array([], float)})]
+        """The pairs that the bounds leave, of some blocks of queries and some blocks of cells."""
+        out = [pd.DataFrame({"query_block": np.array([], np.int64), "place": np.array([], np.int32), "q_row": np.array([], np.int64), "row": np.array([], np.int64), "low": np.array([], float), "high": np.array([], float)})]
         for one in left.itertuples():
             q_rows, dim = np.frombuffer(one.q_rows, "<i8"), one.dim
             q = np.frombuffer(one.q, "<i8").reshape(-1, dim).astype(float)
-            size, best, held = np.abs(q), np.full((len(q), k), -np.inf), []
-            for b in right.itertuples():
+            size, best, least, held = np.abs(q), np.full((len(q), k), -np.inf), np.full(len(q), -np.inf), []
+            if one.places is not None:
+                least[np.asarray(one.places, np.int64)] = one.bounds
+            for b in right[right["dim"] == dim].itertuples():
                 rows, low, step = (np.frombuffer(x, "<i8") for x in (b.rows, b.low, b.step))
                 cell = np.frombuffer(b.cells, np.uint8).reshape(-1, dim)
                 half = (step - 1) / 2
@@ -113,47 +124,69 @@ def _meet(k: int):
                 score[q_rows[:, None] == rows[None, :]] = -np.inf  # a query's own row
                 top = np.partition(score, -k, axis=1)[:, -k:] if score.shape[1] > k else score
                 best = np.partition(np.concatenate([best, top - reach], axis=1), -k, axis=1)[:, -k:]
-                qi, ri = np.nonzero((score + reach >= best.min(axis=1)[:, None]) & np.isfinite(score))
+                least = np.maximum(least, best.min(axis=1))
+                qi, ri = np.nonzero((score + reach >= least[:, None]) & np.isfinite(score))
                 held.append((qi, rows[ri], score[qi, ri], reach[qi, 0]))
             for qi, rows, score, reach in held:
-                ok = score + reach >= best.min(axis=1)[qi]
-                out.append(pd.DataFrame({"q_row": q_rows[qi[ok]], "row": rows[ok], "low": (score - reach)[ok], "high": (score + reach)[ok]}))
+                ok = score + reach >= least[qi]
+                out.append(pd.DataFrame({"query_block": one.query_block, "place": qi[ok].astype(np.int32), "q_row": q_rows[qi[ok]], "row": rows[ok], "low": (score - reach)[ok], "high": (score + reach)[ok]}))
         return pd.concat(out)
 
     return run
 
 
-def _kth(pairs: DataFrame, by: str, k: int) -> DataFrame:
-    """The k-th largest value of each query (the least, if there are fewer, when nothing may be pruned: minus infinity)."""
-    first = pairs.select("q_row", by, F.row_number().over(Window.partitionBy("q_row").orderBy(F.col(by).desc())).alias("n")).where(F.col("n") <= k)
-    return first.groupBy("q_row").agg(F.when(F.count("*") == k, F.min(by).cast("double")).otherwise(F.lit(float("-inf"))).alias("least"))
+def _kth(pairs: DataFrame, by: str, k: int, keys: tuple[str, ...] = ("q_row",)) -> DataFrame:
+    """The k-th largest value of each query that has so many."""
+    first = pairs.select(*keys, by, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(by).desc())).alias("n")).where(F.col("n") <= k)
+    return first.groupBy(*keys).agg(F.count("*").alias("n"), F.min(by).cast("double").alias("least")).where(F.col("n") == k).drop("n")
+
+
+def _pruned(pairs: DataFrame, kth: DataFrame) -> DataFrame:
+    return pairs.join(kth.select("q_row", "least"), "q_row", "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).drop("least")
+
+
+def possible_pairs(q_blocks: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
+    """The pairs of a query and a vector that the bounds over all cells leave."""
+    n_groups = max(1, -(-approximate.count() // CELLS_A_GROUP))
+    n_sides = max(1, -(-q_blocks.count() // QUERIES_A_GROUP))
+    grouped = lambda block, n, name: F.pmod(F.xxhash64(block), F.lit(n)).cast("int").alias(name)
+    sides = F.explode(F.sequence(F.lit(0), F.lit(n_sides - 1))).alias("side")
+    cells_of, queries_of = approximate.select("*", grouped("block", n_groups, "g")), q_blocks.select("*", grouped("query_block", n_sides, "side"))
+    found = q_blocks.sparkSession.createDataFrame([], PAIRS)
+    at, width = 0, 1
+    while at < n_groups:
+        last = min(n_groups, at + width) - 1
+        kth = _kth(found, "low", k, ("query_block", "place", "q_row"))
+        bounds = kth.groupBy("query_block").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("b")).select("query_block", F.col("b.place").alias("places"), F.col("b.least").alias("bounds"))
+        left = queries_of.join(bounds, "query_block", "left").select("*", F.explode(F.sequence(F.lit(at), F.lit(last))).alias("g"))
+        right = cells_of.where(F.col("g").between(at, last)).select("*", sides)
+        met = left.groupBy("side", "g").cogroup(right.groupBy("side", "g")).applyInPandas(_meet(k), PAIRS)
+        together = written(found.unionByName(met), "pairs-met")
+        found = written(_pruned(together, _kth(together, "low", k)), "pairs")
+        at, width = last + 1, last + 1
+    return found
 
 
 def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each query row among all other rows of `scaled` vectors."""
     exact = written(vectors, "vectors")
-    queries = exact.where(is_query)
-    approximate = written(cells(exact), "cells")
-    q_blocks = written(query_blocks(queries), "query-blocks")
-    n_groups = max(1, -(-approximate.count() // CELLS_A_GROUP))
-    group = F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("int").alias("g")
-    left = q_blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"))
-    keys = ["query_block", "dim", "g"]
-    right = q_blocks.select("query_block", "dim").join(approximate.select("*", group), "dim")
-    right = right.select([F.col(c).alias(c) for c in right.columns])  # columns of its own, apart from those of `left`
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k), "q_row long, row long, low double, high double")
-    pairs = written(pairs, "pairs")
-    open_pairs = pairs.join(_kth(pairs, "low", k), "q_row").where("high >= least").drop("least", "low")
+    queries = written(exact.where(is_query), "queries")
+    pairs = possible_pairs(written(query_blocks(queries), "query-blocks"), written(cells(exact), "cells"), k)
     by_bound = Window.partitionBy("q_row").orderBy(F.col("high").desc(), "row")
-    ordered = open_pairs.withColumn("place", F.row_number().over(by_bound))
+    ordered = written(pairs.select("q_row", "row", "high", F.row_number().over(by_bound).alias("nth")), "pairs-by-bound")
     asked = queries.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
     read = lambda some: some.join(exact.select("row", "vec_id", "v"), "row").join(asked, "q_row").select("q_row", "query_id", "vec_id", product.alias("score"))
-    first = written(read(ordered.where(F.col("place") <= k)), "first-read")
-    later = ordered.where(F.col("place") > k).join(_kth(first, "score", k), "q_row").where("high >= least")
-    scored = first.unionByName(read(later))
     best = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first, last = 1, k
+    scored, left = read(ordered.where(F.col("nth") <= last)), ordered
+    while True:
+        scored = written(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "scored")
+        left = written(_pruned(left.where(F.col("nth") > last), _kth(scored, "score", k)), "pairs-left")
+        if left.isEmpty():
+            return scored.select("query_id", "rank", "vec_id", "score")
+        first, last = last + 1, 3 * last
+        scored = scored.drop("rank").unionByName(read(left.where(F.col("nth").between(first, last))))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,22 +131,49 @@ def test_line_dedup_is_exact_and_reversible(spark, awkward, nothing, monkeypatch
     index = ld.LineIndex.of(awkward)
     got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(awkward, index).collect())
     assert got == _deduped(rows)
-    monkeypatch.setattr(ld, "FILTER_BYTES", 0)  # without filters every key is asked of the exact table
-    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(awkward, index).collect()) == got
-    monkeypatch.undo()
+    clash = awkward.selectExpr("*", "1 AS n_lines", "'c' AS n_dropped", "2 AS kept_sha256")
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(clash, index).collect()) == got
+    assert ld.deduped_documents(clash).columns == clash.columns and {r.n_dropped for r in ld.deduped_documents(clash).collect()} == {"c"}
     line = "This is a line of at least twenty characters"
     more = spark.createDataFrame([(i, f"{line} {i % 4}\nand {line} {i}") for i in range(20, 40)], "doc_id long, text string")
     grown = index.insert(more)
     everything = awkward.select("doc_id", "text").unionByName(more)
     assert _state(grown) == _state(ld.LineIndex.of(everything)) != _state(index)
     assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(everything, grown).collect()) == _deduped(rows + [(r.doc_id, r.text) for r in more.collect()])
-    assert _state(grown.delete(more)) == _state(index)
+    assert _state(grown.delete(more)) == _state(index) == _state(grown.delete(more).compacted())
+    monkeypatch.setattr(ld, "FULL", 0.0)  # every filter that is touched is built anew
+    again = index.insert(more)
+    assert _state(again) == _state(grown)
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(everything, again).collect()) == collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(everything, grown).collect())
     one = grown.delete(more.where("doc_id = 39"))
     assert _state(one) == _state(ld.LineIndex.of(everything.where("doc_id IS NULL OR doc_id <> 39")))
     assert ld.dedup(nothing, ld.LineIndex.of(nothing)).count() == 0
     assert ld.deduped_documents(awkward).columns == awkward.columns
 
 
+def test_a_change_writes_what_it_changes(spark):
+    line = "This is a line of at least twenty characters"
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line), F.col("id") % 700, F.lit(f"\n{line}")).alias("text"))
+    index = ld.LineIndex.of(docs)
+    few = spark.createDataFrame([(9000, f"{line} 5"), (9001, f"{line} of its own"), (None, line)], "doc_id long, text string")
+    for changed in (index.insert(few), index.insert(few).delete(few)):
+        assert changed.reference_parts[-1].count() == 3 and changed.holder_parts[-1].count() <= 2 and changed.filter_parts[-1].count() <= 2
+    assert _state(index.insert(few).delete(few)) == _state(index)
+
+
+def test_filters_and_shards_grow_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(ld, "LEAST_SHARDS", 1)
+    monkeypatch.setattr(ld, "KEYS_A_SHARD", 64)
+    line = "This is a line of at least twenty characters"
+    some = lambda n: spark.range(4 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit(line), F.col("id") % n).alias("text"))
+    small = ld.LineIndex.of(some(40))
+    grown = small.insert(some(160).withColumn("doc_id", F.col("doc_id") + 10_000))
+    assert small.shards == 1 and grown.shards == 1 and grown.filters.first().n_keys == 160 and small.filters.first().slots < grown.filters.first().slots
+    assert not ld.CuckooFilter.from_bytes(bytes(grown.filters.first().blob)).stash
+    large = small.insert(some(900).withColumn("doc_id", F.col("doc_id") + 10_000))
+    assert large.shards == 16 and len(large.filter_parts) == 1 and large.filters.agg(F.sum("n_keys")).first()[0] == 900
+
+
 def test_cuckoo_filters_never_miss_and_forget_what_is_deleted():
     rng = np.random.default_rng(7)
     hi, lo = (rng.integers(0, 1 << 63, 4000).astype(np.uint64) for _ in range(2))
@@ -247,7 +274,9 @@ def test_search_equals_brute_force_on_odd_vectors(spark):
 
 @pytest.mark.parametrize("bits", [1, 3, 8])
 def test_coarse_cells_lose_nothing(spark, bits, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "CELLS_A_GROUP", 1)  # several rounds
+    monkeypatch.setattr(topk, "QUERIES_A_GROUP", 1)
+    monkeypatch.setattr(topk, "query_blocks", lambda queries, f=topk.query_blocks: f(queries, 2))
     rng = np.random.default_rng(9)
     frame = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=5)]) for i in range(90)], "vec_id long, embedding array<double>")
     monkeypatch.setattr(topk, "cells", lambda vectors, f=topk.cells: f(vectors, bits, 16))
@@ -259,6 +288,17 @@ def test_coarse_cells_lose_nothing(spark, bits, monkeypatch):
             assert [got[r.vec_id, k] for k in (1, 2, 3)] == scores[:3]
 
 
+def test_pairs_grow_with_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELLS_A_GROUP", 1)
+    rng, sizes = np.random.default_rng(11), {}
+    for n in (400, 3200):
+        frame = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(n)], "vec_id long, embedding array<double>").repartition(2)
+        exact = written(topk.scaled(frame), "test-vectors")
+        blocks = written(topk.query_blocks(exact.where("vec_id < 40")), "test-blocks")
+        sizes[n] = topk.possible_pairs(blocks, written(topk.cells(exact, 8, 50), "test-cells"), 5).count()
+    assert 40 * 5 <= sizes[400] and sizes[3200] <= 1.5 * sizes[400]
+
+
 def test_label_model_finds_planted_accuracies():
     rng = np.random.default_rng(10)
     good = rng.random(20_000) < 0.8
