@@ -1,19 +1,26 @@
 """Quality classifier from a weak-label model and a hashed linear scorer.
 
-Several heuristic labellers look at a document and vote good, bad, or nothing. Nobody labels anything: expectation
-maximisation estimates, from how the votes agree, each labeller's accuracy and each document's probability of being
-good. Documents with the same votes have the same probability, so the model needs only the number of documents with
-each pattern of votes, at most 3**labellers of them, however many documents there are. A linear scorer over hashed
-words and hashed buckets of the measurements is then trained on those probabilities and scores every document.
-
-The same is done for toxicity with labellers of its own: insults say nothing about quality, and quality nothing about
-insults. A document is kept if it scores as good and not as toxic.
-
-Counts of patterns cover all documents. The scorer is trained on TRAIN_DOCS documents at most, chosen by a hash of
-their id; that is the operator's one bounded sample. Votes, probabilities and scores are for all.
-
-Defined results: a null or empty text is voted bad by the length labeller only; equal texts get equal scores;
-a null id is scored like any other but never in the sample; an empty table gives no rows; other columns are not read.
+Several heuristic labellers look at a document and vote good, bad, or nothing. Expectation maximisation estimates, from
+how the votes agree, each labeller's accuracy and each document's probability of being good. Documents with the same
+votes have the same probability, so the model needs only the number of documents with each pattern of votes, at most
+3**labellers of them, however many documents there are. A linear scorer over hashed features is then trained on those
+probabilities and alone decides about every document.
+
+Two things are told apart, by labellers of their own: quality, from measurements of the text; and toxicity, from word
+lists of four languages (each silent about texts in the others), insults next to a second person, and shouting. Where
+people have labelled some documents, they are one more labeller of each, silent about all others, whose accuracy is
+estimated like the rest. The quality scorer looks at shares of words and buckets of the measurements; the toxicity
+scorer at which words and beginnings of words are there at all, those that differ clearly between the two kinds of
+documents. So it also finds what no list holds.
+
+Counts of patterns cover all documents. The scorers are trained on TRAIN_DOCS documents at most, chosen by a hash of
+their id, those with labels of people first; that is the operator's one bounded sample. Where at least LEAST_LABELLED
+of them have labels, the toxicity scorer looks at no others, since about some of these its labellers say nothing.
+Scores are for all.
+
+Defined results: a null or empty text is voted bad by the length labeller only; equal texts get equal scores; a null id
+is scored like any other but never in the sample; people's labels that are null, of unknown documents, or as often good
+as bad count for nothing; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,22 +31,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabiya.llm.common import table
 
-TRAIN_DOCS, FEATURES, ROUNDS, STEPS = 6_000, 1 << 16, 60, 80
-GOOD, BAD, NONE = 1, 0, 2
-#: Function words of four languages, and common English insults: fixed lists that labellers use.
-FUNCTION_WORDS = "the of and to in is that for on with as are at be this was un une le la les de des et en est que qui dans pour pas sur el los las una por con del se der die das und den von zu mit sich ist im nicht ein eine auf".split()
-INSULTS = "idiot idiots moron morons scum loser losers pathetic disgusting worthless stupid trash clown garbage dumb filth vermin imbecile pig ugly".split()
-_COMMON = frozenset(w.encode() for w in FUNCTION_WORDS)
-_INSULT = frozenset(w.encode() + end for w in INSULTS for end in (b"", b".", b",", b"!", b"?", b";", b":"))
-_SPACES, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+TRAIN_DOCS, LEAST_LABELLED, FEATURES, ROUNDS, STEPS = 6_000, 1_000, 1 << 18, 60, 80
+#: Lengths of word beginnings that are features; how clearly (in standard errors), how much (in natural logarithms) and
+#: in how many documents a feature must differ to be one of the toxicity scorer.
+BEGINNINGS, CLEARLY, MUCH, OFTEN = (4, 5, 6), 4.0, 1.5, 3
+BAD, GOOD, NONE = 0, 1, 2
+#: Function words, second persons and common insults of four languages: fixed lists that labellers use.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that for on with as are at be this was",
+    "fr": "un une le la les de des et en est que qui dans pour pas sur",
+    "es": "el los las del y que por con una para es en de la se un",
+    "de": "der die das und den von zu mit sich ist im nicht ein eine auf des",
+}
+PERSONS = "you your you're u du dich dir dein ihr euch tu toi ton vous votre tú ti tus eres vosotros".split()
+INSULTS = {
+    "en": "idiot idiots moron morons scum loser losers pathetic disgusting worthless stupid trash clown garbage dumb filth vermin imbecile pig ugly",
+    "fr": "idiote imbécile crétin abruti connard ordure minable dégoûtant bouffon raclure débile",
+    "es": "idiota imbécil estúpido estúpida escoria basura perdedor patético asqueroso inútil payaso tonto",
+    "de": "dummkopf trottel abschaum versager dreckskerl ekelhaft widerlich blöd wertlos arschloch schwachkopf",
+}
+LANGUAGES = tuple(INSULTS)
+_SPACES, _SYMBOLS, _POINTS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b".,!?;:\"'()"
 _UPPER = bytes(range(65, 91))
 
 
+def _by_word(lists: dict[str, str]) -> dict[bytes, tuple[int, ...]]:
+    return {w.encode(): tuple(i for i, name in enumerate(lists) if w in lists[name].split()) for name in lists for w in lists[name].split()}
+
+
+_COMMON, _INSULT, _PERSON = _by_word(FUNCTION_WORDS), _by_word(INSULTS), frozenset(w.encode() for w in PERSONS)
+_MARKED = {w + end: at for w, at in _INSULT.items() for end in (b"", b".", b",", b"!", b"?", b";", b":")}
+
+
 def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
     """What the labellers look at, and the lower-cased words."""
     raw = (text or "").encode()
@@ -50,8 +78,10 @@ def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
     lines = [line for line in lines if line]
     without = lambda chars: len(raw) - len(raw.translate(None, chars))
     ascii_letters = without(_UPPER) + without(bytes(range(97, 123)))
-    insults = [w for w in words if w in _INSULT]
-    return {
+    common = [_COMMON[w] for w in words if w in _COMMON]
+    insults = [i for i, w in enumerate(words) if w in _MARKED]
+    near = sum(any(w in _PERSON for w in words[max(0, i - 3) : i + 4]) for i in insults)
+    measured = {
         "words": n,
         "symbols": without(_SYMBOLS) * share,
         "marks": raw.count(b"!") * share,
@@ -61,11 +91,14 @@ def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
         "upper": without(_UPPER) / max(1, ascii_letters),
         "same_lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
         "ends": sum(line.endswith((b".", b"!", b"?", b":", b'"')) for line in lines) / max(1, len(lines)),
-        "common": sum(map(_COMMON.__contains__, words)) * share,
+        "common": len(common) * share,
         "insults": len(insults),
-        "insult_share": len(insults) * share,
-        "insult_kinds": len({w.rstrip(b".,!?;:") for w in insults}),
-    }, words
+        "directed": near,
+    }
+    for i, name in enumerate(LANGUAGES):
+        measured[f"common_{name}"] = sum(i in at for at in common) * share
+        measured[f"insults_{name}"] = sum(i in _MARKED[words[at]] for at in insults)
+    return measured, words
 
 
 def _between(name: str, bad: Callable[[float], bool], good: Callable[[float], bool], least: int = 20) -> Callable[[dict], int]:
@@ -79,17 +112,23 @@ def _between(name: str, bad: Callable[[float], bool], good: Callable[[float], bo
 
 @dataclass(frozen=True)
 class Task:
-    """What is to be told apart, by which labellers."""
+    """What is to be told apart, by which labellers. People's labels are a labeller after these."""
 
     name: str
     labellers: tuple[Callable[[dict], int], ...]
 
     def votes(self, m: dict[str, float]) -> int:
-        """All votes as one number, a base-3 digit each."""
+        """All votes but people's as one number, a base-3 digit each."""
         return sum(vote(m) * 3**i for i, vote in enumerate(self.labellers))
 
-    def digits(self, pattern: np.ndarray) -> np.ndarray:
-        return np.stack([pattern // 3**i % 3 for i in range(len(self.labellers))], axis=-1)
+    @property
+    def people(self) -> int:
+        """What a vote of people counts in such a number."""
+        return 3 ** len(self.labellers)
+
+
+def digits(pattern: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([pattern // 3**i % 3 for i in range(n)], axis=-1)
 
 
 QUALITY = Task(
@@ -107,13 +146,20 @@ QUALITY = Task(
         _between("common", lambda x: x < 0.03, lambda x: x > 0.12),
     ),
 )
+
+
+def _listed(language: str) -> Callable[[dict], int]:
+    """A word list may call any text bad, but only texts in its own language good."""
+    return lambda m: BAD if m[f"insults_{language}"] else GOOD if m[f"common_{language}"] > 0.08 else NONE
+
+
 #: GOOD means free of insults.
 TOXICITY = Task(
     "toxicity",
     (
-        _between("insults", lambda x: x >= 3, lambda x: x < 1, 0),
-        _between("insult_share", lambda x: x > 0.01, lambda x: x < 0.001, 0),
-        _between("insult_kinds", lambda x: x >= 2, lambda x: x < 1, 0),
+        *map(_listed, LANGUAGES),
+        lambda m: BAD if m["directed"] else NONE if m["insults"] else GOOD,
+        lambda m: NONE if m["words"] < 20 else BAD if m["upper"] > 0.5 and m["marks"] > 0.05 else GOOD if m["upper"] < 0.1 and m["marks"] < 0.02 else NONE,
     ),
 )
 TASKS = (QUALITY, TOXICITY)
@@ -121,13 +167,20 @@ TASKS = (QUALITY, TOXICITY)
 
 @dataclass(frozen=True)
 class LabelModel:
-    """For each labeller, how often a vote of it is right on good and on bad documents; the share of good documents;
-    and the probability of good for each pattern of votes."""
+    """For each labeller, how often a vote of it is right on good and on bad documents; and the share of good documents.
+    From these follows the probability of good for any pattern of votes."""
 
     right_on_good: np.ndarray
     right_on_bad: np.ndarray
     balance: float
-    probability: dict[int, float]
+
+    def probability(self, patterns: np.ndarray) -> np.ndarray:
+        """An alarm never speaks for good: where it would, the labeller counts for nothing."""
+        votes = digits(patterns, len(self.right_on_good))
+        voted, alarm = votes != NONE, votes == BAD
+        useful = self.right_on_bad > 1 - self.right_on_good
+        gain = np.where(alarm, np.log((1 - self.right_on_good) / self.right_on_bad), np.log(self.right_on_good / (1 - self.right_on_bad))) * voted * useful
+        return 1 / (1 + np.exp(-np.clip(np.log(self.balance / (1 - self.balance)) + gain.sum(axis=-1), -50, 50)))
 
     @staticmethod
     def fit(task: Task, counts: dict[int, int]) -> LabelModel:
@@ -136,19 +189,16 @@ class LabelModel:
         lets the votes correct that; pseudo-counts say that labellers are right on good documents."""
         patterns = np.array(sorted(counts), np.int64)
         n = np.array([counts[p] for p in patterns.tolist()], float)
-        votes = task.digits(patterns)
+        votes = digits(patterns, len(task.labellers) + 1)
         voted, alarm = votes != NONE, votes == BAD
         p = np.where(alarm.sum(axis=1) == 0, 0.95, np.where(alarm.sum(axis=1) == 1, 0.3, 0.05))
         for _ in range(ROUNDS):
             good, bad = (p * n)[:, None] * voted, ((1 - p) * n)[:, None] * voted
             on_good = ((good * ~alarm).sum(axis=0) + 49) / (good.sum(axis=0) + 50)
             on_bad = ((bad * alarm).sum(axis=0) + 1) / (bad.sum(axis=0) + 2)
-            balance = float(((p * n).sum() + 1) / (n.sum() + 2))
-            # An alarm must never speak for good: where it would, the labeller counts for nothing.
-            useful = on_bad > 1 - on_good
-            gain = np.where(alarm, np.log((1 - on_good) / on_bad), np.log(on_good / (1 - on_bad))) * voted * useful
-            p = 1 / (1 + np.exp(-np.clip(np.log(balance / (1 - balance)) + gain.sum(axis=1), -50, 50)))
-        return LabelModel(on_good, on_bad, balance, dict(zip(patterns.tolist(), p.tolist(), strict=True)))
+            made = LabelModel(on_good, on_bad, float(((p * n).sum() + 1) / (n.sum() + 2)))
+            p = made.probability(patterns)
+        return made
 
 
 class _Hashes(dict):
@@ -159,26 +209,39 @@ class _Hashes(dict):
         return found
 
 
+def marks_of(word: bytes) -> set[int]:
+    """The features of a word that is there: itself and its beginnings."""
+    bare = word.strip(_POINTS)
+    return {zlib.crc32(b"=" + bare) % FEATURES, *(zlib.crc32(b"^" + bare[:n]) % FEATURES for n in BEGINNINGS if len(bare) > n)}
+
+
 _HASHES = _Hashes()
-_STATS = ("symbols", "marks", "distinct", "twice", "length", "upper", "same_lines", "ends", "common", "insult_share")
+_STATS = ("symbols", "marks", "distinct", "twice", "length", "upper", "same_lines", "ends", "common")
 
 
-def features(m: dict[str, float], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words (each weighs 1 / words), and of the measurements' buckets (each weighs 1)."""
+def quality_features(m: dict[str, float], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words, and of the measurements' buckets."""
     buckets = [zlib.crc32(b"%s=%d" % (s.encode(), round(np.log2(m[s] * 128 + 1) * 2))) % FEATURES for s in _STATS]
     buckets.append(zlib.crc32(b"words=%d" % round(np.log2(m["words"] + 1) * 2)) % FEATURES)
     return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words)), np.array(buckets)
 
 
+def weighed(m: dict[str, float], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same as distinct places and their weights: all words together weigh 4, a bucket 0.3."""
+    places, buckets = quality_features(m, words)
+    at, back = np.unique(np.concatenate([places, buckets]), return_inverse=True)
+    return at, np.bincount(back, np.concatenate([np.full(len(places), 4 / max(1, len(places))), np.full(len(buckets), 0.3)]), len(at))
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
-    """Logistic regression on the probabilities, by full gradients with per-feature step sizes; the last weight is
-    the intercept."""
+    """Logistic regression on the probabilities, by full gradients with per-feature step sizes; a row is places, their
+    weights and the probability; the last weight is the intercept."""
     w, seen = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8)
     if not rows:
         return w
-    at = np.concatenate([np.concatenate([places, buckets, [FEATURES]]) for places, buckets, _ in rows])
-    value = np.concatenate([np.concatenate([np.full(len(p), 4 / max(1, len(p))), np.full(len(b), 0.3), [1.0]]) for p, b, _ in rows])
-    row = np.repeat(np.arange(len(rows)), [len(p) + len(b) + 1 for p, b, _ in rows])
+    at = np.concatenate([np.append(places, FEATURES) for places, _, _ in rows])
+    value = np.concatenate([np.append(weights, 1.0) for _, weights, _ in rows])
+    row = np.repeat(np.arange(len(rows)), [len(p) + 1 for p, _, _ in rows])
     target = np.array([t for _, _, t in rows])
     for _ in range(STEPS):
         score = np.bincount(row, w[at] * value, len(rows))
@@ -189,41 +252,104 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
     return w
 
 
-def scored(w: np.ndarray, places: np.ndarray, buckets: np.ndarray) -> float:
-    score = w[FEATURES] + 0.3 * w[buckets].sum() + (4 * w[places].mean() if len(places) else 0.0)
+def telling(rows: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Whether a feature differs clearly between good and bad documents."""
+    at = np.concatenate([np.zeros(0, np.int64), *[places for places, _ in rows]])
+    good = np.concatenate([np.zeros(0), *[np.full(len(places), p) for places, p in rows]])
+    on_good, on_all = np.bincount(at, good, FEATURES), np.bincount(at, minlength=FEATURES)
+    n_good, n_all = sum(p for _, p in rows), len(rows)
+    a, b = on_good + 0.5, on_all - on_good + 0.5
+    odds = np.log(a / (n_good + 1)) - np.log(b / (n_all - n_good + 1))
+    return (np.abs(odds) > np.maximum(MUCH, CLEARLY * np.sqrt(1 / a + 1 / b))) & (on_all >= OFTEN)
+
+
+def _sigmoid(score: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(score, -50, 50))))
 
 
-def patterns(docs: DataFrame) -> DataFrame:
-    """How many documents have each pattern of votes."""
+class _Marks(dict):
+    """A word's features that have a weight; of most words none."""
+
+    def __init__(self, w: np.ndarray):
+        super().__init__()
+        self.used = set(np.flatnonzero(w[:-1]).tolist())
+
+    def __missing__(self, word: bytes) -> frozenset[int]:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = frozenset(marks_of(word) & self.used)
+        return found
+
+
+def quality_score(w: np.ndarray, m: dict[str, float], words: list[bytes]) -> float:
+    places, buckets = quality_features(m, words)
+    return _sigmoid(w[FEATURES] + 0.3 * w[buckets].sum() + (4 * w[places].mean() if len(places) else 0.0))
+
+
+def toxicity_score(w: np.ndarray, marks: _Marks, words: list[bytes]) -> float:
+    return 1 - _sigmoid(w[FEATURES] + w[list(frozenset().union(*map(marks.__getitem__, set(words))))].sum())
+
+
+def votes(docs: DataFrame) -> DataFrame:
+    """doc_id and the votes for both tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [measure(text)[0] for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([t.votes(m) for m in seen], pa.int64()) for t in TASKS], names=[t.name for t in TASKS])
+            seen = [measure(text)[0] for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([t.votes(m) for m in seen], pa.int64()) for t in TASKS]], names=["doc_id", *(t.name for t in TASKS)])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, quality long, toxicity long")
+
+
+def people_votes(labels: DataFrame) -> DataFrame:
+    """doc_id and people's votes: one row for each document that has labels (quality 1 is good, toxic 1 is bad)."""
+    vote = lambda good: F.when(good > 0.5, GOOD).when(good < 0.5, BAD).otherwise(NONE)
+    each = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
+    return each.select("doc_id", vote(F.col("q")).alias("of_quality"), vote(1 - F.col("t")).alias("of_toxicity"))
+
+
+def _with_people(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """rows with people's votes in both patterns, and whether there are any."""
+    joined = rows.join(people, "doc_id", "left").withColumn("labelled", F.col("of_quality").isNotNull())
+    for task in TASKS:
+        joined = joined.withColumn(task.name, F.col(task.name) + task.people * F.coalesce(f"of_{task.name}", F.lit(NONE)))
+    return joined.drop("of_quality", "of_toxicity")
+
+
+def patterns(docs: DataFrame, people: DataFrame) -> DataFrame:
+    """task, pattern and n: how many documents have each pattern of votes. Only votes are joined with people's."""
+    each = F.explode(F.array(*[F.struct(F.lit(t.name).alias("task"), F.col(t.name).alias("pattern")) for t in TASKS])).alias("v")
+    return _with_people(votes(docs), people).select("labelled", each).groupBy("labelled", "v.task", "v.pattern").agg(F.count("*").alias("n"))
+
 
-    votes = docs.select(F.col("text").cast("string")).mapInArrow(run, "quality long, toxicity long")
-    return votes.groupBy("quality", "toxicity").agg(F.count("*").alias("n"))
+def _place(column: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit("weak|"), F.col(column).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def sample(docs: DataFrame, n_docs: int) -> DataFrame:
+def sample(docs: DataFrame, people: DataFrame, n_labelled: int, n_other: int) -> DataFrame:
     """votes and features of about TRAIN_DOCS documents (fewer than that in all but freak cases)."""
-    share = min(1.0, 0.95 * TRAIN_DOCS / max(1, n_docs))
-    place = F.conv(F.substring(F.md5(F.concat(F.lit("weak|"), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    most = 0.95 * TRAIN_DOCS
+    share = lambda room, n: int(min(1.0, max(0.0, room) / max(1, n)) * 2**32)
+    chosen_people = F.broadcast(people.where(_place("doc_id") < share(most, n_labelled)))  # TRAIN_DOCS rows at most
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = plain.where(_place("doc_id") < share(most - n_labelled, n_other)).join(people, "doc_id", "left_anti")
+    chosen = plain.join(chosen_people.select("doc_id"), "doc_id", "left_semi").unionByName(others)
+    names = ["doc_id", "quality", "toxicity", "places", "weights", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 m, words = measure(text)
-                places, buckets = features(m, words)
-                out.append((doc_id, *[t.votes(m) for t in TASKS], places.astype("<u2").tobytes(), buckets.astype("<u2").tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "quality", "toxicity", "places", "buckets"])
+                places, weights = weighed(m, words)
+                marks = np.array(sorted(set().union(*map(marks_of, set(words)))), "<u4")
+                out.append((doc_id, *[t.votes(m) for t in TASKS], places.astype("<u4").tobytes(), weights.astype("<f4").tobytes(), marks.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    chosen = docs.where(place < int(share * 2**32)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id long, quality long, toxicity long, places binary, buckets binary")
+    found = chosen.mapInArrow(run, "doc_id long, quality long, toxicity long, places binary, weights binary, marks binary")
+    return _with_people(found, chosen_people)
 
 
 @dataclass(frozen=True)
@@ -232,31 +358,44 @@ class Classifier:
     weights: dict[str, np.ndarray]
 
     @staticmethod
-    def fit(docs: DataFrame) -> Classifier:
-        counted = patterns(docs).collect()  # at most 3**13 rows, in practice a few hundred
-        of = lambda name: {p: sum(r["n"] for r in counted if r[name] == p) for p in {r[name] for r in counted}}
-        labels = {t.name: LabelModel.fit(t, of(t.name)) for t in TASKS} if counted else {}
-        rows = sorted(sample(docs, sum(r["n"] for r in counted)).collect(), key=lambda r: (r["doc_id"], r["places"]))
-        unpack = lambda blob: np.frombuffer(blob, "<u2").astype(np.int64)
-        examples = lambda name: [(unpack(r["places"]), unpack(r["buckets"]), labels[name].probability[r[name]]) for r in rows]
-        return Classifier(labels, {t.name: train(examples(t.name)) for t in TASKS} if counted else {})
+    def fit(docs: DataFrame, labels: DataFrame | None = None) -> Classifier:
+        """labels: doc_id, quality and toxic (0 or 1) of the documents that people have looked at."""
+        spark = docs.sparkSession
+        people = people_votes(spark.createDataFrame([], "doc_id long, quality int, toxic int") if labels is None else labels)
+        rows = patterns(docs, people).collect()  # at most 2 * (3**11 + 3**7) rows, in practice a few hundred
+        if not rows:
+            return Classifier({}, {})
+        counts: dict[str, dict[int, int]] = {t.name: {} for t in TASKS}
+        for r in rows:
+            counts[r["task"]][r["pattern"]] = counts[r["task"]].get(r["pattern"], 0) + r["n"]
+        made = {t.name: LabelModel.fit(t, counts[t.name]) for t in TASKS}
+        n = {labelled: sum(r["n"] for r in rows if r["task"] == "quality" and r["labelled"] == labelled) for labelled in (True, False)}
+        some = sorted(sample(docs, people, n[True], n[False]).collect(), key=lambda r: (r["doc_id"], r["places"]))
+        of = lambda name: made[name].probability(np.array([r[name] for r in some], np.int64)).tolist()
+        ids = lambda blob: np.frombuffer(blob, "<u4").astype(np.int64)
+        quality = [(ids(r["places"]), np.frombuffer(r["weights"], "<f4").astype(float), p) for r, p in zip(some, of("quality"), strict=True)]
+        enough = sum(r["labelled"] for r in some) >= LEAST_LABELLED
+        present = [(ids(r["marks"]), p) for r, p in zip(some, of("toxicity"), strict=True) if r["labelled"] or not enough]
+        used = telling(present)
+        present = [(places[used[places]], p) for places, p in present]
+        return Classifier(made, {"quality": train(quality), "toxicity": train([(places, np.ones(len(places)), p) for places, p in present])})
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, votes and probability by the label model, the scorer's good and toxic, and keep."""
+        """doc_id, votes and the label model's probability for quality, the scorers' good and toxic, and keep, which
+        the scorers decide."""
         sent = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made: Classifier = sent.value
+            marks = _Marks(made.weights["toxicity"]) if made.weights else None
             for batch in batches:
                 out = []
                 for text in batch.column(1).to_pylist():
                     m, words = measure(text)
-                    places, buckets = features(m, words)
                     pattern = QUALITY.votes(m)
-                    good, clean = (scored(made.weights[t.name], places, buckets) for t in TASKS)
-                    harmless = made.labels["toxicity"].probability[TOXICITY.votes(m)]
-                    toxic = 1 - min(clean, harmless)
-                    out.append((np.base_repr(pattern, 3).zfill(len(QUALITY.labellers))[::-1], made.labels["quality"].probability[pattern], good, toxic, good >= 0.5 and toxic < 0.5))
+                    good, toxic = quality_score(made.weights["quality"], m, words), toxicity_score(made.weights["toxicity"], marks, words)
+                    likely = float(made.labels["quality"].probability(np.int64(pattern + NONE * QUALITY.people)))
+                    out.append((np.base_repr(pattern, 3).zfill(len(QUALITY.labellers))[::-1], likely, good, toxic, good >= 0.5 and toxic < 0.5))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "votes", "label_probability", "good_score", "toxic_score", "keep"])
@@ -266,4 +405,4 @@ class Classifier:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Classifier.fit(docs).score(docs)
+    return Classifier.fit(docs, table(spark, sf_dir, "labels")).score(docs)

@@ -305,23 +305,63 @@ def test_label_model_finds_planted_accuracies():
     on_good, on_bad = [0.99, 0.97, 0.98, 0.95], [0.7, 0.5, 0.8, 0.3]
     votes = [np.where(rng.random(len(good)) < 0.2, wl.NONE, np.where(good, rng.random(len(good)) < g, rng.random(len(good)) >= b)) for g, b in zip(on_good, on_bad, strict=True)]
     task = wl.Task("t", tuple(lambda m: 0 for _ in votes))
-    patterns = sum(v.astype(int) * 3**i for i, v in enumerate(votes))
+    patterns = sum(v.astype(int) * 3**i for i, v in enumerate([*votes, np.full(len(good), wl.NONE)]))
     model = wl.LabelModel.fit(task, dict(collections.Counter(patterns.tolist())))
     assert abs(model.balance - 0.8) < 0.05
-    assert np.abs(model.right_on_good - on_good).max() < 0.03 and np.abs(model.right_on_bad - on_bad).max() < 0.12
-
-
-def test_classifier_on_held_out_labels(spark, awkward, nothing):
-    folder = "/root/testdata/sf0.01"
+    assert np.abs(model.right_on_good[:4] - on_good).max() < 0.03 and np.abs(model.right_on_bad[:4] - on_bad).max() < 0.12
+
+
+def _plain_score(made, text):
+    """good and toxic of a text, word by word."""
+    m, words = wl.measure(text)
+    crc, w = (lambda x: zlib.crc32(x) % wl.FEATURES), made.weights
+    good = w["quality"][-1] + sum(4 / len(words) * w["quality"][crc(x)] for x in words)
+    for name in wl._STATS:
+        good += 0.3 * w["quality"][crc(f"{name}={round(np.log2(m[name] * 128 + 1) * 2)}".encode())]
+    good += 0.3 * w["quality"][crc(f"words={round(np.log2(m['words'] + 1) * 2)}".encode())]
+    marks = set()
+    for word in words:
+        bare = word.strip(b".,!?;:\"'()")
+        marks |= {crc(b"=" + bare)} | {crc(b"^" + bare[:n]) for n in (4, 5, 6) if len(bare) > n}
+    clean = w["toxicity"][-1] + sum(w["toxicity"][x] for x in marks)
+    return 1 / (1 + np.exp(-good)), 1 - 1 / (1 + np.exp(-clean))
+
+
+def test_classifier_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    made = wl.Classifier.fit(docs)
-    rows = made.score(docs).join(labels, "doc_id").collect()  # labels are used here only
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    made = wl.Classifier.fit(docs, labels.where(~held))
+    rows = made.score(docs.join(labels.where(held), "doc_id", "left_semi")).join(labels, "doc_id").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
     clean, junk = [r for r in rows if r.quality == 1 and r.toxic == 0], [r for r in rows if r.quality == 0]
     assert sum(r.keep for r in clean) >= 0.98 * len(clean) and sum(not r.keep for r in junk) >= 0.85 * len(junk)
-    again = {r.doc_id: (r.good_score, r.toxic_score) for r in wl.Classifier.fit(docs.repartition(5)).score(docs).collect()}
-    assert all(abs(again[r.doc_id][0] - r.good_score) < 1e-9 for r in rows)
-    assert wl.Classifier.fit(awkward).score(awkward).count() == awkward.count()
-    assert wl.Classifier.fit(nothing).score(nothing).count() == 0
+    toxic, other = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    listed = [r for r in toxic if wl.measure(r.text)[0]["insults"]]
+    assert sum(r.toxic_score >= 0.5 for r in listed) >= 0.95 * len(listed) > 0.4 * len(toxic)
+    assert sum(r.toxic_score >= 0.5 for r in toxic) >= 0.72 * len(toxic) and sum(r.toxic_score >= 0.5 for r in other) <= 0.01 * len(other)
+    foreign = [r for r in toxic if not wl.measure(r.text)[0]["insults"] and r.quality == 1]  # words that no list holds
+    assert sum(r.toxic_score >= 0.5 for r in foreign) >= 0.5 * len(foreign) > 20
+    for r in rows[:200]:
+        assert np.allclose((r.good_score, r.toxic_score), _plain_score(made, r.text), atol=1e-9)
+    again = {r.doc_id: (r.good_score, r.toxic_score) for r in wl.Classifier.fit(docs.repartition(5), labels.where(~held)).score(docs.where("doc_id < 500")).collect()}
+    assert all(np.allclose(again[r.doc_id], (r.good_score, r.toxic_score), atol=1e-9) for r in rows if r.doc_id in again)
+
+
+def test_classifier_without_labels_and_on_odd_tables(spark, awkward, nothing):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = wl.Classifier.fit(docs).score(docs).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    clean, english = [r for r in rows if r.quality == 1 and r.toxic == 0], [r for r in rows if r.toxic == 1 and r.lang == "en"]
+    assert sum(r.keep for r in clean) >= 0.98 * len(clean) and sum(r.toxic_score >= 0.5 for r in english) >= 0.5 * len(english)
+    odd = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (8, None, None), (8, None, 1), (None, 1, 1), (77, 0, 1)], "doc_id long, quality int, toxic int")
+    people = {r.doc_id: (r.of_quality, r.of_toxicity) for r in wl.people_votes(odd).collect()}
+    assert people == {1: (wl.NONE, wl.GOOD), 8: (wl.NONE, wl.BAD), 77: (wl.BAD, wl.BAD)}
+    for given in (None, odd, odd.limit(0)):
+        got = wl.Classifier.fit(awkward, given).score(awkward).collect()
+        assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in awkward.collect())
+        assert len({r.good_score for r in got if r.doc_id == 8}) == 1 and len({(r.votes, r.good_score, r.toxic_score) for r in got if r.doc_id in (1, 2)}) == 1
+        assert {r.votes for r in got if r.doc_id in (1, 2)} == {"0" + "2" * 9}
+        assert wl.Classifier.fit(nothing, given).score(nothing).count() == 0
 
 
 def test_pipeline_stage_by_stage(spark, tokenizer):
