@@ -23,7 +23,9 @@ SYNONYMS = (
     ("centralisation", "centralization"), ("recognise", "recognize"), ("specialise", "specialize"), ("mate", "checkmate"),
 )
 WORD = r"[\p{L}\p{N}]+"
-ENGLISH_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
+#: With possessive groups the engine loops instead of recursing, so a text of any length is safe; as the classes have
+#: no character in common, the matches are the same.
+ENGLISH_WORD = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+"
 
 
 def standard_tokens(text: Column) -> Column:

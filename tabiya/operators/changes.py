@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INDEX, UPDATE, DELETE = "index", "update", "delete"
@@ -10,17 +10,12 @@ INDEX, UPDATE, DELETE = "index", "update", "delete"
 
 def last_per_document(events: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("cluster_time", "seq")) -> DataFrame:
     """The last event of each document; events without a document go. As a maximum, not a sorted window, so that
-    events are combined before the shuffle and a document with very many of them is no large group."""
+    events are combined before the shuffle and a document with very many of them is no large group; only the order is
+    compared, so other columns may be of any type, also maps."""
     rest = [c for c in events.columns if c not in (key, *order)]
-    last = F.max(F.struct(*order, F.struct(*rest).alias("_rest"))) if rest else F.max(F.struct(*order))
-    found = events.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_last"))
-    return found.select(*[F.col(key) if c == key else F.col(f"_last.{c}") if c in order else F.col(f"_last._rest.{c}") for c in events.columns])
-
-
-def last_per_document_any_type(events: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("cluster_time", "seq")) -> DataFrame:
-    """The same for events with columns that have no order (maps), by a window."""
-    by = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return events.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    last = [F.max(F.struct(*order)).alias("_last"), *([F.max_by(F.struct(*rest), F.struct(*order)).alias("_rest")] if rest else [])]
+    found = events.where(F.col(key).isNotNull()).groupBy(key).agg(*last)
+    return found.select(*[F.col(key) if c == key else F.col(f"_last.{c}") if c in order else F.col(f"_rest.{c}") for c in events.columns])
 
 
 def action(op: Column, dead: Column) -> Column:

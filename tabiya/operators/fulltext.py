@@ -1,17 +1,18 @@
 """Full-text search over collections: postings, matching and BM25, as joins and aggregations.
 
-`postings` turns text fields into rows (_id, field, element, term, tf, length): one row for a term in a field, where
-element is the place in an array of structs (-1 outside arrays). Store them sorted or bucketed by term, and a search
-reads only the terms it asks for. Query words are a handful, so they travel as literals; matches are grouped by
-document, never collected.
+Postings are rows (_id, field, element, term, tf, length): one row for a term in a field, where element is the place in
+an array of structs (-1 outside arrays). A search can make them of the collection as it goes, or read a `TextIndex`,
+where they are stored sorted by term: it then reads the terms it asks for and nothing else, whatever the collection's
+size. Query words are a handful, so they travel as literals; matches are grouped by document, never collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabiya.functions.analysis import english_tokens, standard_tokens, stemmed
@@ -20,16 +21,36 @@ K1, B = 1.2, 0.75
 Query = list[list[str]]  #: positions of a query, each a list of alternative terms
 
 
-def _counted(rows: DataFrame, stem: bool) -> DataFrame:
-    """rows (_id, field, element, tokens) to postings."""
-    each = rows.select("_id", "field", "element", F.explode("tokens").alias("term"))
-    each = stemmed(each, "term") if stem else each
-    tf = each.groupBy("_id", "field", "element", "term").agg(F.count("*").alias("tf"))
-    length = rows.select("_id", "field", "element", F.size("tokens").alias("length"))
-    return tf.join(length, ["_id", "field", "element"])
+@dataclass(frozen=True)
+class Postings:
+    """rows: the postings. lengths: (_id, field, element, length), a row for each field that has words; or `known`:
+    field, n_docs and total length, as a stored index has them."""
 
+    rows: DataFrame
+    lengths: DataFrame | None = None
+    known: DataFrame | None = None
 
-def postings(collection: DataFrame, fields: Mapping[str, Column], english: bool = True) -> DataFrame:
+    def plus(self, other: Postings) -> Postings:
+        return Postings(self.rows.unionByName(other.rows), self.lengths.unionByName(other.lengths))
+
+    def statistics(self) -> DataFrame:
+        """field, n_docs and total: over all documents, a row for each field."""
+        if self.known is not None:
+            return self.known
+        return self.lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("length").cast("long").alias("total"))
+
+
+def _counted(rows: DataFrame, stem: bool) -> Postings:
+    """rows (_id, field, element, tokens) to postings. Words are counted in their field before they are stemmed, so
+    the dictionary is joined with counts and not with occurrences."""
+    by = ["_id", "field", "element", "length"]
+    each = rows.select("_id", "field", "element", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    tf = each.groupBy(*by, "term").agg(F.count("*").alias("tf"))
+    tf = stemmed(tf, "term").groupBy(*by, "term").agg(F.sum("tf").alias("tf")) if stem else tf
+    return Postings(tf.select("_id", "field", "element", "term", "tf", "length"), rows.select("_id", "field", "element", F.size("tokens").alias("length")))
+
+
+def postings(collection: DataFrame, fields: Mapping[str, Column], english: bool = True) -> Postings:
     """Postings of the named text columns; array columns count as one text of all their elements."""
     tokens = english_tokens if english else standard_tokens
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tokens(column).alias("tokens")) for name, column in fields.items()])).alias("f")
@@ -37,7 +58,7 @@ def postings(collection: DataFrame, fields: Mapping[str, Column], english: bool
     return _counted(rows, english)
 
 
-def element_postings(collection: DataFrame, array: str, fields: Mapping[str, Callable[[Column], Column]], english: bool = True) -> DataFrame:
+def element_postings(collection: DataFrame, array: str, fields: Mapping[str, Callable[[Column], Column]], english: bool = True) -> Postings:
     """Postings of text fields inside an array of structs; they carry the element's place, so that conditions can be
     asked of one and the same element."""
     tokens = english_tokens if english else standard_tokens
@@ -47,25 +68,90 @@ def element_postings(collection: DataFrame, array: str, fields: Mapping[str, Cal
     return _counted(rows, english)
 
 
-def hits(index: DataFrame, query: Query, fields: Mapping[str, float]) -> DataFrame:
+class TextIndex:
+    """Stored postings that follow a collection. Generation 0 is of all documents; each later one has the postings of
+    the documents that changed, and the ids of these and of the deleted, which hide what older generations have of
+    them. Postings are sorted by term and id over files of even size, so a search's IN filter on the term skips all
+    others, and a word that is in every document is spread over several files. Statistics are a row for each field,
+    brought forward with each generation."""
+
+    def __init__(self, spark: SparkSession, path: str, make: Callable[[DataFrame], Postings]):
+        """make: the postings of a collection (or of the part of it that changed)."""
+        self.spark, self.path, self.make = spark, path.rstrip("/"), make
+
+    def generations(self) -> list[int]:
+        """Those that are complete: statistics are written last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.globStatus(path(f"{self.path}/statistics=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().removeprefix("statistics=")) for f in found)
+
+    def _read(self, kind: str, generation: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{kind}={generation}")
+
+    def _write(self, frame: DataFrame, kind: str, generation: int) -> None:
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{kind}={generation}")
+
+    def _current(self, kind: str) -> DataFrame:
+        """The rows of all generations that no later generation hides."""
+        done = self.generations()
+        rows = reduce(DataFrame.unionByName, [self._read(kind, g).withColumn("_generation", F.lit(g)) for g in done])
+        if len(done) > 1:
+            changed = reduce(DataFrame.unionByName, [self._read("changed", g).withColumn("_last", F.lit(g)) for g in done[1:]])
+            rows = rows.join(changed.groupBy("_id").agg(F.max("_last").alias("_last")), "_id", "left").where("_last IS NULL OR _generation >= _last").drop("_last")
+        return rows.drop("_generation")
+
+    def build(self, collection: DataFrame) -> TextIndex:
+        self._store(self.make(collection), 0, None)
+        return self
+
+    def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> TextIndex:
+        """The documents as they now are, and the ids of those that are gone. Costs what the changes cost."""
+        generation = max(self.generations()) + 1
+        ids = changed.select("_id") if deleted is None else changed.select("_id").unionByName(deleted.select("_id"))
+        self._write(ids.distinct(), "changed", generation)
+        self._store(self.make(changed), generation, self._current("lengths").join(self._read("changed", generation), "_id", "left_semi"))
+        return self
+
+    def _store(self, made: Postings, generation: int, hidden: DataFrame | None) -> None:
+        self._write(made.rows.repartitionByRange("term", "_id").sortWithinPartitions("term", "_id"), "postings", generation)
+        per_document = made.lengths.groupBy("_id", "field").agg(F.count("*").alias("n_docs"), F.sum("length").cast("long").alias("total"))
+        self._write(per_document, "lengths", generation)
+        new = self._read("lengths", generation).select("field", "n_docs", "total")
+        if hidden is not None:
+            new = new.unionByName(hidden.select("field", (-F.col("n_docs")).alias("n_docs"), (-F.col("total")).alias("total"))).unionByName(self._read("statistics", generation - 1))
+        self._write(new.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")).coalesce(1), "statistics", generation)
+
+    def postings(self) -> Postings:
+        return Postings(self._current("postings"), known=self._read("statistics", max(self.generations())))
+
+
+Index = Postings | TextIndex
+
+
+def _of(index: Index) -> Postings:
+    return index.postings() if isinstance(index, TextIndex) else index
+
+
+def hits(index: Index, query: Query, fields: Mapping[str, float]) -> DataFrame:
     """(_id, field, element, position, tf, length, boost): where the query's positions occur. The terms reach the scan
-    as an IN filter."""
+    as an IN filter. A position without terms occurs nowhere."""
     wanted = sorted({term for group in query for term in group})
-    pairs = [(term, place) for place, group in enumerate(query) for term in group]
-    position = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in pairs]), lambda e: e["t"] == F.col("term"))
+    places = [F.struct(F.lit(t).alias("t"), F.lit(p).cast("int").alias("p")) for p, group in enumerate(query) for t in group]
+    position = F.filter(F.array(*places) if places else F.array().cast("array<struct<t:string,p:int>>"), lambda e: e["t"] == F.col("term"))
     boost = reduce(lambda acc, kv: acc.when(F.col("field") == kv[0], F.lit(float(kv[1]))), fields.items(), F.when(F.lit(False), F.lit(0.0)))
-    found = index.where(F.col("term").isin(wanted) & F.col("field").isin(list(fields)))
+    found = _of(index).rows.where((F.col("term").isin(wanted) if wanted else F.lit(False)) & F.col("field").isin(list(fields)))
     rows = found.select("_id", "field", "element", "tf", "length", boost.alias("boost"), F.explode(position).alias("at")).select("*", F.col("at.p").alias("position"))
     return rows.groupBy("_id", "field", "element", "position", "length", "boost").agg(F.sum("tf").alias("tf"))
 
 
-def position_scores(index: DataFrame, query: Query, fields: Mapping[str, float]) -> DataFrame:
+def position_scores(index: Index, query: Query, fields: Mapping[str, float]) -> DataFrame:
     """(_id, field, element, position, score): BM25 of each query position in each field, with boosts. Statistics are
     global: documents with the field, its mean length, and the documents in which a position occurs (a synonym group
     is one position)."""
+    index = _of(index)
     found = hits(index, query, fields)
-    lengths = index.where(F.col("field").isin(list(fields))).select("_id", "field", "element", "length").distinct()
-    about = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    about = index.statistics().select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("mean_length"))
     often = found.groupBy("field", "position").agg(F.count("*").alias("n_with"))
     idf = F.log(1 + (F.col("n_docs") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -73,35 +159,48 @@ def position_scores(index: DataFrame, query: Query, fields: Mapping[str, float])
     return rows.select("_id", "field", "element", "position", (F.col("boost") * idf * weight).alias("score"))
 
 
-def scored_fields(index: DataFrame, query: Query, fields: Mapping[str, float]) -> DataFrame:
+def scored_fields(index: Index, query: Query, fields: Mapping[str, float]) -> DataFrame:
     """(_id, field, element, matched, score): positions found in a field, and their scores together."""
     return position_scores(index, query, fields).groupBy("_id", "field", "element").agg(F.count("*").alias("matched"), F.sum("score").alias("score"))
 
 
-def best_field(index: DataFrame, query: Query, fields: Mapping[str, float], every_word: bool = False) -> DataFrame:
+def best_field(index: Index, query: Query, fields: Mapping[str, float], every_word: bool = False) -> DataFrame:
     """(_id, _score) by the best field; with every_word, all positions must be in one and the same field."""
     rows = scored_fields(index, query, fields)
     rows = rows.where(F.col("matched") == len(query)) if every_word else rows
     return rows.groupBy("_id").agg(F.max("score").alias("_score"))
 
 
-def every_word_somewhere(index: DataFrame, query: Query, fields: Mapping[str, float], exact: Mapping[int, DataFrame] | None = None) -> DataFrame:
-    """(_id) of documents in which each position occurs in some field, or is among the ids that `exact` gives for it."""
+def every_word_somewhere(index: Index, query: Query, fields: Mapping[str, float], exact: DataFrame | None = None) -> DataFrame:
+    """(_id) of documents in which each position occurs in some field, or is given with the id in `exact`
+    (_id, position). One grouping for all words."""
     found = hits(index, query, fields).select("_id", "position")
-    for place, ids in (exact or {}).items():
-        found = found.unionByName(ids.select("_id", F.lit(place).alias("position")))
+    found = found if exact is None else found.unionByName(exact.select("_id", "position"))
     return found.groupBy("_id").agg(F.countDistinct("position").alias("n")).where(F.col("n") == len(query)).select("_id")
 
 
-def in_one_element(index: DataFrame, query: Query, fields: Mapping[str, float]) -> DataFrame:
+def in_one_element(index: Index, query: Query, fields: Mapping[str, float]) -> DataFrame:
     """(_id, element) of elements in which some position occurs in some field."""
     return hits(index, query, fields).select("_id", "element").distinct()
 
 
-def required_and_optional(index: DataFrame, required: Query, optional: Query, field: str) -> DataFrame:
+def element_conditions(index: Index, conditions: Mapping[str, tuple[list[str], Query]], test: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """(_id, element) of elements for which `test` holds. A condition (fields, query) is met if some position of its
+    query occurs in one of its fields; test gets a function from its name to that. All are asked in one pass, and an
+    element has as many rows as conditions at most."""
+    asked = [(field, term, name) for name, (fields, query) in conditions.items() for field in fields for group in query for term in group]
+    places = [F.struct(F.lit(f).alias("f"), F.lit(t).alias("t"), F.lit(n).alias("n")) for f, t, n in asked]
+    names = F.filter(F.array(*places) if places else F.array().cast("array<struct<f:string,t:string,n:string>>"), lambda e: (e["f"] == F.col("field")) & (e["t"] == F.col("term")))
+    found = _of(index).rows.where((F.col("term").isin(sorted({t for _, t, _ in asked})) & F.col("field").isin(sorted({f for f, _, _ in asked}))) if asked else F.lit(False))
+    met = found.select("_id", "element", F.explode(names).alias("c")).groupBy("_id", "element").agg(F.collect_set("c.n").alias("met"))
+    return met.where(test(lambda name: F.array_contains("met", name))).select("_id", "element")
+
+
+def required_and_optional(index: Index, required: Query, optional: Query, field: str, scored: bool = True) -> DataFrame:
     """(_id, _score) of documents with all required positions; if there is none, with at least one optional one.
-    Optional positions add to the score."""
+    Optional positions add to the score. Without `scored` nothing is scored."""
     n = len(required)
-    found = position_scores(index, required + optional, {field: 1.0})
+    query = required + optional if scored or not n else required
+    found = position_scores(index, query, {field: 1.0}) if scored else hits(index, query, {field: 1.0}).withColumn("score", F.lit(0.0))
     grouped = found.groupBy("_id").agg(F.sum((F.col("position") < n).cast("int")).alias("must"), F.sum("score").alias("_score"))
-    return grouped.where(F.col("must") == n).select("_id", "_score")
+    return grouped.where(F.col("must") == n).select("_id", *(["_score"] if scored else []))

@@ -6,17 +6,21 @@ A query object gives the matching rows of its collection, with `_score` where on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabiya.functions import predicates as p
-from tabiya.functions.analysis import english_query, standard_query, standard_tokens
+from tabiya.functions.analysis import english_query, standard_query
 from tabiya.operators import fulltext
+from tabiya.sources.collections import CHAPTER
 
 DEFAULT_SIZE = 12
+ANALYSED_TAGS = ("event", "white", "black", "opening")
 Range = tuple[object, object]
 
 
@@ -28,7 +32,7 @@ def split_box(text: str, keys: list[str]) -> tuple[str, dict[str, str]]:
     """One search box's text as (terms, filters); `analysis.parsed_prefixes` does the same for a column of them."""
     import re
 
-    pieces = re.split("[ +]+", text.strip().lower())
+    pieces = re.split("[ +]+", text.strip(" ").lower())
     while len(pieces) > 1 and pieces[-1] == "":
         pieces.pop()
     found = [(k, x) for x in pieces for k in keys[:1] + keys[1:] if x.startswith(f"{k}:")]
@@ -92,19 +96,21 @@ class ForumQuery:
     troll: bool = False
     empty_text: str = "none"
 
-    def matches(self, posts: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    @staticmethod
+    def index(posts: DataFrame) -> fulltext.Postings:
+        return fulltext.postings(posts, {"body": F.col("body"), "topic": F.col("topic")})
+
+    def matches(self, posts: DataFrame, index: fulltext.Index | None = None) -> DataFrame:
         terms, filters = split_box(self.text, ["user"])
-        words = terms.split(" ")
-        index = fulltext.postings(posts, {"body": F.col("body"), "topic": F.col("topic")}) if index is None else index
         rows = posts.where(p.all_of([p.shown(F.col("troll"), self.troll), p.term(F.col("author"), filters.get("user"))]))
         if not terms and (filters or self.empty_text == "all"):
             return rows
-        for word in words:
-            by_author = rows.where(F.col("author") == word).select("_id")
-            query = english_query(word)
-            ids = by_author if not query else fulltext.hits(index, query, {"body": 2, "topic": 5}).select("_id").unionByName(by_author)
-            rows = rows.join(ids.distinct(), "_id", "left_semi")
-        return rows
+        words = terms.split(" ")
+        query = [[t for group in english_query(word) for t in group] for word in words]  # a word's parts are alternatives
+        own = F.filter(F.array(*[F.when(F.col("author") == word, F.lit(i)) for i, word in enumerate(words)]), lambda i: i.isNotNull())
+        by_author = rows.where(F.col("author").isin(words)).select("_id", F.explode(own).alias("position"))
+        ids = fulltext.every_word_somewhere(self.index(posts) if index is None else index, query, {"body": 2, "topic": 5}, by_author)
+        return rows.join(ids, "_id", "left_semi")
 
     def sort(self) -> list[Column]:
         return [F.col("date").desc_nulls_last()]
@@ -114,14 +120,15 @@ class ForumQuery:
 class TeamQuery:
     text: str
 
-    def matches(self, teams: DataFrame, index: DataFrame | None = None) -> DataFrame:
-        index = fulltext.postings(teams, {"name": F.col("name"), "description": F.col("description")}) if index is None else index
-        words = [english_query(w) for w in split_box(self.text, [])[0].split(" ")]
-        if not all(words):
-            return teams.where(F.lit(False))  # a word that analysis leaves nothing of matches nothing
-        for query in words:
-            teams = teams.join(fulltext.hits(index, query, {"name": 10, "description": 2}).select("_id").distinct(), "_id", "left_semi")
-        return teams
+    @staticmethod
+    def index(teams: DataFrame) -> fulltext.Postings:
+        return fulltext.postings(teams, {"name": F.col("name"), "description": F.col("description")})
+
+    def matches(self, teams: DataFrame, index: fulltext.Index | None = None) -> DataFrame:
+        """A word that analysis leaves nothing of matches nothing."""
+        query = [[t for group in english_query(word) for t in group] for word in split_box(self.text, [])[0].split(" ")]
+        ids = fulltext.every_word_somewhere(self.index(teams) if index is None else index, query, {"name": 10, "description": 2})
+        return teams.join(ids, "_id", "left_semi")
 
     def sort(self) -> list[Column]:
         return [F.col("nb_members").desc_nulls_last()]
@@ -136,6 +143,10 @@ class UblogQuery:
     min_quality: int | None = None
     language: str | None = None
 
+    @staticmethod
+    def index(posts: DataFrame) -> fulltext.Postings:
+        return fulltext.postings(posts, {"text": F.col("text")}, english=False)
+
     def parts(self) -> tuple[list[list[str]], list[list[str]], list[Column]]:
         """required positions, optional positions, and conditions on other columns"""
         from tabiya.functions.analysis import clean
@@ -153,13 +164,16 @@ class UblogQuery:
                     (required if joined else optional).append(group)
         return required, optional, other
 
-    def matches(self, posts: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    def matches(self, posts: DataFrame, index: fulltext.Index | None = None) -> DataFrame:
+        """With `_score` if that is the order asked for; other orders score nothing."""
         required, optional, other = self.parts()
         filters = p.all_of([*other, p.between(F.col("quality"), self.min_quality), p.term(F.col("language"), self.language)])
+        scored = self.by == "score"
         if not required and not optional:
-            return posts.where(filters if other else F.lit(False)).withColumn("_score", F.lit(0.0))
-        index = fulltext.postings(posts, {"text": F.col("text")}, english=False) if index is None else index
-        return posts.where(filters).join(fulltext.required_and_optional(index, required, optional, "text"), "_id")
+            rows = posts.where(filters if other else F.lit(False))
+            return rows.withColumn("_score", F.lit(0.0)) if scored else rows
+        ids = fulltext.required_and_optional(self.index(posts) if index is None else index, required, optional, "text", scored)
+        return posts.where(filters).join(ids, "_id")
 
     def sort(self) -> list[Column]:
         first = {"score": [F.col("_score").desc_nulls_last()], "likes": [F.col("likes").desc_nulls_last()]}.get(self.by, [])
@@ -179,22 +193,41 @@ class ChapterFilter:
     fide_id1: str | None = None
     fide_id2: str | None = None
 
-    def predicate(self, chapter: Column) -> Column | None:
-        tag = lambda name: chapter["tags"][name]
-        said = lambda column, text: None if text is None else p.matches_any_word(column, [t for [t] in standard_query(text)], standard_tokens)
-        white, black = tag("white"), tag("black")
-        players = [x for x in (self.player1, self.player2) if x is not None]
-        if len(players) == 2:
-            a, b = players
-            pair = (said(white, a) & said(black, b)) | (said(white, b) & said(black, a))
-        else:
-            pair = said(white, players[0]) | said(black, players[0]) if players else None
-        asked = [
-            p.term(tag("variant"), self.variant), p.term(tag("eco"), self.eco), said(tag("opening"), self.opening), said(tag("event"), self.event), pair,
-            p.either_way(tag("white_fide_id"), tag("black_fide_id"), self.fide_id1, self.fide_id2),
-        ]
+    def exact(self, chapter: Column) -> Column | None:
+        """The conditions on whole values."""
+        tags = chapter["tags"]
+        asked = [p.term(tags["variant"], self.variant), p.term(tags["eco"], self.eco), p.either_way(tags["white_fide_id"], tags["black_fide_id"], self.fide_id1, self.fide_id2)]
         return None if all(a is None for a in asked) else p.all_of(asked)
 
+    def elements(self, index: fulltext.Index) -> DataFrame | None:
+        """(_id, element) of the chapters that meet the conditions on words, which are analysed as English with
+        synonyms; None if there are no such conditions."""
+        white, black = "chapters.white", "chapters.black"
+        words = lambda text: english_query(text, synonyms=True)
+        asked = {name: ([f"chapters.{name}"], words(text)) for name, text in (("opening", self.opening), ("event", self.event)) if text is not None}
+        players = [x for x in (self.player1, self.player2) if x is not None]
+        pairs = {f"{side}{i}": ([side], words(x)) for side in (white, black) for i, x in enumerate(players)} if len(players) == 2 else {}
+        single = {"player": ([white, black], words(players[0]))} if len(players) == 1 else {}
+        conditions = asked | pairs | single
+        if not conditions:
+            return None
+
+        def test(met: Callable[[str], Column]) -> Column:
+            both = [(met(f"{white}0") & met(f"{black}1")) | (met(f"{white}1") & met(f"{black}0"))] if pairs else []
+            return p.all_of([*[met(name) for name in asked | single], *both])
+
+        return fulltext.element_conditions(index, conditions, test)
+
+    def matching(self, studies: DataFrame, index: fulltext.Index) -> DataFrame:
+        """The studies with one chapter that meets all conditions."""
+        chapter_words = self.elements(index)
+        if chapter_words is None:
+            return studies.where(p.same_element(F.col("chapters"), self.exact))
+        if self.exact(F.lit(None).cast(CHAPTER)) is not None:
+            fit = studies.select("_id", F.posexplode("chapters").alias("element", "c"))
+            chapter_words = fit.where(self.exact(F.col("c"))).select("_id", "element").join(chapter_words, ["_id", "element"], "left_semi")
+        return studies.join(chapter_words, "_id", "left_semi")
+
 
 @dataclass(frozen=True)
 class StudyQuery:
@@ -209,38 +242,49 @@ class StudyQuery:
     owner_searches_chapters: bool = True
     empty_text: str = "none"
 
-    def matches(self, studies: DataFrame) -> DataFrame:
+    @staticmethod
+    def index(studies: DataFrame, only: set[str] | None = None) -> fulltext.Postings:
+        """The study's own fields, and names, descriptions and tags of its chapters; `only` some of them."""
+        own = {"name": F.col("name"), "topics": F.concat_ws(" ", "topics"), "description": F.col("description")}
+        tag = lambda name: lambda c: c["tags"][name]
+        inner = {"chapters.name": lambda c: c["name"], "chapters.description": lambda c: c["description"]} | {f"chapters.{t}": tag(t) for t in ANALYSED_TAGS}
+        chosen = lambda fields: {name: of for name, of in fields.items() if only is None or name in only}
+        parts = [fulltext.postings(studies, chosen(own))] if chosen(own) else []
+        parts += [fulltext.element_postings(studies, "chapters", chosen(inner))] if chosen(inner) else []
+        return reduce(fulltext.Postings.plus, parts) if parts else fulltext.postings(studies.limit(0), own)
+
+    def _fields(self, terms: str, by_owner: bool) -> dict[str, float]:
+        """The fields that the text is looked for in, with their boosts."""
+        if not terms:
+            return {}
+        inner = ["chapters.name", "chapters.description"] if self.chapter is not None or self._owner_chapters(by_owner) else []
+        inner += [f"chapters.{t}" for t in ANALYSED_TAGS] if self._owner_chapters(by_owner) else []
+        return {"name": 3.0, "topics": 2.0, "description": 1.0} | dict.fromkeys(inner, 1.0)
+
+    def _owner_chapters(self, by_owner: bool) -> bool:
+        return self.chapter is None and by_owner and self.owner_searches_chapters
+
+    def matches(self, studies: DataFrame, index: fulltext.Index | None = None) -> DataFrame:
+        """Statistics of the scores are over all studies, whoever asks."""
         terms, filters = split_box(self.text, ["owner", "member"])
         owner, member = filters.get("owner"), filters.get("member")
-        tags = self.chapter.predicate if isinstance(self.chapter, ChapterFilter) and self.chapter != ChapterFilter() else None
-        rows = studies.where(
-            p.all_of(
-                [
-                    p.term(F.col("owner"), owner), p.has_element(F.col("members"), member), p.visible(F.col("public"), F.col("members"), self.user_id),
-                    None if tags is None else p.same_element(F.col("chapters"), tags),
-                ]
-            )
-        )
+        filtered = isinstance(self.chapter, ChapterFilter) and self.chapter != ChapterFilter()
+        fields = self._fields(terms, owner is not None)
+        if index is None:
+            index = self.index(studies, {*fields, *([f"chapters.{t}" for t in ANALYSED_TAGS] if filtered else [])})
+        rows = studies.where(p.all_of([p.term(F.col("owner"), owner), p.has_element(F.col("members"), member), p.visible(F.col("public"), F.col("members"), self.user_id)]))
+        if filtered:
+            rows = self.chapter.matching(rows, index)
         if not terms and (filters or self.empty_text == "all"):
             return rows.withColumn("_score", F.lit(0.0))
-        return rows.join(self._scores(rows, terms, owner is not None), "_id")
+        return rows.join(self._scores(rows, index, terms, fields, self._owner_chapters(owner is not None)), "_id")
 
-    def _scores(self, rows: DataFrame, terms: str, by_owner: bool) -> DataFrame:
+    def _scores(self, rows: DataFrame, index: fulltext.Index, terms: str, boosts: dict[str, float], chapters_too: bool) -> DataFrame:
         query = english_query(terms, synonyms=True)
-        whole = rows.where((F.col("owner") == terms) | F.array_contains("members", terms)).select("_id", F.lit(1.0).alias("_score"))
-        if not query:
-            return whole
-        index = fulltext.postings(rows, {"name": F.col("name"), "topics": F.concat_ws(" ", "topics"), "description": F.col("description")})
-        boosts, others = {"name": 3.0, "topics": 2.0, "description": 1.0}, whole
-        if self.chapter is not None or (by_owner and self.owner_searches_chapters):
-            texts = {"chapters.name": lambda c: c["name"], "chapters.description": lambda c: c["description"]}
-            if self.chapter is None:
-                tag = lambda name: lambda c: c["tags"][name]
-                texts |= {f"chapters.{t}": tag(t) for t in ("event", "white", "black", "opening")}
-                exact = lambda c: p.any_of([c["tags"][t] == terms for t in ("variant", "white_fide_id", "black_fide_id", "eco")])
-                others = others.unionByName(rows.where(p.same_element(F.col("chapters"), exact)).select("_id", F.lit(1.0).alias("_score")))
-            index = index.unionByName(fulltext.element_postings(rows, "chapters", texts))
-            boosts |= dict.fromkeys(texts, 1.0)
+        others = rows.where((F.col("owner") == terms) | F.array_contains("members", terms)).select("_id", F.lit(1.0).alias("_score"))
+        if chapters_too:
+            exact = lambda c: p.any_of([c["tags"][t] == terms for t in ("variant", "white_fide_id", "black_fide_id", "eco")])
+            others = others.unionByName(rows.where(p.same_element(F.col("chapters"), exact)).select("_id", F.lit(1.0).alias("_score")))
         inside = F.col("field").startswith("chapters.")  # any word in one chapter's field; all words in one of the study's own
         fields = fulltext.scored_fields(index, query, boosts).where(inside | (F.col("matched") == len(query)))
         best = fields.groupBy("_id", inside.alias("inside")).agg(F.max("score").alias("_score")).select("_id", "_score")
@@ -258,12 +302,14 @@ def page(rows: DataFrame, order: list[Column], offset: int = 0, size: int = DEFA
     return rows.orderBy(*order, "_id").offset(max(0, offset)).limit(size if size > 0 else DEFAULT_SIZE)
 
 
-def search(collection: DataFrame, query, offset: int = 0, size: int = DEFAULT_SIZE) -> DataFrame:
-    """_id of the page's documents, in order (and `_score` where the query has one)."""
-    found = query.matches(collection)
+def search(collection: DataFrame, query, offset: int = 0, size: int = DEFAULT_SIZE, index: fulltext.Index | None = None) -> DataFrame:
+    """_id of the page's documents, in order (and `_score` where the query has one). Text queries read `index`, or
+    make the postings of the whole collection where there is none."""
+    found = query.matches(collection) if index is None else query.matches(collection, index)
     kept = ["_id", "_score"] if "_score" in found.columns else ["_id"]
     return page(found, query.sort(), offset, size).select(*kept)
 
 
-def count(collection: DataFrame, query) -> DataFrame:
-    return query.matches(collection).agg(F.count("*").alias("count"))
+def count(collection: DataFrame, query, index: fulltext.Index | None = None) -> DataFrame:
+    found = query.matches(collection) if index is None else query.matches(collection, index)
+    return found.agg(F.count("*").alias("count"))

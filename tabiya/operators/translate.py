@@ -1,4 +1,4 @@
-"""Source records to search documents, each one select of built-in expressions."""
+"""Source records to search documents, each one select of built-in expressions; `keep` names columns to carry along."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def _elapsed() -> Column:
     return F.unix_seconds(_played()) - F.unix_seconds("created_at")
 
 
-def games(records: DataFrame) -> DataFrame:
+def games(records: DataFrame, *keep: str) -> DataFrame:
     """Game records (with bot flags and start number joined on) to game documents."""
     c = F.col
     limit, increment = g.clock_limit(c("clock")), g.clock_increment(c("clock"))
@@ -30,7 +30,7 @@ def games(records: DataFrame) -> DataFrame:
         g.mean_rating(c("white_rating"), c("black_rating")).alias("average_rating"), F.coalesce("white_ai", "black_ai", F.lit(0)).alias("ai"), F.unix_seconds(_played()).alias("date"),
         g.duration(_elapsed(), limit.isNotNull()).alias("duration"), F.coalesce(limit, F.lit(NO_CLOCK)).alias("clock_init"),
         F.coalesce(increment, F.lit(NO_CLOCK)).alias("clock_inc"), F.coalesce("analysed", F.lit(False)).alias("analysed"), g.player(c("players"), 1).alias("white_user"),
-        g.player(c("players"), 2).alias("black_user"), c("source"), "white_rating", "black_rating", "chess960_pos", "white_bot", "black_bot",
+        g.player(c("players"), 2).alias("black_user"), c("source"), "white_rating", "black_rating", "chess960_pos", "white_bot", "black_bot", *keep,
     )
 
 
@@ -51,8 +51,8 @@ def game_csv(records: DataFrame) -> DataFrame:
     )
 
 
-def posts(records: DataFrame) -> DataFrame:
-    return records.select("_id", F.col("text").alias("body"), "topic", "topic_id", F.col("user_id").alias("author"), "troll", F.unix_millis("created_at").alias("date"))
+def posts(records: DataFrame, *keep: str) -> DataFrame:
+    return records.select("_id", F.col("text").alias("body"), "topic", "topic_id", F.col("user_id").alias("author"), "troll", F.unix_millis("created_at").alias("date"), *keep)
 
 
 def _meaningful(text: Column, *nothing: str) -> Column:
@@ -85,17 +85,17 @@ def chapter(record: Column) -> Column:
     return F.struct(record["_id"].alias("id"), _meaningful(record["name"]).alias("name"), _meaningful(record["description"]).alias("description"), tag_struct(record["tags"]).alias("tags"))
 
 
-def studies(records: DataFrame) -> DataFrame:
+def studies(records: DataFrame, *keep: str) -> DataFrame:
     shown = lambda column: F.date_format(column, "yyyy-MM-dd HH:mm:ss")
     return records.select(
         "_id", "name", _meaningful(F.col("description"), "-").alias("description"), F.col("owner_id").alias("owner"), F.coalesce(F.map_keys("members"), F.array().cast("array<string>")).alias("members"),
         F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.transform("chapters", chapter).alias("chapters"), F.coalesce("likes", F.lit(0)).alias("likes"),
-        F.coalesce(F.col("visibility") == "public", F.lit(False)).alias("public"), shown("rank").alias("rank"), shown("created_at").alias("created_at"), shown("updated_at").alias("updated_at"),
+        F.coalesce(F.col("visibility") == "public", F.lit(False)).alias("public"), shown("rank").alias("rank"), shown("created_at").alias("created_at"), shown("updated_at").alias("updated_at"), *keep,
     )
 
 
-def teams(records: DataFrame) -> DataFrame:
-    return records.select("_id", "name", "description", F.col("nb_members").cast("short").alias("nb_members"))
+def teams(records: DataFrame, *keep: str) -> DataFrame:
+    return records.select("_id", "name", "description", F.col("nb_members").cast("short").alias("nb_members"), *keep)
 
 
 def author(blog: Column) -> Column:
@@ -103,9 +103,9 @@ def author(blog: Column) -> Column:
     return F.try_element_at(F.split(blog, ":"), F.lit(2))
 
 
-def ublogs(records: DataFrame) -> DataFrame:
+def ublogs(records: DataFrame, *keep: str) -> DataFrame:
     c = F.col
     topics = F.replace(F.concat_ws(" ", "topics"), F.lit("Chess"), F.lit(""))
     text = F.concat_ws("\n", *[F.coalesce(part, F.lit("")) for part in (c("title"), topics, author(c("blog")), c("intro"), c("markdown"))])
     date = F.coalesce(F.unix_millis(c("lived.at")), F.lit(0))
-    return records.select("_id", text.alias("text"), "language", c("likes").cast("short").alias("likes"), date.alias("date"), c("automod.quality").cast("short").alias("quality"))
+    return records.select("_id", text.alias("text"), "language", c("likes").cast("short").alias("likes"), date.alias("date"), c("automod.quality").cast("short").alias("quality"), *keep)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tabiya.plans import logs, records, structured, texts
+from tabiya.plans import jobs, logs, records, structured, texts
 from tabiya.plans.standins import Query
 
-QUERIES: dict[str, Query] = {name: run for module in (structured, texts, logs, records) for name, run in module.CATALOGUE.queries.items()}
-ORACLES: dict[str, str] = {name: sql for module in (structured, texts, logs, records) for name, sql in module.CATALOGUE.oracles.items()}
+QUERIES: dict[str, Query] = {name: run for module in (structured, texts, logs, records, jobs) for name, run in module.CATALOGUE.queries.items()}
+ORACLES: dict[str, str] = {name: sql for module in (structured, texts, logs, records, jobs) for name, sql in module.CATALOGUE.oracles.items()}

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tabiya.functions.games import eligible
 from tabiya.operators import changes as ch
 from tabiya.operators.enrich import bot_accounts, looked_up, with_bot_flags, with_chapters, with_topic
-from tabiya.plans.standins import CHANGES_SQL, GAMES_SQL, Catalogue, change_events, games, table
+from tabiya.plans.standins import CHANGES_SQL, GAMES_SQL, Catalogue, change_events, games, ntz, table
 from tabiya.sources import scans
-from tabiya.sources.sinks import latency_histogram
-from tabiya.streaming.ingest import Collection, ingest
+from tabiya.sources.shared import new_path
+from tabiya.sources.sinks import latency_histogram, quantiles
+from tabiya.streaming.collection import Collection
+from tabiya.streaming.ingest import ingest
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -31,11 +30,11 @@ def liveness_split(spark, d):
 
 
 def _base(spark, d):
-    """Accounts with even numbers are there before the changes."""
-    return table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("_id"), F.col("c_acctbal").alias("value"), F.lit(0).cast("long").alias("likes"))
+    """All accounts are there before the changes; the log has others too."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("_id"), F.col("c_acctbal").alias("value"), F.lit(0).cast("long").alias("likes"))
 
 
-BASE_SQL = "b AS (SELECT c_custkey AS _id, c_acctbal AS value, 0::BIGINT AS likes FROM customer WHERE c_custkey % 2 = 0)"
+BASE_SQL = "b AS (SELECT c_custkey AS _id, c_acctbal AS value, 0::BIGINT AS likes FROM customer)"
 
 
 @query("apply_changes", CHANGES_SQL + f""", {BASE_SQL},
@@ -53,8 +52,7 @@ def apply_changes(spark, d):
 @query("stream_apply_changes", CHANGES_SQL + "SELECT doc_id AS _id, value, seq AS version FROM l WHERE op <> 'delete'")
 def stream_apply_changes(spark, d):
     """The change log as a stream, worked off in micro-batches; the collection's documents afterwards."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tabiya-stream-")
-    folder = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     schema = table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
     op = F.when(F.col("event_type") == "error", "delete").otherwise("update")
@@ -79,13 +77,12 @@ def interval_counts(spark, d):
 @query("backfill_scan", "SELECT o_orderkey FROM orders WHERE (o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-03-01') OR (o_orderdate + INTERVAL 30 DAY >= TIMESTAMP '1995-01-01' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1995-03-01')")
 def backfill_scan(spark, d):
     rows = table(spark, d, "orders").withColumn("updated_at", F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
-    ntz = lambda day: F.lit(day).cast("timestamp_ntz")
     return rows.where(scans.touched(["o_orderdate", "updated_at"], ntz("1995-01-01"), ntz("1995-03-01"))).select("o_orderkey")
 
 
 @query("backfill_open", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
 def backfill_open(spark, d):
-    return table(spark, d, "events").where(scans.touched(["ts"], F.lit("2024-01-20").cast("timestamp_ntz"))).select("event_id")
+    return table(spark, d, "events").where(scans.touched(["ts"], ntz("2024-01-20"))).select("event_id")
 
 
 def _oplog(spark, d):
@@ -105,13 +102,13 @@ RANGE_SQL = f"ts >= TIMESTAMP '{SINCE}' AND ts < TIMESTAMP '{UNTIL}' AND user_id
 
 @query("delete_log", f"SELECT user_id AS _id FROM events WHERE {RANGE_SQL} AND event_type = 'error'")
 def delete_log(spark, d):
-    return scans.deleted_studies(_oplog(spark, d), F.lit(SINCE).cast("timestamp_ntz"), F.lit(UNTIL).cast("timestamp_ntz"))
+    return scans.deleted_studies(_oplog(spark, d), ntz(SINCE), ntz(UNTIL)).select("_id")
 
 
 @query("likes_partial", f"""SELECT user_id AS _id, CAST(json_extract_string(props, '$.k') AS INT) AS likes, CASE WHEN event_type = 'purchase' THEN event_id END AS rank, true AS has_likes, event_type = 'purchase' AS has_rank
 FROM events WHERE {RANGE_SQL} AND event_type IN ('click', 'purchase')""")
 def likes_partial(spark, d):
-    return scans.study_likes(_oplog(spark, d), F.lit(SINCE).cast("timestamp_ntz"), F.lit(UNTIL).cast("timestamp_ntz"))
+    return scans.study_likes(_oplog(spark, d), ntz(SINCE), ntz(UNTIL)).select("_id", "likes", "rank", "has_likes", "has_rank")
 
 
 @query("action_counts", CHANGES_SQL + "SELECT CASE WHEN op = 'delete' THEN 'delete' ELSE 'index' END AS action, count(*) AS n FROM c GROUP BY ALL")
@@ -124,10 +121,18 @@ def dry_run(spark, d):
     return ch.action_counts(scans.changes(change_events(spark, d), "forum", F.lit(False)))
 
 
-@query("game_operations", CHANGES_SQL + "SELECT doc_id, op FROM (SELECT * FROM c WHERE op IN ('update', 'delete')) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cluster_time DESC, seq DESC) = 1")
+GAME_EVENTS_SQL = """, e AS (SELECT *, CASE WHEN op = 'delete' THEN NULL ELSE 28 + CAST(seq % 6 AS INT) END AS status, CASE WHEN seq % 9 > 0 THEN CAST(seq % 9 AS INT) END AS source, seq % 11 > 0 AS played FROM c)
+SELECT doc_id, op, action FROM (SELECT *, CASE WHEN op = 'delete' THEN 'delete' ELSE 'index' END AS action FROM e
+  WHERE op = 'delete' OR (op = 'update' AND status >= 30 AND (source IS NULL OR source <> 7) AND played)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cluster_time DESC, seq DESC) = 1"""
+
+
+@query("game_operations", CHANGES_SQL + GAME_EVENTS_SQL)
 def game_operations(spark, d):
-    full = F.struct(F.lit(30).alias("status"), F.lit(1).alias("source"), F.array(F.lit("u")).alias("players"))
-    return scans.game_changes(change_events(spark, d).withColumn("full_document", full)).select("doc_id", "op")
+    """Updates carry the whole current document, deletions none; unfit documents don't count as changes."""
+    seq = F.col("seq")
+    doc = F.struct((28 + seq % 6).cast("int").alias("status"), F.when(seq % 9 > 0, (seq % 9).cast("int")).alias("source"), F.when(seq % 11 > 0, F.array(F.lit("u"))).otherwise(F.array().cast("array<string>")).alias("players"))
+    events = change_events(spark, d).withColumn("full_document", F.when(F.col("op") != "delete", doc))
+    return scans.game_changes(events).select("doc_id", "op", "action")
 
 
 @query("batch_time", CHANGES_SQL + "SELECT strftime(max(cluster_time), '%Y-%m-%d %H:%M:%S') AS latest, strftime(arg_max(cluster_time, seq), '%Y-%m-%d %H:%M:%S') AS of_last FROM c")
@@ -138,13 +143,13 @@ def batch_time(spark, d):
 
 @query("merged_actions", f"""SELECT 'delete' AS action, user_id AS _id, NULL::INT AS likes FROM events WHERE {RANGE_SQL} AND event_type = 'error'
 UNION ALL SELECT 'update', user_id, CAST(json_extract_string(props, '$.k') AS INT) FROM events WHERE {RANGE_SQL} AND event_type IN ('click', 'purchase')
-UNION ALL SELECT 'index', c_custkey, NULL FROM customer WHERE c_custkey % 50 = 0""")
+UNION ALL SELECT 'index', c_custkey, NULL FROM customer""")
 def merged_actions(spark, d):
     """Three streams of one interval as one, split and put together again."""
-    since, until = F.lit(SINCE).cast("timestamp_ntz"), F.lit(UNTIL).cast("timestamp_ntz")
+    since, until = ntz(SINCE), ntz(UNTIL)
     log = _oplog(spark, d)
-    index = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("_id"))
-    one = ch.merged(delete=scans.deleted_studies(log, since, until), update=scans.study_likes(log, since, until).select("_id", "likes"), index=index)
+    index = table(spark, d, "customer").select(F.col("c_custkey").alias("_id"))
+    one = ch.merged(delete=scans.deleted_studies(log, since, until).select("_id"), update=scans.study_likes(log, since, until).select("_id", "likes"), index=index)
     return ch.merged(**ch.split_actions(one)).select("action", "_id", "likes")
 
 
@@ -191,4 +196,5 @@ def latency_histogram_query(spark, d):
 
 @query("latency_quantiles", "SELECT event_type AS operation, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_quantiles(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("operation")).agg(F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.round(F.expr("percentile(value, 0.99)"), 6).alias("p99"))
+    log = table(spark, d, "events").select(F.col("event_type").alias("operation"), "value")
+    return quantiles(log, "value", {"median": 0.5, "p99": 0.99}, by="operation").select("operation", F.round("median", 6).alias("median"), F.round("p99", 6).alias("p99"))

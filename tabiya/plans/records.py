@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tabiya.functions import games as g
 from tabiya.operators import translate as tr
+from tabiya.operators.enrich import bot_accounts, with_bot_flags
 from tabiya.plans.standins import Catalogue, table
 from tabiya.sources.scans import is_broadcast
+from tabiya.sources.shared import new_path
 from tabiya.sources.sinks import write_csv
 
 CATALOGUE = Catalogue()
@@ -40,9 +39,11 @@ def records(spark, d):
     table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).createOrReplaceTempView("tabiya_keys")
     rows = spark.sql(f"SELECT {RECORD} FROM tabiya_keys")
     two = F.unhex(F.concat(F.lpad(F.hex("byte1"), 2, "0"), F.lpad(F.hex("byte2"), 2, "0")))
+    ranks = g.start_positions(spark).select(F.col("number").alias("start"), F.col("rank").alias("back_rank"))  # 960 rows
+    rows = rows.withColumn("start", F.when(F.col("variant") == 2, (F.col("created") / 60 % 960).cast("int"))).join(F.broadcast(ranks), "start", "left")
     return rows.select(
         "*", F.when(F.col("clocked"), two).otherwise(F.unhex(F.lit("05"))).alias("clock"), F.array_compact(F.array("p1", "p2")).alias("players"),
-        F.timestamp_seconds("moved").alias("moved_at"), F.timestamp_seconds("created").alias("created_at"), F.lit(g.NO_START).alias("chess960_pos"), F.lit(False).alias("white_bot"), F.lit(False).alias("black_bot"),
+        F.timestamp_seconds("moved").alias("moved_at"), F.timestamp_seconds("created").alias("created_at"),
     )
 
 
@@ -50,12 +51,20 @@ DOCUMENT_SQL = """_id, status, CAST((ply + 1) // 2 AS INT) AS turns, coalesce(ra
   CASE WHEN white_won THEN 1 WHEN NOT white_won THEN 2 WHEN status > 32 AND status <> 38 THEN 3 ELSE 0 END AS winner_color,
   CASE WHEN white_rating > 0 AND black_rating > 0 THEN (white_rating + black_rating) // 2 ELSE 0 END AS average_rating, coalesce(white_ai, black_ai, 0) AS ai, coalesce(moved, created) AS date,
   CAST(CASE WHEN lim IS NULL OR elapsed <= 0 THEN 0 WHEN elapsed < 43200 THEN elapsed ELSE 43201 END AS INT) AS duration, coalesce(lim, -1) AS clock_init, coalesce(inc, -1) AS clock_inc,
-  coalesce(analysed, false) AS analysed, p1 AS white_user, coalesce(p2, '') AS black_user, source, white_rating, black_rating, 1000 AS chess960_pos, false AS white_bot, false AS black_bot"""
+  coalesce(analysed, false) AS analysed, p1 AS white_user, coalesce(p2, '') AS black_user, source, white_rating, black_rating, CASE WHEN variant = 2 THEN CAST(created // 60 % 960 AS INT) ELSE 1000 END AS chess960_pos,
+  p1 IN (SELECT _id FROM bots) AS white_bot, coalesce(p2 IN (SELECT _id FROM bots), false) AS black_bot"""
+BOTS_SQL = ", bots AS (SELECT (CASE WHEN c_custkey % 2 = 0 THEN 'w' ELSE 'b' END) || (c_custkey % 100) AS _id FROM customer WHERE c_mktsegment = 'MACHINERY') "
+
+
+def accounts(spark, d):
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "w").otherwise("b"), (F.col("c_custkey") % 100).cast("string"))
+    return table(spark, d, "customer").select(name.alias("_id"), F.when(F.col("c_mktsegment") == "MACHINERY", "BOT").alias("title"))
 
 
-@query("game_translate", RECORDS_SQL + f"SELECT {DOCUMENT_SQL} FROM p")
+@query("game_translate", RECORDS_SQL + BOTS_SQL + f"SELECT {DOCUMENT_SQL} FROM p")
 def game_translate(spark, d):
-    return tr.games(records(spark, d))
+    rows = records(spark, d).withColumn("white_user", F.col("p1")).withColumn("black_user", F.coalesce("p2", F.lit("")))
+    return tr.games(with_bot_flags(g.with_start_number(rows), bot_accounts(accounts(spark, d))))
 
 
 CSV_SQL = """_id, status, CAST((ply + 1) // 2 AS INT) AS turns, coalesce(rated, false) AS rated, perf, concat_ws(',', p1, p2) AS uids, coalesce(winner, '') AS winner,
@@ -73,8 +82,7 @@ def csv_rating_rules(spark, d):
 @query("csv_export", RECORDS_SQL + f"SELECT _id, average_rating, uids, loser, duration, clock_init FROM (SELECT {CSV_SQL} FROM p WHERE status >= 30)")
 def csv_export(spark, d):
     """Written as CSV and read back."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tabiya-csv-")
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     rows = tr.game_csv(records(spark, d).where(F.col("status") >= g.FINISHED))
     write_csv(rows, path)
     back = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in rows.columns)).csv(path)
@@ -130,12 +138,12 @@ def team_translate(spark, d):
     return tr.teams(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_size").alias("nb_members")))
 
 
-@query("ublog_text", """SELECT CAST(doc_id AS VARCHAR) AS _id, source || chr(10) || replace('Chess ' || lang || ' Chess' || source, 'Chess', '') || chr(10) || lang || chr(10) || '' || chr(10) || substr(text, 1, 200) AS text, lang AS language,
+@query("ublog_text", """SELECT CAST(doc_id AS VARCHAR) AS _id, source || chr(10) || replace('Chess ' || lang || ' Chess' || source, 'Chess', '') || chr(10) || lang || chr(10) || '' || chr(10) || text AS text, lang AS language,
   CAST(n_chars % 30000 AS SMALLINT) AS likes, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (1000000000 + doc_id) * 1000 END AS date, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 END AS SMALLINT) AS quality FROM documents""")
 def ublog_text(spark, d):
     k = F.col("doc_id")
     rows = table(spark, d, "documents").select(
-        k.cast("string").alias("_id"), F.col("source").alias("title"), F.lit("").alias("intro"), F.substring("text", 1, 200).alias("markdown"), F.concat(F.lit("user:"), "lang").alias("blog"), F.col("lang").alias("language"),
+        k.cast("string").alias("_id"), F.col("source").alias("title"), F.lit("").alias("intro"), F.col("text").alias("markdown"), F.concat(F.lit("user:"), "lang").alias("blog"), F.col("lang").alias("language"),
         (F.col("n_chars") % 30000).alias("likes"), F.array(F.lit("Chess"), F.col("lang"), F.concat(F.lit("Chess"), "source")).alias("topics"), F.struct(F.when(k % 3 != 0, F.timestamp_seconds(1000000000 + k)).alias("at")).alias("lived"),
         F.struct(F.when(k % 2 == 0, k % 4).alias("quality")).alias("automod"),
     )
@@ -143,9 +151,9 @@ def ublog_text(spark, d):
 
 
 def _study_records(spark, d):
-    k, text = F.col("doc_id"), F.substring("text", 1, 20)
+    k, text = F.col("doc_id"), F.col("text")
     tags = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("ECO:A"), (k % 10).cast("string")), F.concat(F.lit("Opening:"), "lang", F.lit(": b")), F.concat(F.lit("ECO:C"), (k % 7).cast("string")), F.lit("broken"), F.lit("Round:3")))
-    chapter = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("_id"), F.concat(F.lit("Chapter "), (k % 30).cast("string")).alias("name"), F.when(k % 3 == 0, " ").otherwise(text).alias("description"), tags.alias("tags"))
+    chapter = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("_id"), F.when(k % 2 == 0, F.concat(F.lit("Chapter "), (k % 30).cast("string"))).otherwise(F.concat(F.lit("On "), "source")).alias("name"), F.when(k % 3 == 0, " ").otherwise(text).alias("description"), tags.alias("tags"))
     return table(spark, d, "documents").select(
         k.cast("string").alias("_id"), F.concat(F.lit("S "), "source").alias("name"), F.when(k % 5 == 0, "-").when(k % 5 == 1, "  ").otherwise(text).alias("description"), F.col("lang").alias("owner_id"),
         F.create_map(F.lit("m1"), F.lit("r"), F.col("source"), F.lit("w")).alias("members"), F.when(k % 2 == 0, F.array("lang", "source")).alias("topics"), F.array(chapter).alias("chapters"),
@@ -154,12 +162,12 @@ def _study_records(spark, d):
     )
 
 
-@query("study_translate", """WITH d AS (SELECT doc_id AS k, source, lang, substr(text, 1, 20) AS t FROM documents)
+@query("study_translate", """WITH d AS (SELECT doc_id AS k, source, lang, text AS t FROM documents)
 SELECT CAST(k AS VARCHAR) AS _id, 'S ' || source AS name, CASE WHEN k % 5 <= 1 OR trim(t) = '' OR t = '-' THEN NULL ELSE t END AS description, lang AS owner, 'm1,' || source AS members, CASE WHEN k % 2 = 0 THEN lang || ',' || source ELSE '' END AS topics,
   CAST(coalesce(CASE WHEN k % 6 <> 0 THEN k % 100 END, 0) AS INT) AS likes, k % 3 = 0 AS public, CASE WHEN k % 2 = 0 THEN strftime(make_timestamp((1000000000 + k) * 1000000), '%Y-%m-%d %H:%M:%S') END AS rank,
   strftime(make_timestamp((1000000000 + k) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at, NULL::VARCHAR AS updated_at, 'c' || k AS chapter_id, CASE WHEN k % 3 = 0 OR trim(t) = '' THEN NULL ELSE t END AS chapter_description,
   CASE WHEN k % 4 <> 0 THEN 'C' || (k % 7) END AS eco, CASE WHEN k % 4 <> 0 THEN lang || ': b' END AS opening, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END AS bad_tags,
-  CASE WHEN k % 4 = 0 THEN '' ELSE 'A' || (k % 10) || '|' || lang || ': b|C' || (k % 7) || '|3' END AS relevant, NULL::VARCHAR AS meaningful_name FROM d WHERE NOT k % 8 = 0""")
+  CASE WHEN k % 4 = 0 THEN '' ELSE 'A' || (k % 10) || '|' || lang || ': b|C' || (k % 7) || '|3' END AS relevant, CASE WHEN k % 2 = 1 THEN 'On ' || source END AS meaningful_name FROM d WHERE NOT k % 8 = 0""")
 def study_translate(spark, d):
     source = _study_records(spark, d).where(~is_broadcast(F.col("origin")))
     extra = source.select("_id", tr.bad_tags(F.col("chapters")[0]["tags"]).alias("bad_tags"), F.array_join(tr.relevant_values(F.col("chapters")[0]["tags"]), "|").alias("relevant"), tr.chapter_name(F.col("chapters")[0]["name"]).alias("meaningful_name"))

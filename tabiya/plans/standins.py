@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabiya.operators.fulltext import TextIndex
+from tabiya.operators.search import ForumQuery, StudyQuery, TeamQuery, UblogQuery
+from tabiya.sources.shared import new_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -36,6 +40,10 @@ def seconds(column: str) -> str:
     return f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))"
 
 
+def ntz(day: str) -> Column:
+    return F.lit(day).cast("timestamp_ntz")
+
+
 #: Both engines read this text; {epoch} and {customers} differ.
 GAME_COLUMNS = """
   CAST(o_orderkey AS STRING) AS _id,
@@ -61,13 +69,14 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those that are not labelled are shown to all."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("body"), F.col("source").alias("topic"), F.col("lang").alias("author"), (F.col("toxic") == 1).alias("troll"), F.col("doc_id").alias("date")
+    return docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("body"), F.col("source").alias("topic"), F.col("lang").alias("author"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("troll"), F.col("doc_id").alias("date")
     )
 
 
-FORUM_SQL = "WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS _id, text AS body, source AS topic, lang AS author, toxic = 1 AS troll, doc_id AS date FROM documents JOIN labels USING (doc_id)) "
+FORUM_SQL = "WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS _id, text AS body, source AS topic, lang AS author, coalesce(toxic = 1, false) AS troll, doc_id AS date FROM documents LEFT JOIN labels USING (doc_id)) "
 
 
 def blogs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +101,7 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, none = F.col("text"), F.lit(None).cast("string")
     tags = F.struct(
         F.col("role").alias("variant"), none.alias("event"), F.concat(F.lit("p"), F.col("turn") % 3).alias("white"), F.concat(F.lit("p"), (F.col("turn") + 1) % 3).alias("black"),
-        none.alias("white_fide_id"), none.alias("black_fide_id"), F.concat(F.lit("B"), F.col("turn") % 10).alias("eco"), F.substring(text, 1, 60).alias("opening"),
+        none.alias("white_fide_id"), none.alias("black_fide_id"), F.concat(F.lit("B"), F.col("turn") % 10).alias("eco"), text.alias("opening"),
     )
     chapter = F.struct(F.col("turn").alias("turn"), F.col("turn").cast("string").alias("id"), F.col("role").alias("name"), text.alias("description"), tags.alias("tags"))
     by_study = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(chapter)).alias("chapters"), F.sort_array(F.collect_set("role")).alias("members"))
@@ -109,6 +118,19 @@ STUDIES_SQL = """WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS _id, 'Study ' ||
   FROM conversations GROUP BY conv_id) """
 
 
+def stored_index(spark: SparkSession, sf_dir: str, name: str) -> TextIndex:
+    """The stored postings of a collection, built when they are first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        collection, query = INDEXED[name]
+        _BUILT[key] = TextIndex(spark, new_path(spark, f"index-{name}"), query.index).build(collection(spark, sf_dir))
+    return _BUILT[key]
+
+
+_BUILT: dict[tuple[str, str, str], TextIndex] = {}
+INDEXED = {"forum": (forum, ForumQuery), "team": (teams, TeamQuery), "ublog": (blogs, UblogQuery), "study": (studies, StudyQuery)}
+
+
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a change log: the user is the document."""
     op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabiya.functions import predicates as p
 from tabiya.operators.search import ChapterFilter, GameQuery, StudyQuery, count, page, search
-from tabiya.plans.standins import GAMES_SQL, STUDIES_SQL, Catalogue, games, studies, table
+from tabiya.plans.standins import GAMES_SQL, STUDIES_SQL, Catalogue, games, stored_index, studies, table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -50,7 +50,7 @@ _game("winner_loser", GameQuery(winner="u11"), "(white_user = 'u11' AND winner_c
 _game("loser_side", GameQuery(loser="u11"), "(white_user = 'u11' AND winner_color = 2) OR (black_user = 'u11' AND winner_color = 1)")
 _game("range_swapped", GameQuery(turns=(60, 40)), "turns BETWEEN 40 AND 60")
 _game("range_open", GameQuery(duration=(7000, None)), "duration >= 7000")
-_game("date_seconds", GameQuery(date=(None, datetime(1994, 1, 1, tzinfo=timezone.utc))), "date <= 757382400")
+_game("date_seconds", GameQuery(date=(None, datetime(1997, 1, 1, 12, 30, 15, 999_999, tzinfo=timezone.utc))), "date <= 852121815")
 _game("status_group", GameQuery(status=34), "status IN (32, 34, 39)")
 _game("status_exact", GameQuery(status=31), "status = 31")
 _game("rating_nonzero", GameQuery(average_rating=(None, 900)), "average_rating > 0 AND average_rating <= 900")
@@ -85,7 +85,7 @@ def study_prefixes_only(spark, d):
     OR ('p' || CAST(turn % 3 AS VARCHAR) = 'p2' AND 'p' || CAST((turn + 1) % 3 AS VARCHAR) = 'p0')))""")
 def study_full(spark, d):
     chapter = ChapterFilter(variant="user", eco="B2", player1="p0", player2="p2")
-    return StudyQuery("owner:o2", user_id="system", chapter=chapter).matches(studies(spark, d)).select("_id")
+    return StudyQuery("owner:o2", user_id="system", chapter=chapter).matches(studies(spark, d), stored_index(spark, d, "study")).select("_id")
 
 
 @query("study_sort", STUDIES_SQL + "SELECT _id FROM s ORDER BY rank ASC NULLS LAST, _id LIMIT 80")
@@ -97,7 +97,14 @@ def study_sort(spark, d):
 @query("study_search", None)
 def study_search(spark, d):
     """Text over names, topics, descriptions and chapters, stemmed, with synonyms: not SQL."""
-    return search(studies(spark, d), StudyQuery("study 7", user_id="system", chapter="search_text"), 0, 100)
+    return search(studies(spark, d), StudyQuery("study 7", user_id="system", chapter="search_text"), 0, 100, stored_index(spark, d, "study"))
+
+
+@query("study_chapter_words", None)
+def study_chapter_words(spark, d):
+    """Words of one chapter's opening and event, stemmed, and its exact tags; pytest holds it against plain Python."""
+    asked = ChapterFilter(opening="Enings of the oner", player1="p1", eco="B1")
+    return StudyQuery("owner:o1", user_id="system", chapter=asked).matches(studies(spark, d), stored_index(spark, d, "study")).select("_id")
 
 
 def _orders_with_lines(spark, d):

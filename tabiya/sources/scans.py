@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from tabiya.functions.games import eligible
 from tabiya.functions.predicates import any_of, half_open
-from tabiya.operators.changes import DELETE, action, last_per_document_any_type
+from tabiya.operators.changes import DELETE, action, last_per_document
 
 Time = datetime | str
 OPERATIONS = {"forum": ("delete", "insert", "replace", "update"), "team": ("delete", "insert", "replace", "update"), "ublog": ("delete", "insert", "replace", "update"), "game": ("update", "delete")}
@@ -55,14 +55,15 @@ def studies(records: DataFrame, since: Time, until: Time | None = None) -> DataF
 
 
 def deleted_studies(log: DataFrame, since: Time, until: Time | None = None, namespace: str = "study") -> DataFrame:
-    """_id of studies deleted in the range."""
-    return log.where(touched(["ts"], since, until) & F.col("ns").endswith(f".{namespace}") & (F.col("op") == "d")).select(F.col("o._id").alias("_id")).where("_id IS NOT NULL")
+    """_id and ts (and seq, where the log has one) of studies deleted in the range."""
+    rows = log.where(touched(["ts"], since, until) & F.col("ns").endswith(f".{namespace}") & (F.col("op") == "d"))
+    return rows.select(F.col("o._id").alias("_id"), *[c for c in ("ts", "seq") if c in log.columns]).where("_id IS NOT NULL")
 
 
 def study_likes(log: DataFrame, since: Time, until: Time | None = None, namespace: str = "study") -> DataFrame:
     """Partial updates of likes, and of rank where the entry has one; entries without id or likes are skipped."""
     rows = log.where(touched(["ts"], since, until) & F.col("ns").endswith(f".{namespace}") & (F.col("op") == "u"))
-    found = rows.select(F.col("o2._id").alias("_id"), F.col("o.diff.u.likes").alias("likes"), F.col("o.diff.u.rank").alias("rank"))
+    found = rows.select(F.col("o2._id").alias("_id"), F.col("o.diff.u.likes").alias("likes"), F.col("o.diff.u.rank").alias("rank"), *[c for c in ("ts", "seq") if c in log.columns])
     return found.where("_id IS NOT NULL AND likes IS NOT NULL").select("*", F.lit(True).alias("has_likes"), F.col("rank").isNotNull().alias("has_rank"))
 
 
@@ -78,7 +79,7 @@ def game_changes(events: DataFrame, parity: bool = False) -> DataFrame:
     rows = events.where(F.col("op").isin(list(OPERATIONS["game"])))
     doc = F.col("full_document")
     fit = F.coalesce(eligible(doc["status"], doc["source"], doc["players"]), F.lit(False))
-    return last_per_document_any_type(rows.where(fit if parity else fit | (F.col("op") == DELETE))).withColumn("action", action(F.col("op"), F.lit(False)))
+    return last_per_document(rows.where(fit if parity else fit | (F.col("op") == DELETE))).withColumn("action", action(F.col("op"), F.lit(False)))
 
 
 def changes(events: DataFrame, collection: str, dead: Column, longest: int | None = None) -> DataFrame:
@@ -86,4 +87,4 @@ def changes(events: DataFrame, collection: str, dead: Column, longest: int | Non
     rows = events.where(F.col("op").isin(list(OPERATIONS[collection])))
     if longest is not None:
         rows = rows.where((F.col("op") == DELETE) | (F.length("full_document.text") <= longest))
-    return last_per_document_any_type(rows).withColumn("action", action(F.col("op"), dead))
+    return last_per_document(rows).withColumn("action", action(F.col("op"), dead))

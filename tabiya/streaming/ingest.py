@@ -1,65 +1,35 @@
-"""Continuous ingest: a stream of changes kept applied to a collection.
-
-A collection is a folder of Parquet tables: `delta=<batch>` holds the changes of one micro-batch, `base=<batch>` all
-documents up to a batch. Applying a batch writes its changes and nothing else, so its cost doesn't depend on the size of
-the collection; reading takes the newest version of each document from the last base and the deltas after it; and
-`compact`, a batch job to be run now and then, makes a new base. Only tables with `_SUCCESS` count. A batch that is
-replayed after a failure overwrites its own delta, so nothing is applied twice, and versions guard against files that
-arrive out of order. Deleted documents stay as rows until a compaction drops those older than a given version.
-"""
+"""Continuous ingest: a stream of changes kept applied to a collection."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-
-from tabiya.operators.changes import DELETE, action_counts, last_per_document
-
-
-class Collection:
-    """Paths are Hadoop's, so any shared store will do."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        """schema: the documents' columns with `_id`, `version` and `deleted`."""
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.stored = StructType(list(schema.fields)).add("_batch", "long")
-
-    def batches(self, kind: str = "delta") -> list[int]:
-        """Numbers of the completed tables."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        found = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/_SUCCESS")) or []
-        return sorted(int(f.getPath().getParent().getName().removeprefix(f"{kind}=")) for f in found)
 
-    def snapshot(self) -> DataFrame:
-        """The newest version of each document, deleted ones as rows with `deleted`."""
-        base = self.batches("base")[-1:]
-        deltas = [n for n in self.batches() if not base or n > base[0]]
-        paths = [f"{self.path}/base={n}" for n in base] + [f"{self.path}/delta={n}" for n in deltas]
-        rows = self.spark.read.schema(self.stored).parquet(*paths) if paths else self.spark.createDataFrame([], self.stored)
-        return last_per_document(rows, "_id", ("version", "_batch")).select(*self.schema.names)
+from tabiya.operators.changes import action_counts, last_per_document
+from tabiya.streaming.collection import Collection
 
-    def documents(self) -> DataFrame:
-        return self.snapshot().where("NOT deleted").drop("version", "deleted")
+__all__ = ["Collection", "ingest", "run_all", "run_id"]
 
-    def apply(self, changes: DataFrame, batch: int) -> None:
-        """One batch of changes (the documents' columns, version and action)."""
-        rows = changes.withColumn("deleted", F.col("action") == DELETE).withColumn("_batch", F.lit(batch).cast("long"))
-        rows.select(*self.stored.names).write.mode("overwrite").parquet(f"{self.path}/delta={batch}")
 
-    def compact(self, forget_before: object = None) -> None:
-        """A new base of everything so far, without the deletions whose version is below `forget_before`."""
-        done = self.batches()
-        if not done:
-            return
-        rows = self.snapshot()
-        if forget_before is not None:
-            rows = rows.where(~F.col("deleted") | (F.col("version") >= F.lit(forget_before)))
-        rows.withColumn("_batch", F.lit(done[-1]).cast("long")).write.mode("overwrite").parquet(f"{self.path}/base={done[-1]}")
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream with this checkpoint, kept beside it: a new checkpoint is a new run, also in an old place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/_run")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path):
+        stream = files.open(path)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+    made, stream = uuid.uuid4().hex, files.create(path, False)
+    try:
+        stream.writeUTF(made)
+    finally:
+        stream.close()
+    return made
 
 
 def ingest(
@@ -70,23 +40,27 @@ def ingest(
     since: object = None,
     dry_run: Callable[[DataFrame, int], None] | None = None,
     every: str | None = None,
+    last_only: bool = True,
 ) -> StreamingQuery:
     """Starts the query: last change per document, translation (which gives _id, the documents' columns, version and
     action), and the batch applied. Tables that `translate` reads are read again in each batch. Without `every` what is
-    there is worked off and the query ends; where it left off is in the checkpoint, `since` starts at a time instead."""
+    there is worked off and the query ends. Where it left off is in the checkpoint; to start at a time instead, give
+    `since` and a new checkpoint: what the collection has stays, and events that it has already change nothing. Logs
+    with partial updates need `last_only=False`: a batch's earlier changes of a document then count too."""
     if since is not None:
         events = events.where(events["cluster_time"] >= since)
+    run = run_id(events.sparkSession, checkpoint)
 
     def body(batch: DataFrame, number: int) -> None:
-        changes = translate(last_per_document(batch))
-        dry_run(action_counts(changes), number) if dry_run else collection.apply(changes, number)
+        changes = translate(last_per_document(batch) if last_only else batch)
+        dry_run(action_counts(changes), number) if dry_run else collection.apply(changes, number, run)
 
     writer = events.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def run_all(spark: SparkSession, starts: list[Callable[[], StreamingQuery]], timeout: int | None = None) -> list[StreamingQuery]:
-    """Several collections at once; returns when all bounded queries are done."""
+def run_all(starts: list[Callable[[], StreamingQuery]], timeout: int | None = None) -> list[StreamingQuery]:
+    """Several collections at once; returns when all bounded queries are done (others run on after `timeout`)."""
     running = [start() for start in starts]
     for query in running:
         query.awaitTermination(timeout) if timeout else query.awaitTermination()

@@ -1,10 +1,12 @@
 """End-to-end cases on small collections."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabiya.operators.fulltext import TextIndex
 from tabiya.operators.search import ChapterFilter, ForumQuery, GameQuery, StudyQuery, TeamQuery, UblogQuery, count, search
 from tabiya.sources.collections import CHAPTER, SPECS
 
@@ -58,6 +60,46 @@ def studies(spark):
     return spark.createDataFrame(rows, SPECS["study"].schema)
 
 
+@pytest.fixture(scope="module")
+def index(spark, studies, tmp_path_factory):
+    return TextIndex(spark, str(tmp_path_factory.mktemp("study-index")), StudyQuery.index).build(studies)
+
+
+def test_chapter_words_are_english_with_synonyms(studies, index):
+    found = lambda **asked: set(ids(search(studies, StudyQuery("Repertoire", chapter=ChapterFilter(**asked)), index=index)))
+    assert found(opening="Defence") == found(opening="Defenses") == found(opening="the defense's") == {"petroff_study"}
+    assert found(event="Candidates of London") == {"petroff_study"} and found(event="Cup of London") == found(event="of") == set()
+    assert found(player1="carlsens", player2="NAKAMURA") == {"sicilian_study"} and found(player1="Carlsen", player2="Caruana") == set()
+    assert found(player1="Carlsen", fide_id1="2020009") == set() and found(player1="Carlsen", fide_id2="1503014", eco="B90") == {"sicilian_study"}
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_scores_do_not_depend_on_who_asks(spark, studies, stored, tmp_path):
+    index = TextIndex(spark, str(tmp_path), StudyQuery.index).build(studies) if stored else None
+    score = lambda user: {r["_id"]: r["_score"] for r in search(studies, StudyQuery("Repertoire", user_id=user), index=index).collect()}
+    assert set(score("coach")) - set(score(None)) == {"private"} and score(None).items() <= score("coach").items()
+
+
+def test_stored_postings_follow_the_collection(spark, tmp_path):
+    post = lambda name, text: (name, text, "en", 0, 5, 1)
+    schema, rng = SPECS["ublog"].schema, random.Random(2)
+    words = "tiny river hello other boat".split()
+    now = {f"d{i}": " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for i in range(30)}
+    frame = lambda part: spark.createDataFrame([post(*kv) for kv in part.items()], schema)
+    index = TextIndex(spark, str(tmp_path), UblogQuery.index).build(frame(now))
+    for step in range(2):
+        changed = {f"d{i}": " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for i in rng.sample(range(40), 8)}
+        gone = [d for d in rng.sample(sorted(now), 3) if d not in changed]
+        now = {d: t for d, t in (now | changed).items() if d not in gone}
+        index.update(frame(changed), spark.createDataFrame([(d,) for d in gone], "_id string"))
+        for text in ("tiny AND river", "boat hello absent"):
+            got = {r["_id"]: round(r["_score"], 9) for r in search(frame(now), UblogQuery(text), 0, 99, index).collect()}
+            assert got == {r["_id"]: round(r["_score"], 9) for r in search(frame(now), UblogQuery(text), 0, 99).collect()}
+    assert index.generations() == [0, 1, 2]
+    plan = index.postings().rows.where(F.col("term").isin(["tiny"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "EqualTo(term,tiny)" in plan
+
+
 def test_study_text(studies):
     for text in ("name", "study description", "topic1", "study owner"):
         assert ids(search(studies, StudyQuery(text))) == ["study_id"]
@@ -83,18 +125,19 @@ def test_study_conditions_hold_on_one_chapter(studies):
     assert ids(search(studies, StudyQuery("Repertoire", user_id="coach", chapter=ChapterFilter(eco="B90", opening="Petroff")))) == []
 
 
-def test_study_chapter_text(studies):
-    assert "sicilian_study" in ids(search(studies, StudyQuery("Najdorf", chapter="search_text")))
-    assert "sicilian_study" not in ids(search(studies, StudyQuery("Najdorf")))
-    assert ids(search(studies, StudyQuery("owner:gm_owner Najdorf"))) == ["sicilian_study"]
-    assert ids(search(studies, StudyQuery("owner:gm_owner Najdorf", owner_searches_chapters=False))) == []
-    assert ids(search(studies, StudyQuery("owner:gm_owner b90"))) == []  # exact fields keep their case
-    assert ids(search(studies, StudyQuery("owner:gm_owner 1503014"))) == ["sicilian_study"]
-    assert ids(search(studies, StudyQuery("owner:gm_owner"))) == ["sicilian_study"]
-    assert ids(search(studies, StudyQuery("member:student", sort_by="hot"))) == ["petroff_study"]
+def test_study_chapter_text(studies, index):
+    found = lambda query: search(studies, query, index=index)
+    assert "sicilian_study" in ids(found(StudyQuery("Najdorf", chapter="search_text")))
+    assert "sicilian_study" not in ids(found(StudyQuery("Najdorf")))
+    assert ids(found(StudyQuery("owner:gm_owner Najdorf"))) == ["sicilian_study"]
+    assert ids(found(StudyQuery("owner:gm_owner Najdorf", owner_searches_chapters=False))) == []
+    assert ids(found(StudyQuery("owner:gm_owner b90"))) == []  # exact fields keep their case
+    assert ids(found(StudyQuery("owner:gm_owner 1503014"))) == ["sicilian_study"]
+    assert ids(found(StudyQuery("owner:gm_owner"))) == ["sicilian_study"]
+    assert ids(found(StudyQuery("member:student", sort_by="hot"))) == ["petroff_study"]
 
 
-def test_study_sorts(studies):
+def test_study_sorts(studies, index):
     by = lambda field, up: ids(search(studies, StudyQuery("", sort_by=field, ascending=up, empty_text="all")))
     assert by("likes", False)[0] == "study_id" and by("name", True) == ["petroff_study", "sicilian_study", "study_id"]
     assert by("hot", True) == ["petroff_study", "sicilian_study", "study_id"]

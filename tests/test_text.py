@@ -42,3 +42,20 @@ def test_cleaned_queries_agree(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(analysis.cleaned_query(F.col("t")).alias("c")).collect()
     assert [r.c for r in rows] == [analysis.clean(t) for t in texts]
     assert analysis.clean(texts[0]) == r"foo AND \(bar\) AND baz  x language:en quality:2 quality 9"
+
+
+def test_hostile_texts_are_analysed(spark):
+    """No pattern recurses: a text of any length is safe."""
+    texts = ["a'" * 100_000, "a" * 200_000, "' " * 100_000, "a’b" * 50_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(analysis.english_tokens(F.col("t"))).alias("n"), F.size(analysis.standard_tokens(F.col("t"))).alias("m")).collect()
+    assert [r.n for r in rows] == [1, 1, 0, 1] and [r.m for r in rows] == [100_000, 1, 0, 50_001]
+
+
+def test_the_two_box_readers_agree(spark):
+    from tabiya.operators.search import split_box
+
+    boxes = ["Owner:Bob foo  BAR+baz", "+foo", " a b + ", "owner:a owner:b", "", "member:x:y\tz", "\ta\n", "+", "  "]
+    rows = spark.createDataFrame([(b,) for b in boxes], "b string").select(analysis.parsed_prefixes(F.col("b"), ["owner", "member"]).alias("q")).collect()
+    for box, row in zip(boxes, rows, strict=True):
+        terms, filters = split_box(box, ["owner", "member"])
+        assert (terms, filters) == (" ".join(row.q.terms), {k: row.q[k] for k in ("owner", "member") if row.q[k] is not None}), box
