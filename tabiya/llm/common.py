@@ -1,13 +1,12 @@
-"""What the operators share: text conventions, the shared folder, and tables written to it."""
+"""What the operators share: text conventions, and tables written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabiya.sources.shared import new_path
+
 #: The six characters that separate words, as a regular-expression class body and as a plain string.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,22 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset (as in tests) a
-    temporary one is chosen and set."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tabiya-shared-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(frame: DataFrame, label: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: it cuts the lineage, survives lost executors, and is
     computed once however often it is read."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/tabiya-{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
