@@ -26,8 +26,10 @@ as bad count for nothing; an empty table gives no rows; other columns are not re
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from tabiya.llm.common import table
 TRAIN_DOCS, LEAST_LABELLED, FEATURES, ROUNDS, STEPS = 6_000, 1_000, 1 << 18, 60, 80
 #: Lengths of word beginnings that are features; how clearly (in standard errors), how much (in natural logarithms) and
 #: in how many documents a feature must differ to be one of the toxicity scorer.
-BEGINNINGS, CLEARLY, MUCH, OFTEN = (4, 5, 6), 4.0, 1.5, 3
+BEGINNINGS, CLEARLY, MUCH, OFTEN = (4, 6), 4.0, 1.5, 3
 BAD, GOOD, NONE = 0, 1, 2
 #: Function words, second persons and common insults of four languages: fixed lists that labellers use.
 FUNCTION_WORDS = {
@@ -66,6 +68,7 @@ def _by_word(lists: dict[str, str]) -> dict[bytes, tuple[int, ...]]:
 
 _COMMON, _INSULT, _PERSON = _by_word(FUNCTION_WORDS), _by_word(INSULTS), frozenset(w.encode() for w in PERSONS)
 _MARKED = {w + end: at for w, at in _INSULT.items() for end in (b"", b".", b",", b"!", b"?", b";", b":")}
+_INSULTING = frozenset(_MARKED)
 
 
 def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
@@ -78,25 +81,27 @@ def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
     lines = [line for line in lines if line]
     without = lambda chars: len(raw) - len(raw.translate(None, chars))
     ascii_letters = without(_UPPER) + without(bytes(range(97, 123)))
-    common = [_COMMON[w] for w in words if w in _COMMON]
-    insults = [i for i, w in enumerate(words) if w in _MARKED]
+    distinct = set(words)
+    common = Counter(map(_COMMON.get, words))
+    del common[None]
+    insults = [] if _INSULTING.isdisjoint(distinct) else [i for i, w in enumerate(words) if w in _MARKED]
     near = sum(any(w in _PERSON for w in words[max(0, i - 3) : i + 4]) for i in insults)
     measured = {
         "words": n,
         "symbols": without(_SYMBOLS) * share,
         "marks": raw.count(b"!") * share,
-        "distinct": len(set(words)) * share,
+        "distinct": len(distinct) * share,
         "twice": sum(map(bytes.__eq__, words, words[1:])) * share,
         "length": len(low.translate(None, _SPACES)) * share,
         "upper": without(_UPPER) / max(1, ascii_letters),
         "same_lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
         "ends": sum(line.endswith((b".", b"!", b"?", b":", b'"')) for line in lines) / max(1, len(lines)),
-        "common": len(common) * share,
+        "common": common.total() * share,
         "insults": len(insults),
         "directed": near,
     }
     for i, name in enumerate(LANGUAGES):
-        measured[f"common_{name}"] = sum(i in at for at in common) * share
+        measured[f"common_{name}"] = sum(n for at, n in common.items() if i in at) * share
         measured[f"insults_{name}"] = sum(i in _MARKED[words[at]] for at in insults)
     return measured, words
 
@@ -203,16 +208,20 @@ class LabelModel:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
-        found = self[word] = zlib.crc32(word) % FEATURES
+        found = self[word] = zlib.crc32(word) & (FEATURES - 1)
         return found
 
 
-def marks_of(word: bytes) -> set[int]:
+def marks_of(word: bytes) -> list[int]:
     """The features of a word that is there: itself and its beginnings."""
     bare = word.strip(_POINTS)
-    return {zlib.crc32(b"=" + bare) % FEATURES, *(zlib.crc32(b"^" + bare[:n]) % FEATURES for n in BEGINNINGS if len(bare) > n)}
+    found = [zlib.crc32(bare, 1) & (FEATURES - 1)]
+    for n in BEGINNINGS:
+        if len(bare) > n:
+            found.append(zlib.crc32(bare[:n], 2) & (FEATURES - 1))
+    return found
 
 
 _HASHES = _Hashes()
@@ -274,10 +283,11 @@ class _Marks(dict):
         super().__init__()
         self.used = set(np.flatnonzero(w[:-1]).tolist())
 
-    def __missing__(self, word: bytes) -> frozenset[int]:
-        if len(self) > 500_000:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 300_000:
             self.clear()
-        found = self[word] = frozenset(marks_of(word) & self.used)
+        marks = marks_of(word)
+        found = self[word] = () if self.used.isdisjoint(marks) else tuple(self.used.intersection(marks))
         return found
 
 
@@ -287,7 +297,8 @@ def quality_score(w: np.ndarray, m: dict[str, float], words: list[bytes]) -> flo
 
 
 def toxicity_score(w: np.ndarray, marks: _Marks, words: list[bytes]) -> float:
-    return 1 - _sigmoid(w[FEATURES] + w[list(frozenset().union(*map(marks.__getitem__, set(words))))].sum())
+    found = set().union(*filter(None, map(marks.__getitem__, set(words))))
+    return 1 - _sigmoid(w[FEATURES] + w[list(found)].sum()) if found else 1 - _sigmoid(w[FEATURES])
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -388,14 +399,14 @@ class Classifier:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made: Classifier = sent.value
             marks = _Marks(made.weights["toxicity"]) if made.weights else None
+            likely = lru_cache(None)(lambda pattern: float(made.labels["quality"].probability(np.int64(pattern + NONE * QUALITY.people))))  # a few hundred patterns
             for batch in batches:
                 out = []
                 for text in batch.column(1).to_pylist():
                     m, words = measure(text)
                     pattern = QUALITY.votes(m)
                     good, toxic = quality_score(made.weights["quality"], m, words), toxicity_score(made.weights["toxicity"], marks, words)
-                    likely = float(made.labels["quality"].probability(np.int64(pattern + NONE * QUALITY.people)))
-                    out.append((np.base_repr(pattern, 3).zfill(len(QUALITY.labellers))[::-1], likely, good, toxic, good >= 0.5 and toxic < 0.5))
+                    out.append((np.base_repr(pattern, 3).zfill(len(QUALITY.labellers))[::-1], likely(pattern), good, toxic, good >= 0.5 and toxic < 0.5))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "votes", "label_probability", "good_score", "toxic_score", "keep"])
