@@ -6,7 +6,9 @@ of fixed size, cut wherever they fall. A task searches a block with one vectoris
 over a file's blocks, in running sums, then gives each block the number of documents before it and the place where the
 document that is open at its start began; that stitches documents that span blocks, however many.
 
-Files are tables of (file, block, ids binary) in the shared folder, or real files (`flat_files`).
+Files are tables of (file, block, ids binary) in the shared folder, or real files (`flat_files`), of which each task
+opens the shared path and reads its own ranges only, so one file of any size is spread over many tasks. Ids that don't
+fit in the files' width are an error, never cut.
 
 Defined results: ids after a file's last separator form a last document with `ended` false; without such ids there is
 none; an empty document (two separators in a row) counts 0; a null text is an empty document; repeated rows are
@@ -43,7 +45,7 @@ def flat_table(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_
         row = lambda number, ids, names: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, number, ids, names), schema, strict=True)], schema=schema)
         for batch in batches:
             for ids in encoded(batch.column(1).to_pylist(), path):
-                held += [np.frombuffer(ids, "<u4").astype(DTYPE).tobytes(), end]
+                held += [narrowed(np.frombuffer(ids, "<u4")), end]
                 bytes_held += len(held[-2]) + len(end)
                 if bytes_held >= full:
                     joined, at = b"".join(held), 0
@@ -59,12 +61,32 @@ def flat_table(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file int, block long, ids binary, doc_ids array<long>")
 
 
-def flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, dtype: str = DTYPE) -> DataFrame:
-    """Real flat files of up to 2 GB each as (file, block, ids); larger ones are to be split when written."""
+def narrowed(ids: np.ndarray) -> bytes:
+    """The ids in the files' width."""
+    if len(ids) and ids.max() > np.iinfo(DTYPE).max:
+        raise ValueError(f"token id {ids.max()} does not fit in {DTYPE}")
+    return ids.astype(DTYPE).tobytes()
+
+
+def flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, dtype: str = DTYPE, blocks_a_task: int = 64) -> DataFrame:
+    """Real flat files as (file, block, ids). Sizes come from a listing; the ranges are dealt over tasks, which read
+    them from the shared path by Arrow's file systems."""
     width = block_ids * np.dtype(dtype).itemsize
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    blocks = files.select(F.col("path").alias("file"), "content", F.explode(F.expr(f"sequence(0L, (length - 1) div {width})")).alias("block"))
-    return blocks.select("file", "block", F.expr(f"substring(content, cast(block * {width} + 1 as int), {width})").alias("ids"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.select(F.col("path").alias("file"), "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {width})")).alias("block"))
+    tasks = max(1, files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / width)), F.lit(0)).alias("n")).first()["n"] // blocks_a_task)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, length, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                store, inside = fs.FileSystem.from_uri(file)
+                with store.open_input_file(inside) as opened:
+                    ids = opened.read_at(min(width, length - block * width), block * width)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([ids], pa.binary())], names=["file", "block", "ids"])
+
+    return ranges.repartition(int(tasks), "file", "block").mapInArrow(run, "file string, block long, ids binary")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
