@@ -9,7 +9,7 @@ starts with is the rule that wins. No rule can be missing from that stack: a rul
 a prefix of every rule that sorts between the two.
 
 Keys are made distinct before anything is shuffled by host; a host with many keys is swept in several salted runs,
-each with its own copy of that host's rules. Everything is DataFrame operations.
+each with its own copy of that host's rules, and with at least as many keys as rules. Everything is DataFrame operations.
 
 Defined results: a null url, or one without `://`, has an empty host and path and no rule; an empty path starts with
 no rule's path; of equal rules with different verdicts `block` wins; among fitting rules the longest host and path
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tabiya.llm.common import ascii_lower, table, written
 
 #: Above so many hosts with rules they are joined by sorting and not broadcast. Keys of a host in one sweep.
-BROADCAST_HOSTS, KEYS_PER_SWEEP = 100_000, 500_000
+BROADCAST_HOSTS, KEYS_PER_SWEEP = 100_000, 2_000
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DEFAULT = "allow"
 
@@ -75,11 +75,12 @@ def judge(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """host, path, rule and verdict of the distinct (host, path) keys that some rule fits."""
     ruled = written(canonical_rules(rules), "rules")
     asked = keys.select("host", "path", F.explode(parents(F.col("host"))).alias("host_key"))
-    rule_hosts = ruled.select("host_key").distinct()
+    rule_hosts = ruled.groupBy("host_key").agg(F.count("*").alias("n_rules"))
     few = rule_hosts.count() <= BROADCAST_HOSTS
     small = F.broadcast if few else (lambda frame: frame)
-    counted = asked.join(small(rule_hosts), "host_key").groupBy("host_key").agg(F.count("*").alias("n"))
-    hosts = written(counted.select("host_key", F.ceil(F.col("n") / KEYS_PER_SWEEP).cast("int").alias("salts")), "rule-hosts")
+    counted = asked.join(small(rule_hosts), "host_key").groupBy("host_key", "n_rules").agg(F.count("*").alias("n"))
+    sweeps = F.ceil(F.col("n") / F.greatest(F.lit(KEYS_PER_SWEEP), "n_rules")).cast("int")
+    hosts = written(counted.select("host_key", sweeps.alias("salts")), "rule-hosts")
     runs = asked.join(small(hosts), "host_key").select(
         "host_key", F.pmod(F.xxhash64("path"), "salts").cast("int").alias("salt"), "path", "host", F.lit(1).alias("kind"), F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack")
     )
