@@ -15,8 +15,8 @@ A document's set is its distinct five-word shingles. Two documents link at Jacca
    makes as many pairs as members. What verifies is joined to components.
 5. Rest. Lists whose members are still in several components are compared in full, members of different components
    only. Short lists are joined. Long ones (many documents close to one another that don't link) are dealt in blocks;
-   a task compares two blocks by bitmaps of the sets, whose common bits bound what two sets can share, and emits only
-   pairs that may still link. Pairs that share enough prefix shingles and fit in size are verified. Then components
+   a group compares two blocks by bitmaps of the sets, whose common bits bound what two sets can share, and emits only
+   pairs that may still link; groups are dealt by ranges of their keys, so tasks get equally many entries. Pairs that share enough prefix shingles and fit in size are verified. Then components
    are final: every pair of documents that could link was verified or was already in one component.
 
 Defined results: words are split at blanks after lower-casing A-Z; fewer than five words are one shingle; a text
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     row of the component, so it tells components apart where ids are null or repeated. A column of docs with a
     different long in every row can be named to be the uid."""
     partitions = docs.rdd.getNumPartitions()
-    shards = 1 << min(16, max(6, (2 * partitions - 1).bit_length()))
+    shards = 1 << min(18, max(6, (2 * partitions - 1).bit_length()))
     first = written(first_pass(docs, shards, row), "shingles")
     rows = first.where("uid IS NOT NULL").select("uid", "doc_id", "n", "key")
     classes = written(rows.where("n > 0").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_doc"), F.count("*").alias("class_size")), "classes")
@@ -358,7 +358,9 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     lists = long.groupBy("node").agg(F.collect_set("shingle").alias("lists"))  # at most a prefix
     long = long.join(nodes.select("node", "bitmap").join(lists, "node"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     long = long.withColumn("low_block", F.least("block", "with")).withColumn("high_block", F.greatest("block", "with"))
-    met = long.select("shingle", "low_block", "high_block", "block", "node", "n", "more", "label", "bitmap", "lists").groupBy("shingle", "low_block", "high_block").applyInPandas(may_link, "a long, b long, more int, more_b int, shared long")
+    pair = ["shingle", "low_block", "high_block"]
+    dealt = written(long.select(*pair, "block", "node", "n", "more", "label", "bitmap", "lists"), "block-entries").repartitionByRange(*pair)
+    met = dealt.groupBy(*pair).applyInPandas(may_link, "a long, b long, more int, more_b int, shared long")
     rest = joined.select("a", "b", "more", "more_b", F.lit(1).cast("long").alias("shared")).unionByName(met)
     rest_links = written(verified(enough(rest), nodes), "rest-links")
     final = components(star_links.unionByName(rest_links))
