@@ -64,6 +64,13 @@ def test_url_filters_equal_brute_force(spark):
     assert {r.verdict for r in u.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_odd_pages(spark):
+    long = "http://a.org/en/1" + "x/" * 200_000
+    rows = [(None, "http://example.org/en/1"), (1, long), (1, long), (2, "http://" + "a." * 200 + "org/"), (3, None), (None, None)]
+    got = collections.Counter((r.page_id, r.rule, r.verdict) for r in u.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(u.RULES), "rule string, verdict string")).collect())
+    assert got == {(None, "example.org/en/1", "block"): 1, (1, "org/", "allow"): 2, (2, "org/", "allow"): 1, (3, None, "allow"): 1, (None, None, "allow"): 1}
+
+
 def test_hot_host_is_swept_in_salted_runs(spark, monkeypatch):
     monkeypatch.setattr(u, "KEYS_PER_SWEEP", 7)
     pages = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/en/"), "id").alias("url"))
