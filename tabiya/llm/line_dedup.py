@@ -13,8 +13,9 @@ full is built anew from its shard's keys, and all are once the keys have outgrow
 of many.
 
 To dedup documents, each of their references is sent to the filter of its shard, at any size, and only the few that may
-be common are joined with the exact table. A shard's references are dealt over SALTS tasks, each with the filter, so a
-line that every document holds is no large group; a task holds one filter at a time and streams the references by it.
+be common are joined with the exact table. References are counted by shard, and a shard with many is dealt over a task
+for each REFERENCES_A_TASK, each with the filter, as are the keys it is then joined with; so a line that every document
+holds is no large group. A task holds one filter at a time and streams the references by it.
 
 Defined results: a null or empty text is one empty line; a null id counts for no key, and its common lines all go;
 rows with one id are one document; a text that loses all lines becomes empty and stays; ties can't occur, as the
@@ -39,9 +40,9 @@ from pyspark.sql.types import StructType
 from tabiya.llm.common import SPACES, table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Common keys for which a shard is made, least number of shards, tasks that a shard's references are dealt over, and
+#: Common keys for which a shard is made, least number of shards, references of a shard that one task asks about, and
 #: the share of a filter's slots beyond which it is built anew.
-KEYS_A_SHARD, LEAST_SHARDS, SALTS, FULL = 1 << 15, 64, 8, 0.9
+KEYS_A_SHARD, LEAST_SHARDS, REFERENCES_A_TASK, FULL = 1 << 15, 64, 1 << 20, 0.9
 BLANKS = SPACES.encode()
 KEY, RESULTS = ["hi", "lo"], ("n_lines", "n_dropped", "kept_sha256")
 
@@ -261,13 +262,23 @@ class LineIndex:
         refs = self.references.groupBy(*KEY, "doc_id", "own").agg(F.sum("refs").alias("refs")).where("refs <> 0")
         return LineIndex._of(written(refs, "line-references"))
 
-    def maybe_common(self, refs: DataFrame) -> DataFrame:
+    def salts(self, refs: DataFrame) -> DataFrame:
+        """shard and the number of tasks it is dealt over: a row for each shard, of which there are as many as the
+        common keys need, so it may be broadcast."""
+        many = refs.groupBy(_shard(self.shards)).agg(F.count("*").alias("n"))
+        return written(many.select("shard", F.ceil(F.col("n") / REFERENCES_A_TASK).cast("int").alias("salts")), "line-salts")
+
+    def _dealt(self, rows: DataFrame, salts: DataFrame) -> DataFrame:
+        """rows of a shard, once for each of its tasks."""
+        return rows.join(F.broadcast(salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def maybe_common(self, refs: DataFrame, salts: DataFrame) -> DataFrame:
         """hi, lo, doc_id, own and salt of those references that the filters don't rule out."""
-        none = lambda kind: F.lit(None).cast(kind)
-        salt = F.pmod(F.xxhash64("doc_id", "own"), F.lit(SALTS)).cast("int").alias("salt")
-        asked = refs.select(*KEY, "doc_id", "own", _shard(self.shards), salt, none("binary").alias("blob"))
-        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        filters = self.filters.select(none("long").alias("hi"), none("long").alias("lo"), none("long").alias("doc_id"), none("string").alias("own"), "shard", every, "blob")
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        salt = F.pmod(F.xxhash64("doc_id", "own"), "salts").cast("int").alias("salt")
+        asked = refs.select(*KEY, "doc_id", "own", _shard(self.shards)).join(F.broadcast(salts), "shard")
+        asked = asked.select(*KEY, "doc_id", "own", "shard", salt, none("binary", "blob"))
+        filters = self._dealt(self.filters, salts).select(none("long", "hi"), none("long", "lo"), none("long", "doc_id"), none("string", "own"), "shard", "salt", "blob")
         rows = filters.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +300,9 @@ class LineIndex:
 
     def drops(self, refs: DataFrame) -> DataFrame:
         """doc_id, own and the keys whose lines a document loses."""
-        held = self.holders.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        lost = self.maybe_common(refs).join(held, [*KEY, "salt"]).where("doc_id IS NULL OR doc_id <> max_doc")
+        salts = self.salts(refs)
+        held = self._dealt(self.holders.select("*", _shard(self.shards)), salts).drop("shard")
+        lost = self.maybe_common(refs, salts).join(held, [*KEY, "salt"]).where("doc_id IS NULL OR doc_id <> max_doc")
         return lost.groupBy("doc_id", "own").agg(F.collect_set(F.struct(*KEY)).alias("_line_lost"))
 
 

@@ -131,6 +131,9 @@ def test_line_dedup_is_exact_and_reversible(spark, awkward, nothing, monkeypatch
     index = ld.LineIndex.of(awkward)
     got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(awkward, index).collect())
     assert got == _deduped(rows)
+    monkeypatch.setattr(ld, "REFERENCES_A_TASK", 2)  # every shard is dealt over several tasks
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(awkward, index).collect()) == got
+    monkeypatch.undo()
     clash = awkward.selectExpr("*", "1 AS n_lines", "'c' AS n_dropped", "2 AS kept_sha256")
     assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(clash, index).collect()) == got
     assert ld.deduped_documents(clash).columns == clash.columns and {r.n_dropped for r in ld.deduped_documents(clash).collect()} == {"c"}
@@ -396,5 +399,38 @@ def test_pipeline_stage_by_stage(spark, tokenizer):
     assert corpus_pipeline.run(spark, folder).count() == kept["packing"][1].count()
 
 
+def _roots(sets):
+    """For each row the first row of its component."""
+    return _components(list(range(len(sets))), sets)
+
+
+def test_every_stage_on_odd_tables(spark, awkward, nothing):
+    """Nulls, repeated ids with equal and with other texts, ties, clashing names; rows are what is kept or dropped."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, awkward, "")
+        assert out.columns == awkward.columns and stage(spark, nothing, "").count() == 0
+        before, after = (collections.Counter(map(tuple, frame.collect())) for frame in (awkward, out))
+        assert name in ("line_dedup", "mixing") or after <= before
+        assert name != "line_dedup" or after.total() == before.total()
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, "").count() == 0
+
+
+def test_representatives_equal_brute_force_by_row(spark):
+    rng = random.Random(12)
+    base = [" ".join(f"{c}{rng.randrange(9)}" for _ in range(40)) for c in "pqrs"]
+    texts = [b + (" " + rng.choice("xyz")) * rng.randrange(2) for b in base for _ in range(8)] + ["", None]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 11]), rng.choice(texts), i) for i in range(90)] + [(3, "t " * 9, 90), (11, "t " * 9, 91), (11, "u v w x y z", 92)]
+    got = [tuple(r) for r in jj.representatives(spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(5)).collect()]
+    sets = _sets([r[1] for r in rows])
+    root, kept, want = _roots(sets), collections.defaultdict(list), {}
+    for r in got:
+        kept[root[r[2]]].append(r[0])
+    for (doc_id, _, i), s in zip(rows, sets, strict=True):
+        if s:
+            want.setdefault(root[i], []).append(doc_id)
+    assert {c: kept.pop(c) for c in want} == {c: [min((d for d in ids if d is not None), default=None)] for c, ids in want.items()}
+    assert sum(map(len, kept.values())) == sum(not s for s in sets)
+
+
 def _fine(text):
     return len((text or "").split()) >= 50
