@@ -113,6 +113,11 @@ def visible(public: Column, members: Column, user: str | None) -> Column:
     return public if user is None else public | F.array_contains(members, user)
 
 
+def is_or_has(owner: Column, members: Column, text: str) -> Column:
+    """The whole text is the owner, or one of the members."""
+    return (owner == text) | F.coalesce(F.array_contains(members, text), F.lit(False))
+
+
 def same_element(array: Column, test: Callable[[Column], Column]) -> Column:
     """One element of the array passes the whole test."""
     return F.coalesce(F.exists(array, lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))

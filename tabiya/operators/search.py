@@ -281,7 +281,7 @@ class StudyQuery:
 
     def _scores(self, rows: DataFrame, index: fulltext.Index, terms: str, boosts: dict[str, float], chapters_too: bool) -> DataFrame:
         query = english_query(terms, synonyms=True)
-        others = rows.where((F.col("owner") == terms) | F.array_contains("members", terms)).select("_id", F.lit(1.0).alias("_score"))
+        others = rows.where(p.is_or_has(F.col("owner"), F.col("members"), terms)).select("_id", F.lit(1.0).alias("_score"))
         if chapters_too:
             exact = lambda c: p.any_of([c["tags"][t] == terms for t in ("variant", "white_fide_id", "black_fide_id", "eco")])
             others = others.unionByName(rows.where(p.same_element(F.col("chapters"), exact)).select("_id", F.lit(1.0).alias("_score")))

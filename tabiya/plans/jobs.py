@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabiya.operators import translate as tr
 from tabiya.operators.changes import DELETE, INDEX, UPDATE
-from tabiya.plans.records import BOTS_SQL, DOCUMENT_SQL, RECORDS_SQL, accounts, records
+from tabiya.plans.records import BOTS_SQL, CSV_SQL, DOCUMENT_SQL, RECORDS_SQL, accounts, records
 from tabiya.plans.standins import CHANGES_SQL, Catalogue, change_events, table
+from tabiya.sources import scans
+from tabiya.sources.collections import SPECS, create, write
 from tabiya.sources.shared import new_path
+from tabiya.sources.sinks import write_csv
 from tabiya.streaming import jobs
 from tabiya.streaming.collection import Collection
 from tabiya.streaming.ingest import ingest, run_all
@@ -121,6 +126,39 @@ def job_game(spark, d):
     return _indexed(spark, d, jobs.GAME)
 
 
+@query("collection_layout", RECORDS_SQL + "SELECT count(*) AS n, CAST(25 AS BIGINT) AS files, CAST(0 AS BIGINT) AS out_of_order, max(coalesce(moved, created)) AS newest FROM p")
+def collection_layout(spark, d):
+    """Games written in their collection's layout, over an empty collection of the same name: files, rows that are
+    newer than the row before them in a file, and the newest date."""
+    spec, path = SPECS["game"], new_path(spark, "layout")
+    create(spark, spec, path)
+    rows = jobs.GAME.changes(records(spark, d).withColumn("action", F.lit(INDEX)).withColumn("version", F.lit(0)), _tables(spark, d))
+    write(rows.select(*spec.schema.names), spec, path)
+    create(spark, spec, path)  # what is there stays
+    back = spark.read.schema(spec.schema).parquet(path).select("date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag("date").over(Window.partitionBy("file").orderBy("at"))
+    return back.withColumn("newer", (F.col("date") > before).cast("long")).agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.sum("newer").alias("out_of_order"), F.max("date").alias("newest"))
+
+
+@query("backfill_newest_first", RECORDS_SQL + f"SELECT _id, created FROM p WHERE {GAMES_IN_RANGE} ORDER BY created DESC, _id LIMIT 50")
+def backfill_newest_first(spark, d):
+    """The 50 newest games of a range."""
+    return scans.games(records(spark, d), at(LOW), at(HIGH), newest_first=True).limit(50).select("_id", "created")
+
+
+@query("csv_export_stream", RECORDS_SQL + f"SELECT _id, average_rating, uids, duration FROM (SELECT {CSV_SQL} FROM p WHERE status >= 30)")
+def csv_export_stream(spark, d):
+    """A stream of game records appended to one CSV export, file by file, and read back."""
+    source, out = new_path(spark, "csv-source"), new_path(spark, "csv-stream")
+    records(spark, d).where(F.col("status") >= 30).repartition(3, "_id").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    export = lambda batch, _: write_csv(tr.game_csv(batch), out, append=True)
+    stream.writeStream.foreachBatch(export).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    names = tr.game_csv(spark.read.parquet(source)).columns
+    back = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in names)).csv(out)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("_id", "average_rating", "uids", "duration")])
+
+
 STUDY_UNTIL = "2024-01-20 00:00:00"
 STUDY_SQL = f"""WITH p AS (SELECT *, {TIMES_SQL} FROM (SELECT *, doc_id AS k FROM documents)),
 g AS (SELECT user_id AS k, ts, event_id AS seq, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS n FROM events WHERE ts < TIMESTAMP '{STUDY_UNTIL}' AND user_id % 4 <> 0),
@@ -231,15 +269,13 @@ def stream_partial_updates(spark, d):
 @query("change_batch_and_stream", CHANGES_SQL + "SELECT doc_id, seq FROM c WHERE cluster_time >= TIMESTAMP '2024-01-10' AND cluster_time < TIMESTAMP '2024-01-12'")
 def change_batch_and_stream(spark, d):
     """A range of a change log read as a table; the same events come from the stream."""
-    from tabiya.sources.scans import change_log, touched
-
     log = new_path(spark, "change-log")
     change_events(spark, d).write.parquet(log)
     low, high = (F.lit(day).cast("timestamp_ntz") for day in ("2024-01-10", "2024-01-12"))
     schema = change_events(spark, d).schema
-    in_range = lambda rows: rows.where(touched(["cluster_time"], low, high)).select("doc_id", "seq")
-    stream, out = in_range(change_log(spark, log, schema, stream=True, max_files=2)), new_path(spark, "change-range")
+    in_range = lambda rows: rows.where(scans.touched(["cluster_time"], low, high)).select("doc_id", "seq")
+    stream, out = in_range(scans.change_log(spark, log, schema, stream=True, max_files=2)), new_path(spark, "change-range")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    batch = in_range(change_log(spark, log, schema))
+    batch = in_range(scans.change_log(spark, log, schema))
     streamed = spark.read.schema(batch.schema).parquet(out)
     return batch.intersectAll(streamed)

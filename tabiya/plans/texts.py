@@ -54,7 +54,7 @@ def best_field_and(spark, d):
 
 @query("keyword_whole_string", STUDIES_SQL + "SELECT _id FROM s WHERE owner = 'o1' OR list_contains(members, 'o1')")
 def keyword_whole_string(spark, d):
-    return studies(spark, d).where((F.col("owner") == "o1") | F.array_contains("members", "o1")).select("_id")
+    return studies(spark, d).where(p.is_or_has(F.col("owner"), F.col("members"), "o1")).select("_id")
 
 
 def _bm25(source: str, fields: dict[str, float], words: list[str]) -> str:

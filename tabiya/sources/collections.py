@@ -57,8 +57,13 @@ def create(spark: SparkSession, spec: CollectionSpec, path: str, replace: bool =
     spark.createDataFrame([], spec.schema).write.mode("overwrite" if replace else "ignore").parquet(path)
 
 
+def laid_out(documents: DataFrame, spec: CollectionSpec, partitions: int | None = None) -> DataFrame:
+    """Dealt by id, sorted inside files so that ranges of the sort column skip row groups. Without `partitions` the
+    size of the rows decides how many files there are."""
+    rows = documents.repartition(partitions, "_id") if partitions else documents.repartition("_id")
+    return rows.sortWithinPartitions(rows[spec.sort].desc_nulls_last()) if spec.sort else rows
+
+
 def write(documents: DataFrame, spec: CollectionSpec, path: str, partitions: int | None = None) -> None:
-    """The collection's layout: dealt by id, sorted inside files so that ranges of the sort column skip row groups."""
-    rows = documents.repartition(partitions or spec.partitions, "_id")
-    rows = rows.sortWithinPartitions(rows[spec.sort].desc_nulls_last()) if spec.sort else rows
-    rows.write.mode("overwrite").option("compression", spec.compression).parquet(path)
+    """The collection in its layout, in as many files as the collection's spec says unless told otherwise."""
+    laid_out(documents, spec, partitions or spec.partitions).write.mode("overwrite").option("compression", spec.compression).parquet(path)

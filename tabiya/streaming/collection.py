@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tabiya.operators.changes import DELETE, UPDATE
+from tabiya.sources.collections import CollectionSpec, laid_out
 
 #: Changes with one version are ordered as a batch is: whole documents, partial updates, deletions.
 ORDER = {UPDATE: 1, DELETE: 2}
@@ -30,9 +31,10 @@ ORDER = {UPDATE: 1, DELETE: 2}
 class Collection:
     """Paths are Hadoop's, so any shared store will do."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, updatable: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, updatable: tuple[str, ...] = (), layout: CollectionSpec | None = None):
         """schema: the documents' columns with `_id`, `version` and `deleted`; updatable: those of them that partial
-        updates may change."""
+        updates may change; layout: how bases are sorted and compressed."""
+        self.layout = layout
         self.spark, self.path, self.schema, self.updatable = spark, path.rstrip("/"), schema, tuple(updatable)
         self.fixed = [c for c in schema.names if c not in ("_id", "version", "deleted", *updatable)]
         moment = StructType().add(schema["version"]).add("kind", IntegerType()).add("applied", LongType())
@@ -115,7 +117,8 @@ class Collection:
             rows = rows.where(self._kept(forget_before))
         n = max(self.bases(), default=-1) + 1
         self.spark.createDataFrame([(d,) for d in seen], "delta string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/covers={n}")
-        rows.write.mode("overwrite").parquet(f"{self.path}/base={n}")
+        rows, codec = (laid_out(rows, self.layout), self.layout.compression) if self.layout else (rows, "snappy")
+        rows.write.mode("overwrite").option("compression", codec).parquet(f"{self.path}/base={n}")
 
     def _kept(self, forget_before: object) -> Column:
         moments = ["_at", *[f"_at_{c}" for c in self.updatable]]

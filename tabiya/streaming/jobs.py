@@ -107,7 +107,7 @@ class Job:
         return StructType(list(SPECS[self.name].schema.fields)).add("version", StructType().add("t", TimestampType()).add("seq", LongType())).add("deleted", BooleanType())
 
     def collection(self, spark: SparkSession, path: str) -> Collection:
-        return Collection(spark, path, self.schema(), self.updatable)
+        return Collection(spark, path, self.schema(), self.updatable, SPECS[self.name])
 
     def scan(self, tables: Tables, since: object, until: object | None = None) -> DataFrame:
         """All changes of a range: documents to be indexed, ids to be deleted, partial updates."""
