@@ -14,8 +14,9 @@ of many.
 
 To dedup documents, each of their references is sent to the filter of its shard, at any size, and only the few that may
 be common are joined with the exact table. References are counted by shard, and a shard with many is dealt over a task
-for each REFERENCES_A_TASK, each with the filter, as are the keys it is then joined with; so a line that every document
-holds is no large group. A task holds one filter at a time and streams the references by it.
+for each LEAST_REFERENCES, or as many as its filter has slots (so that copies of filters stay small against what they are
+asked), as are the keys it is then joined with; so a line that every document holds is no large group. A task holds one
+filter at a time and streams the references by it.
 
 Defined results: a null or empty text is one empty line; a null id counts for no key, and its common lines all go;
 rows with one id are one document; a text that loses all lines becomes empty and stays; ties can't occur, as the
@@ -40,9 +41,9 @@ from pyspark.sql.types import StructType
 from tabiya.llm.common import SPACES, table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Common keys for which a shard is made, least number of shards, references of a shard that one task asks about, and
-#: the share of a filter's slots beyond which it is built anew.
-KEYS_A_SHARD, LEAST_SHARDS, REFERENCES_A_TASK, FULL = 1 << 15, 64, 1 << 20, 0.9
+#: Common keys for which a shard is made, least number of shards, references of a shard for which it gets a further task
+#: at least, and the share of a filter's slots beyond which it is built anew.
+KEYS_A_SHARD, LEAST_SHARDS, LEAST_REFERENCES, FULL = 1 << 15, 64, 2048, 0.9
 BLANKS = SPACES.encode()
 KEY, RESULTS = ["hi", "lo"], ("n_lines", "n_dropped", "kept_sha256")
 
@@ -266,7 +267,8 @@ class LineIndex:
         """shard and the number of tasks it is dealt over: a row for each shard, of which there are as many as the
         common keys need, so it may be broadcast."""
         many = refs.groupBy(_shard(self.shards)).agg(F.count("*").alias("n"))
-        return written(many.select("shard", F.ceil(F.col("n") / REFERENCES_A_TASK).cast("int").alias("salts")), "line-salts")
+        each = F.greatest(F.lit(LEAST_REFERENCES), F.coalesce("slots", F.lit(0)))
+        return written(many.join(self.filters.select("shard", "slots"), "shard", "left").select("shard", F.ceil(F.col("n") / each).cast("int").alias("salts")), "line-salts")
 
     def _dealt(self, rows: DataFrame, salts: DataFrame) -> DataFrame:
         """rows of a shard, once for each of its tasks."""
