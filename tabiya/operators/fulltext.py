@@ -113,9 +113,19 @@ class TextIndex:
         self._store(self.make(changed), generation, self._current("lengths").join(self._read("changed", generation), "_id", "left_semi"))
         return self
 
+    def followed(self) -> set[str]:
+        """Names of the changes that are in the index, where it follows a collection."""
+        names = [self._read("followed", g) for g in self.generations()]
+        return {r["name"] for r in reduce(DataFrame.unionByName, names).distinct().collect()} if names else set()
+
+    def follow(self, generation: int, names: set[str]) -> None:
+        self._write(self.spark.createDataFrame([(n,) for n in sorted(names)], "name string").coalesce(1), "followed", generation)
+
     def _store(self, made: Postings, generation: int, hidden: DataFrame | None) -> None:
         self._write(made.rows.repartitionByRange("term", "_id").sortWithinPartitions("term", "_id"), "postings", generation)
-        per_document = made.lengths.groupBy("_id", "field").agg(F.count("*").alias("n_docs"), F.sum("length").cast("long").alias("total"))
+        # A field's length is the sum of its terms' counts, so the texts are not analysed again.
+        fields = self._read("postings", generation).groupBy("_id", "field", "element").agg(F.sum("tf").alias("length"))
+        per_document = fields.groupBy("_id", "field").agg(F.count("*").alias("n_docs"), F.sum("length").cast("long").alias("total"))
         self._write(per_document, "lengths", generation)
         new = self._read("lengths", generation).select("field", "n_docs", "total")
         if hidden is not None:

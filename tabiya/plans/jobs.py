@@ -7,10 +7,14 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabiya.operators import translate as tr
+from tabiya.functions.analysis import standard_query
+from tabiya.operators import fulltext, translate as tr
 from tabiya.operators.changes import DELETE, INDEX, UPDATE
+from tabiya.operators.fulltext import TextIndex
+from tabiya.operators.search import UblogQuery
 from tabiya.plans.records import BOTS_SQL, CSV_SQL, DOCUMENT_SQL, RECORDS_SQL, accounts, records
 from tabiya.plans.standins import CHANGES_SQL, Catalogue, change_events, table
+from tabiya.plans.texts import bm25_sql
 from tabiya.sources import scans
 from tabiya.sources.collections import SPECS, create, write
 from tabiya.sources.shared import new_path
@@ -110,13 +114,27 @@ def job_team(spark, d):
     return _indexed(spark, d, jobs.TEAM)
 
 
-@query("job_ublog", f"""WITH p AS (SELECT *, CASE WHEN k % 3 <> 0 THEN {START} + k * 60 END AS created, CASE WHEN k % 2 = 0 THEN k % 6 END AS q FROM (SELECT *, doc_id AS k FROM documents))
+UBLOG_SQL = f"""WITH p AS (SELECT *, CASE WHEN k % 3 <> 0 THEN {START} + k * 60 END AS created, CASE WHEN k % 2 = 0 THEN k % 6 END AS q FROM (SELECT *, doc_id AS k FROM documents))
 SELECT CAST(k AS VARCHAR) AS _id, source || chr(10) || replace(lang, 'Chess', '') || chr(10) || lang || chr(10) || chr(10) || text AS text, lang AS language, CAST(n_chars % 30000 AS SMALLINT) AS likes, created * 1000 AS date, CAST(q AS SMALLINT) AS quality
-FROM p WHERE created >= {LOW} AND created < {HIGH} AND k % 4 <> 0 AND (q IS NULL OR q <> 0)""")
+FROM p WHERE created >= {LOW} AND created < {HIGH} AND k % 4 <> 0 AND (q IS NULL OR q <> 0)"""
+
+
+@query("job_ublog", UBLOG_SQL)
 def job_ublog(spark, d):
     return _indexed(spark, d, jobs.UBLOG)
 
 
+@query("job_text_index", f"WITH v AS ({UBLOG_SQL}), " + bm25_sql("v", {"text": 1}, ["the", "nicht"]) + "SELECT _id, round(score, 6) AS score FROM r")
+def job_text_index(spark, d):
+    """A stored text index that follows a collection from range to range."""
+    collection, tables = jobs.UBLOG.collection(spark, new_path(spark, "job-followed")), _tables(spark, d)
+    index = TextIndex(spark, new_path(spark, "job-index"), UblogQuery.index)
+    for low, high in ((LOW, MIDDLE), (MIDDLE, HIGH)):
+        jobs.index(jobs.UBLOG, tables, collection, at(low), at(high))
+        jobs.follow(index, collection)
+    return fulltext.best_field(index, standard_query("the nicht"), {"text": 1}).select("_id", F.round("_score", 6).alias("score"))
+
+
 GAMES_IN_RANGE = f"status >= 30 AND (source IS NULL OR source <> 7) AND created >= {LOW} AND created < {HIGH}"
 
 

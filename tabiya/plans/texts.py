@@ -57,7 +57,7 @@ def keyword_whole_string(spark, d):
     return studies(spark, d).where(p.is_or_has(F.col("owner"), F.col("members"), "o1")).select("_id")
 
 
-def _bm25(source: str, fields: dict[str, float], words: list[str]) -> str:
+def bm25_sql(source: str, fields: dict[str, float], words: list[str]) -> str:
     """The scores of the words' documents in each field, in SQL."""
     each = " UNION ALL ".join(f"SELECT _id, '{name}' AS field, {boost}::DOUBLE AS boost, {T(name)} AS ts FROM {source}" for name, boost in fields.items())
     listed = ", ".join(f"('{w}')" for w in words)
@@ -68,19 +68,19 @@ r AS (SELECT _id, field, sum(boost * ln(1 + (n - n_with + 0.5) / (n_with + 0.5))
   FROM h JOIN o USING (field, w) JOIN a USING (field) GROUP BY _id, field) """
 
 
-@query("bm25_scores", BLOGS_SQL + ", " + _bm25("b", {"text": 1}, ["the", "with", "nicht"]) + "SELECT _id, round(score, 6) AS score FROM r")
+@query("bm25_scores", BLOGS_SQL + ", " + bm25_sql("b", {"text": 1}, ["the", "with", "nicht"]) + "SELECT _id, round(score, 6) AS score FROM r")
 def bm25_scores(spark, d):
     found = fulltext.best_field(stored_index(spark, d, "ublog"), analysis.standard_query("the with nicht"), {"text": 1})
     return found.select("_id", F.round("_score", 6).alias("score"))
 
 
-@query("bm25_topk", BLOGS_SQL + ", " + _bm25("b", {"text": 1}, ["from", "they"]) + "SELECT _id, round(score, 6) AS score FROM r JOIN b USING (_id) ORDER BY r.score DESC, quality DESC NULLS LAST, date DESC, _id LIMIT 30")
+@query("bm25_topk", BLOGS_SQL + ", " + bm25_sql("b", {"text": 1}, ["from", "they"]) + "SELECT _id, round(score, 6) AS score FROM r JOIN b USING (_id) ORDER BY r.score DESC, quality DESC NULLS LAST, date DESC, _id LIMIT 30")
 def bm25_topk(spark, d):
     found = UblogQuery("from they", by="score").matches(blogs(spark, d), stored_index(spark, d, "ublog"))
     return page(found, UblogQuery("", by="score").sort(), 0, 30).select("_id", F.round("_score", 6).alias("score"))
 
 
-@query("boosted_best_field", TEAMS_SQL + ", " + _bm25("t", {"name": 10, "description": 2}, ["small", "blue"]) + "SELECT _id, round(max(score), 6) AS score FROM r GROUP BY _id")
+@query("boosted_best_field", TEAMS_SQL + ", " + bm25_sql("t", {"name": 10, "description": 2}, ["small", "blue"]) + "SELECT _id, round(max(score), 6) AS score FROM r GROUP BY _id")
 def boosted_best_field(spark, d):
     index = fulltext.postings(teams(spark, d), {"name": F.col("name"), "description": F.col("description")}, english=False)
     return fulltext.best_field(index, analysis.standard_query("small blue"), {"name": 10, "description": 2}).select("_id", F.round("_score", 6).alias("score"))
@@ -97,7 +97,7 @@ def synonym_any(spark, d):
 STOPPED = ", ".join(f"'{w}'" for w in analysis.STOP_WORDS)
 
 
-@query("index_update", BLOGS_SQL + ", v AS (SELECT _id, text || ' ' || CASE WHEN CAST(_id AS BIGINT) % 10 = 1 THEN 'nicht the' ELSE '' END AS text FROM b WHERE CAST(_id AS BIGINT) % 10 <> 2), " + _bm25("v", {"text": 1}, ["the", "nicht"]) + "SELECT _id, round(score, 6) AS score FROM r")
+@query("index_update", BLOGS_SQL + ", v AS (SELECT _id, text || ' ' || CASE WHEN CAST(_id AS BIGINT) % 10 = 1 THEN 'nicht the' ELSE '' END AS text FROM b WHERE CAST(_id AS BIGINT) % 10 <> 2), " + bm25_sql("v", {"text": 1}, ["the", "nicht"]) + "SELECT _id, round(score, 6) AS score FROM r")
 def index_update(spark, d):
     """A stored index brought forward: some documents get words, some go; scores are those of an index built anew."""
     found, number = blogs(spark, d), F.col("_id").cast("long")

@@ -91,6 +91,10 @@ class Collection:
     def documents(self) -> DataFrame:
         return self.snapshot().where("NOT deleted").drop("version", "deleted")
 
+    def touched(self, deltas: set[str]) -> DataFrame:
+        """_id of the documents that some deltas are about."""
+        return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/delta={d}" for d in sorted(deltas)]).select("_id").distinct()
+
     # Writing
 
     def apply(self, changes: DataFrame, batch: int = 0, run: str | None = None) -> None:

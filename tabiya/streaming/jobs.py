@@ -26,6 +26,7 @@ from tabiya.functions import games as g
 from tabiya.operators import translate as tr
 from tabiya.operators.changes import DELETE, INDEX, UPDATE, action_counts
 from tabiya.operators.enrich import bot_accounts, looked_up, with_bot_flags, with_chapters, with_topic
+from tabiya.operators.fulltext import TextIndex
 from tabiya.sources import scans
 from tabiya.sources.collections import SPECS
 from tabiya.streaming.collection import Collection
@@ -159,6 +160,24 @@ def index_all(jobs: list[tuple[Job, Tables, Collection]], since: object, until:
     return reduce(DataFrame.unionByName, counts) if counts else None
 
 
+def follow(index: TextIndex, collection: Collection) -> TextIndex:
+    """Brings a stored text index up to a collection: the first time of all its documents, then of those that the
+    deltas since then are about. Deltas may only be dropped once the indexes of a collection have followed them."""
+    deltas, done = set(collection.tables("delta")), index.generations()
+    if not done:
+        index.follow(0, deltas)
+        return index.build(collection.documents())
+    new = deltas - index.followed()
+    if not new:
+        return index
+    if lost := set().union(*map(collection.covered, collection.bases())) - index.followed() - deltas:
+        raise ValueError(f"{len(lost)} deltas were dropped before the index had them; build it anew")
+    generation, documents = done[-1] + 1, collection.documents()
+    ids = collection.touched(new)
+    index.follow(generation, new)
+    return index.update(documents.join(ids, "_id", "left_semi"), ids.join(documents.select("_id"), "_id", "left_anti"))
+
+
 def intervals(since: datetime, every: timedelta, until: datetime | None = None, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), wait: Callable[[float], None] = time.sleep) -> Iterator[tuple[datetime, datetime]]:
     """Consecutive half-open intervals: the first from `since` to now, each other from there to now, `every` later."""
     start = since

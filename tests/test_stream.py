@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tabiya.operators.changes import DELETE, INDEX, UPDATE, last_per_document
 from tabiya.sources.collections import SPECS, create, write
+from tabiya.operators.fulltext import TextIndex
+from tabiya.operators.search import UblogQuery, search
 from tabiya.sources.scans import change_log
+from tabiya.sources.sinks import quantiles
 from tabiya.streaming import jobs
 from tabiya.streaming.collection import Collection
 from tabiya.streaming.ingest import ingest, run_id
@@ -158,3 +161,36 @@ def test_collection_layout(spark, tmp_path):
     create(spark, spec, path, replace=True)
     assert spark.read.parquet(path).count() == 0
     assert spec.of_role("date") == ["date"]
+
+
+def test_an_index_follows_its_collection(spark, tmp_path):
+    posts = lambda rows: spark.createDataFrame([(i, t, "en", 0, 5, 1, n, a) for i, t, n, a in rows], "_id string, text string, language string, likes short, date long, quality short, n long, action string").withColumn("version", F.struct(F.lit(datetime(2020, 1, 1)).alias("t"), F.col("n").alias("seq"))).drop("n")
+    collection, index = jobs.UBLOG.collection(spark, str(tmp_path / "posts")), TextIndex(spark, str(tmp_path / "index"), UblogQuery.index)
+    found = lambda text: {r["_id"] for r in search(collection.documents(), UblogQuery(text), index=index).collect()}
+    collection.apply(posts([("a", "tiny river", 1, INDEX), ("b", "tiny boat", 2, INDEX)]))
+    jobs.follow(index, collection)
+    assert found("tiny") == {"a", "b"}
+    collection.apply(posts([("a", None, 3, DELETE), ("c", "tiny river", 4, INDEX), ("b", "other boat", 5, INDEX)]))
+    collection.compact()
+    jobs.follow(jobs.follow(index, collection), collection)
+    assert found("tiny") == found("river") == {"c"} and found("boat") == {"b"} and index.generations() == [0, 1]
+    collection.drop_covered()
+    collection.apply(posts([("d", "tiny", 6, INDEX)]))
+    assert jobs.follow(index, collection).generations() == [0, 1, 2] and found("tiny") == {"c", "d"}
+    collection.apply(posts([("e", "tiny", 7, INDEX)]))
+    collection.compact()
+    collection.drop_covered()
+    collection.apply(posts([("f", "tiny", 8, INDEX)]))
+    with pytest.raises(ValueError):
+        jobs.follow(index, collection)
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(g, v) for g in "abc" for v in [rng.choice([rng.random() * 50, float(rng.randrange(4))]) for _ in range(rng.randrange(1, 400))]] + [("one", 7.0), ("same", 2.0), ("same", 2.0), ("none", None), ("a", None)]
+    got = {r.g: (r.low, r.mid, r.high) for r in quantiles(spark.createDataFrame(rows, "g string, v double"), "v", {"low": 0.0, "mid": 0.5, "high": 0.93}, "g", buckets=7).collect()}
+    for g in ("a", "b", "c", "one", "same"):
+        assert got[g] == pytest.approx([np.quantile([v for k, v in rows if k == g and v is not None], q) for q in (0, 0.5, 0.93)])
+    assert "none" not in got
