@@ -4,9 +4,10 @@ A document's set is its distinct five-word shingles. Two documents link at Jacca
 
 1. Classes. Documents with equal sets become one class (equal 128-bit hashes of the set); copies never meet as pairs.
 2. Frequencies. Each task sends its shingles as sorted blobs to shards by hash; a shard counts in how many documents
-   each occurs. Two structures of fixed size come back, broadcast: a Bloom filter of shingles in two documents or more,
-   and the most frequent shingles with the logarithm of their frequency. They only order and prune; when they are too
-   small for the corpus the result stays exact and more is compared.
+   each occurs. Two structures of bounded size come back, broadcast: a Bloom filter of shingles in two documents or
+   more, and the most frequent shingles with the logarithm of their frequency. Both are sized by the number of shingles
+   counted, up to a bound of 200 MB together. They only order and prune; when the bound makes them too small for the
+   corpus the result stays exact and more is compared.
 3. Prefixes. A set is ordered from rare to frequent. If two sets link, their prefixes of n - ceil(0.8 n) + l shingles
    share at least l. Each document chooses its own l: a longer prefix is scanned more but leaves fewer candidates, and
    the estimated cost of both decides. A pair must share the smaller l of the two. Shingles of one document alone are
@@ -40,8 +41,9 @@ from pyspark.sql import functions as F
 from tabiya.llm.common import table, written
 
 WORDS, PERCENT = 5, 80
-#: Bits of the Bloom filter (16 MB) and shingles in the table of frequent ones (10 MB): bounds of the broadcasts.
-BLOOM_BITS, FREQUENT = 1 << 27, 1 << 20
+#: Least and most logarithms of the Bloom filter's bits (16 to 128 MB) and of the shingles in the table of frequent ones
+#: (9 to 72 MB): bounds of the broadcasts.
+BLOOM_BITS, FREQUENT = (27, 30), (20, 23)
 #: Shingles a task gathers before it sends them; bits of a shingle that are counted.
 FLUSH, COUNTED_BITS = 2_000_000, 48
 #: Shingles whose frequencies a task looks up at once.
@@ -145,24 +147,25 @@ def first_pass(docs: DataFrame, shards: int, row: str | None = None) -> DataFram
 
 @dataclass(frozen=True)
 class Frequencies:
-    """What every task knows about frequencies: of fixed size whatever the corpus."""
+    """What every task knows about frequencies: of bounded size whatever the corpus."""
 
     shards: int
+    bits: int
     bloom: np.ndarray
     frequent: np.ndarray
     levels: np.ndarray
 
     @staticmethod
-    def places(prints: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    def places(prints: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Two bits of the filter, inside the slice of the shingle's shard."""
-        size = np.uint64(BLOOM_BITS // shards)
+        size = np.uint64(bits // shards)
         start = (prints >> np.uint64(COUNTED_BITS - shards.bit_length() + 1)) * size
         return start + prints % size, start + ((prints * _MIX) >> np.uint64(17)) % size
 
     def level(self, shingles: np.ndarray) -> np.ndarray:
         """0: in one document; 1: in more; from 2 on the logarithm of the frequency of the most frequent."""
         prints = shingles >> np.uint64(64 - COUNTED_BITS)
-        a, b = self.places(prints, self.shards)
+        a, b = self.places(prints, self.shards, self.bits)
         bit = lambda p: (self.bloom[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
         level = (bit(a) & bit(b)).astype(np.int64)
         at = np.flatnonzero(level)
@@ -173,9 +176,16 @@ class Frequencies:
         return level
 
 
+def sizes(shingles: int) -> tuple[int, int]:
+    """Bits of the filter, about one for each shingle, and length of the frequent table, one for every 128 of them."""
+    within = lambda n, bounds: 1 << min(bounds[1], max(bounds[0], max(0, n - 1).bit_length()))
+    return within(shingles, BLOOM_BITS), within(shingles >> 7, FREQUENT)
+
+
 def frequencies(first: DataFrame, shards: int) -> Frequencies:
-    """Counts the blobs of every shard; what is collected has the fixed size of the two structures."""
-    size, most = BLOOM_BITS // shards, max(1, FREQUENT // shards)
+    """Counts the blobs of every shard; what is collected has the bounded size of the two structures."""
+    bits, frequent_most = sizes(first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    size, most = bits // shards, max(1, frequent_most // shards)
     width = COUNTED_BITS - shards.bit_length() + 1
 
     def count(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -189,20 +199,20 @@ def frequencies(first: DataFrame, shards: int) -> Frequencies:
         prints, counts = prints[starts], np.add.reduceat(counts, starts)
         shared = counts > 1
         prints, counts = prints[shared], counts[shared]
-        bits = np.zeros(size, bool)
-        for place in Frequencies.places(prints, shards):
-            bits[(place - np.uint64(shard * size)).astype(np.int64)] = True
+        marked = np.zeros(size, bool)
+        for place in Frequencies.places(prints, shards, bits):
+            marked[(place - np.uint64(shard * size)).astype(np.int64)] = True
         top = np.sort(np.argsort(-counts, kind="stable")[:most])
         top = top[counts[top] >= 4]
-        return pd.DataFrame({"shard": [shard], "bits": [np.packbits(bits, bitorder="little").tobytes()], "frequent": [prints[top].tobytes()], "levels": [np.log2(counts[top]).astype(np.uint8).tobytes()]})
+        return pd.DataFrame({"shard": [shard], "bits": [np.packbits(marked, bitorder="little").tobytes()], "frequent": [prints[top].tobytes()], "levels": [np.log2(counts[top]).astype(np.uint8).tobytes()]})
 
     blobs = first.where("shard IS NOT NULL").select("shard", "steps", "wide", "counts")
     parts = sorted(blobs.groupBy("shard").applyInPandas(count, "shard int, bits binary, frequent binary, levels binary").collect(), key=lambda r: r["shard"])
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
+    bloom = np.zeros(bits // 8, np.uint8)
     for r in parts:
         bloom[r["shard"] * size // 8 : (r["shard"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
     frequent = np.frombuffer(b"".join(bytes(r["frequent"]) for r in parts), np.uint64)
-    return Frequencies(shards, bloom, frequent, np.frombuffer(b"".join(bytes(r["levels"]) for r in parts), np.uint8))
+    return Frequencies(shards, bits, bloom, frequent, np.frombuffer(b"".join(bytes(r["levels"]) for r in parts), np.uint8))
 
 
 def least_overlap(n: int) -> int:

@@ -87,6 +87,11 @@ def test_one_row_of_each_component_stays(spark):
     assert collections.Counter(map(tuple, jj.representatives(docs).collect())) == collections.Counter(want)
 
 
+def test_frequency_structures_are_sized_by_the_corpus_and_bounded():
+    assert jj.sizes(0) == jj.sizes(1 << 27) == (1 << 27, 1 << 20) and jj.sizes((1 << 27) + 1)[0] == 1 << 28
+    assert jj.sizes(1 << 29) == (1 << 29, 1 << 22) and jj.sizes(1 << 60) == (1 << 30, 1 << 23)
+
+
 def test_a_prefix_never_misses():
     rng = np.random.default_rng(6)
     for _ in range(300):
@@ -131,7 +136,8 @@ def test_line_dedup_is_exact_and_reversible(spark, awkward, nothing, monkeypatch
     index = ld.LineIndex.of(awkward)
     got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(awkward, index).collect())
     assert got == _deduped(rows)
-    monkeypatch.setattr(ld, "REFERENCES_A_TASK", 2)  # every shard is dealt over several tasks
+    monkeypatch.setattr(ld, "LEAST_REFERENCES", 2)
+    monkeypatch.setattr(ld.LineIndex, "filters", property(lambda self: ld._newest(self.filter_parts, ["shard"]).withColumn("slots", F.lit(0))))  # every shard is dealt over several tasks
     assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.dedup(awkward, index).collect()) == got
     monkeypatch.undo()
     clash = awkward.selectExpr("*", "1 AS n_lines", "'c' AS n_dropped", "2 AS kept_sha256")
