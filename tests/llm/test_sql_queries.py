@@ -14,8 +14,8 @@ def test_query_equals_sql(spark, name):
     same(spark, QUERIES[name], ORACLES[name])
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11)) and "pipeline" in QUERIES
+def test_all_operators_and_the_pipeline_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_nothing_else_imports_this_subpackage():
