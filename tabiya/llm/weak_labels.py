@@ -14,9 +14,13 @@ scorer at which words and beginnings of words are there at all, those that diffe
 documents. So it also finds what no list holds.
 
 Counts of patterns cover all documents. The scorers are trained on TRAIN_DOCS documents at most, chosen by a hash of
-their id, those with labels of people first; that is the operator's one bounded sample. Where at least LEAST_LABELLED
-of them have labels, the toxicity scorer looks at no others, since about some of these its labellers say nothing.
-Scores are for all.
+their id, those with labels of people first; that is the operator's one bounded sample. Scores are for all.
+
+The toxicity scorer and the posteriors are found together, in TOGETHER rounds of the same expectation maximisation: a
+document's posterior is what the scorer says of it before any vote, times what its votes say; the scorer is trained on
+these, each document weighing as much as its votes, and the scorer's opinion, have moved it from the average one.
+A document about which the labellers know nothing thus starts without weight, whether people have labelled many
+documents, few, or none.
 
 Defined results: a null or empty text is voted bad by the length labeller only; equal texts get equal scores; a null id
 is scored like any other but never in the sample; people's labels that are null, of unknown documents, or as often good
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tabiya.llm.common import table
 
-TRAIN_DOCS, LEAST_LABELLED, FEATURES, ROUNDS, STEPS = 6_000, 1_000, 1 << 18, 60, 80
+TRAIN_DOCS, FEATURES, ROUNDS, STEPS, TOGETHER = 6_000, 1 << 18, 60, 80, 4
 #: Lengths of word beginnings that are features; how clearly (in standard errors), how much (in natural logarithms) and
 #: in how many documents a feature must differ to be one of the toxicity scorer.
 BEGINNINGS, CLEARLY, MUCH, OFTEN = (4, 6), 4.0, 1.5, 3
@@ -58,7 +62,8 @@ INSULTS = {
     "de": "dummkopf trottel abschaum versager dreckskerl ekelhaft widerlich blöd wertlos arschloch schwachkopf",
 }
 LANGUAGES = tuple(INSULTS)
-_SPACES, _SYMBOLS, _POINTS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b".,!?;:\"'()"
+_SPACES, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+_POINTS = b".,!?;:\"'()" + _SYMBOLS
 _UPPER = bytes(range(65, 91))
 
 
@@ -84,8 +89,9 @@ def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
     distinct = set(words)
     common = Counter(map(_COMMON.get, words))
     del common[None]
-    insults = [] if _INSULTING.isdisjoint(distinct) else [i for i, w in enumerate(words) if w in _MARKED]
-    near = sum(any(w in _PERSON for w in words[max(0, i - 3) : i + 4]) for i in insults)
+    said = words if len(raw) == len(raw.translate(None, _SYMBOLS)) else low.translate(None, _SYMBOLS).split()
+    insults = [] if _INSULTING.isdisjoint(said) else [i for i, w in enumerate(said) if w in _MARKED]
+    near = sum(any(w in _PERSON for w in said[max(0, i - 3) : i + 4]) for i in insults)
     measured = {
         "words": n,
         "symbols": without(_SYMBOLS) * share,
@@ -102,7 +108,7 @@ def measure(text: str | None) -> tuple[dict[str, float], list[bytes]]:
     }
     for i, name in enumerate(LANGUAGES):
         measured[f"common_{name}"] = sum(n for at, n in common.items() if i in at) * share
-        measured[f"insults_{name}"] = sum(i in _MARKED[words[at]] for at in insults)
+        measured[f"insults_{name}"] = sum(i in _MARKED[said[at]] for at in insults)
     return measured, words
 
 
@@ -179,13 +185,19 @@ class LabelModel:
     right_on_bad: np.ndarray
     balance: float
 
-    def probability(self, patterns: np.ndarray) -> np.ndarray:
-        """An alarm never speaks for good: where it would, the labeller counts for nothing."""
+    def probability(self, patterns: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+        """An alarm never speaks for good: where it would, the labeller counts for nothing. prior: of each document, in
+        place of the share of good ones."""
         votes = digits(patterns, len(self.right_on_good))
         voted, alarm = votes != NONE, votes == BAD
         useful = self.right_on_bad > 1 - self.right_on_good
         gain = np.where(alarm, np.log((1 - self.right_on_good) / self.right_on_bad), np.log(self.right_on_good / (1 - self.right_on_bad))) * voted * useful
-        return 1 / (1 + np.exp(-np.clip(np.log(self.balance / (1 - self.balance)) + gain.sum(axis=-1), -50, 50)))
+        before = np.clip(self.balance if prior is None else prior, 1e-6, 1 - 1e-6)
+        return 1 / (1 + np.exp(-np.clip(np.log(before / (1 - before)) + gain.sum(axis=-1), -50, 50)))
+
+    def moved(self, p: np.ndarray) -> np.ndarray:
+        """How far these probabilities are from the share of good documents, of the way to certainty; from 0 to 1."""
+        return np.where(p >= self.balance, (p - self.balance) / (1 - self.balance), (self.balance - p) / self.balance)
 
     @staticmethod
     def fit(task: Task, counts: dict[int, int]) -> LabelModel:
@@ -242,36 +254,50 @@ def weighed(m: dict[str, float], words: list[bytes]) -> tuple[np.ndarray, np.nda
     return at, np.bincount(back, np.concatenate([np.full(len(places), 4 / max(1, len(places))), np.full(len(buckets), 0.3)]), len(at))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]], weight: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression on the probabilities, by full gradients with per-feature step sizes; a row is places, their
-    weights and the probability; the last weight is the intercept."""
+    weights and the probability; `weight` is of each row; the last weight found is the intercept."""
     w, seen = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8)
     if not rows:
         return w
     at = np.concatenate([np.append(places, FEATURES) for places, _, _ in rows])
     value = np.concatenate([np.append(weights, 1.0) for _, weights, _ in rows])
     row = np.repeat(np.arange(len(rows)), [len(p) + 1 for p, _, _ in rows])
-    target = np.array([t for _, _, t in rows])
+    target, counts = np.array([t for _, _, t in rows]), np.ones(len(rows)) if weight is None else weight / max(weight.mean(), 1e-9)
     for _ in range(STEPS):
         score = np.bincount(row, w[at] * value, len(rows))
         wrong = 1 / (1 + np.exp(-np.clip(score, -50, 50))) - target
+        wrong *= counts
         gradient = np.bincount(at, wrong[row] * value, FEATURES + 1) / len(rows) + 1e-6 * w
         seen += gradient**2
         w -= 0.5 * gradient / np.sqrt(seen)
     return w
 
 
-def telling(rows: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """Whether a feature differs clearly between good and bad documents."""
-    at = np.concatenate([np.zeros(0, np.int64), *[places for places, _ in rows]])
-    good = np.concatenate([np.zeros(0), *[np.full(len(places), p) for places, p in rows]])
-    on_good, on_all = np.bincount(at, good, FEATURES), np.bincount(at, minlength=FEATURES)
-    n_good, n_all = sum(p for _, p in rows), len(rows)
+def telling(rows: list[np.ndarray], p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether a feature differs clearly between good and bad documents; rows: the places of each."""
+    at = np.concatenate([np.zeros(0, np.int64), *rows])
+    row = np.repeat(np.arange(len(rows)), [len(places) for places in rows])
+    on_good, on_all = np.bincount(at, (weight * p)[row], FEATURES), np.bincount(at, weight[row], FEATURES)
+    n_good, n_all = (weight * p).sum(), weight.sum()
     a, b = on_good + 0.5, on_all - on_good + 0.5
     odds = np.log(a / (n_good + 1)) - np.log(b / (n_all - n_good + 1))
     return (np.abs(odds) > np.maximum(MUCH, CLEARLY * np.sqrt(1 / a + 1 / b))) & (on_all >= OFTEN)
 
 
+def trained_together(model: LabelModel, patterns: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The toxicity scorer's weights; rows: places of the features of each document of the sample."""
+    p, w = model.probability(patterns), np.zeros(FEATURES + 1)
+    for _ in range(TOGETHER if len(rows) else 0):
+        weight = model.moved(p)
+        used = telling(rows, p, weight)
+        kept = [places[used[places]] for places in rows]
+        w = train([(places, np.ones(len(places)), t) for places, t in zip(kept, p.tolist(), strict=True)], weight)
+        said = np.array([w[FEATURES] + w[places].sum() for places in kept])
+        p = model.probability(patterns, 1 / (1 + np.exp(-np.clip(said, -50, 50))))
+    return w
+
+
 def _sigmoid(score: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(score, -50, 50))))
 
@@ -382,14 +408,10 @@ class Classifier:
         made = {t.name: LabelModel.fit(t, counts[t.name]) for t in TASKS}
         n = {labelled: sum(r["n"] for r in rows if r["task"] == "quality" and r["labelled"] == labelled) for labelled in (True, False)}
         some = sorted(sample(docs, people, n[True], n[False]).collect(), key=lambda r: (r["doc_id"], r["places"]))
-        of = lambda name: made[name].probability(np.array([r[name] for r in some], np.int64)).tolist()
         ids = lambda blob: np.frombuffer(blob, "<u4").astype(np.int64)
-        quality = [(ids(r["places"]), np.frombuffer(r["weights"], "<f4").astype(float), p) for r, p in zip(some, of("quality"), strict=True)]
-        enough = sum(r["labelled"] for r in some) >= LEAST_LABELLED
-        present = [(ids(r["marks"]), p) for r, p in zip(some, of("toxicity"), strict=True) if r["labelled"] or not enough]
-        used = telling(present)
-        present = [(places[used[places]], p) for places, p in present]
-        return Classifier(made, {"quality": train(quality), "toxicity": train([(places, np.ones(len(places)), p) for places, p in present])})
+        quality = [(ids(r["places"]), np.frombuffer(r["weights"], "<f4").astype(float), p) for r, p in zip(some, made["quality"].probability(np.array([r["quality"] for r in some], np.int64)).tolist(), strict=True)]
+        toxicity = trained_together(made["toxicity"], np.array([r["toxicity"] for r in some], np.int64), [ids(r["marks"]) for r in some])
+        return Classifier(made, {"quality": train(quality), "toxicity": toxicity})
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, votes and the label model's probability for quality, the scorers' good and toxic, and keep, which

@@ -336,7 +336,7 @@ def _plain_score(made, text):
     good += 0.3 * w["quality"][crc(f"words={round(np.log2(m['words'] + 1) * 2)}".encode())]
     marks = set()
     for word in words:
-        bare = word.strip(b".,!?;:\"'()")
+        bare = word.strip(b".,!?;:\"'()#*$%&|<>")
         marks |= {zlib.crc32(bare, 1) % wl.FEATURES} | {zlib.crc32(bare[:n], 2) % wl.FEATURES for n in (4, 6) if len(bare) > n}
     clean = w["toxicity"][-1] + sum(w["toxicity"][x] for x in marks)
     return 1 / (1 + np.exp(-good)), 1 - 1 / (1 + np.exp(-clean))
@@ -362,6 +362,30 @@ def test_classifier_on_held_out_labels(spark):
     assert all(np.allclose(again[r.doc_id], (r.good_score, r.toxic_score), atol=1e-9) for r in rows if r.doc_id in again)
 
 
+@pytest.mark.parametrize("folder, least", [("/root/testdata/sf0.01", 0.55), ("/root/testdata/sf0.1", 0.55)])
+def test_toxic_texts_are_found_without_labels_of_people(spark, folder, least):
+    """The labellers' own knowledge, by the same training at both sizes: they know the insults of one language."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = wl.Classifier.fit(docs).score(docs.join(labels, "doc_id", "left_semi")).join(labels, "doc_id").collect()
+    toxic, other = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert sum(r.toxic_score >= 0.5 for r in toxic) >= least * len(toxic) and sum(r.toxic_score >= 0.5 for r in other) <= 0.005 * len(other)
+
+
+def test_documents_that_labellers_know_nothing_of_have_no_weight():
+    model = wl.LabelModel(np.array([0.99, 0.99]), np.array([0.9, 0.5]), 0.9)
+    assert model.moved(np.array([0.9, 1.0, 0.0, 0.95])).round(6).tolist() == [0, 1, 1, 0.5]
+    rng, words = np.random.default_rng(4), np.arange(1000)
+    bad = rng.random(3000) < 0.1
+    rows = [np.unique(np.concatenate([rng.choice(words[10:], 20), rng.choice(words[:10], 3) if b else words[:0]])) for b in bad]
+    task = wl.Task("t", (lambda m: 0, lambda m: 0))
+    people = np.where(np.arange(3000) < 600, np.where(bad, wl.BAD, wl.GOOD), wl.NONE)
+    patterns = wl.NONE + 3 * wl.NONE + 9 * people  # only people speak, about a fifth
+    fitted = wl.LabelModel.fit(task, dict(collections.Counter(patterns.tolist())))
+    w = wl.trained_together(fitted, patterns, rows)
+    toxic = np.array([w[wl.FEATURES] + w[r].sum() < 0 for r in rows])
+    assert toxic[600:][bad[600:]].mean() > 0.9 and toxic[600:][~bad[600:]].mean() < 0.02
+
+
 def test_classifier_without_labels_and_on_odd_tables(spark, awkward, nothing):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
