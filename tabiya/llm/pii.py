@@ -18,8 +18,10 @@ Texts of any length take work in proportion to it: no form repeats a group witho
 recursion, and a value is put back by splitting it at the characters it keeps.
 
 What fails validation hides nothing: a text with such a match is cut where no form can match across, and each part with
-such a match is searched again; there every place and every length that a form allows is tried. Numbers grouped as cards are, and IBANs as long as their country has them, are taken
-first, so that a number or a capital word next to one does not become part of it; among the others the longest.
+such a match is searched again: at every place where a form begins every length that it allows is tried, and the first
+valid one taken. Numbers grouped as cards are, and IBANs as long as their country has them, come first, and other cards
+and IBANs end before one of these begins, so that a number or a capital word next to one does not become part of it;
+among the others the longest. A card grouped in no known way begins where its run of digits does.
 
 Defined results: a null text stays null with no findings; what looks like a number but fails validation is left alone;
 where valid forms overlap the leftmost wins, in one place the first of KINDS; what a text had only by chance (digits
@@ -32,8 +34,6 @@ name of a result column (`text`, `n_<kind>`) gives way to it.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,66 +310,116 @@ def _settled(m: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _valid_only(text: Column) -> Column:
-    """ANY with the forms that need validation replaced by the values in this text that pass."""
+TOKEN = "struct<text:string,hit:boolean>"
+
+
+def _tokens(text: Column, hits: Column) -> Column:
+    """A text as its matches of ANY and what lies between them, in order."""
+    between = F.split(text, ANY, -1)
+    pair = lambda piece, i: F.array(F.struct(piece.alias("text"), F.lit(False).alias("hit")), F.struct(F.get(hits, i).alias("text"), F.lit(True).alias("hit")))
+    return F.filter(F.flatten(F.transform(between, pair)), lambda t: t["text"].isNotNull())
+
+
+def _best(seen: Column, room: Column) -> Column:
+    """The match at a place: `seen` is the text from two characters before it on, `room` as much of it as lies before
+    the next number of an EXACT form. Null if there is none."""
+    at = lambda within, form: F.regexp_extract(within, f"(?s)^..({form})", 1)
+
+    def first(kind: str, within: Column, forms: list[str]) -> Column:
+        return F.get(F.filter(F.array(*[at(within, form) for form in forms]), lambda m: (m != "") & valid(kind, m)), F.lit(0))
+
+    def one(kind: str) -> Column:
+        if kind in EXACT:
+            other = LENGTHS.get(kind, [r"(?<![0-9][ -])" + KINDS[kind]])
+            found = F.coalesce(first(kind, seen, EXACT[kind]), first(kind, room, other))
+        elif kind in CHECKED:
+            found = first(kind, seen, LENGTHS.get(kind, [KINDS[kind]]))
+        else:
+            found = F.nullif(at(seen, KINDS[kind]), F.lit(""))
+        return F.when(at(seen, KINDS[kind]) != "", found)
+
+    return F.coalesce(*map(one, KINDS))
 
-    def found(within: Column, kind: str, forms: list[str], where: str = "(?=({}))") -> Column:
-        """The valid values, those of earlier forms first; by default in every place, also inside one another."""
-        matches = [F.regexp_extract_all(within, F.lit(where.format(form)), F.lit(1)) for form in forms]
-        return F.filter(F.array_distinct(F.concat(*matches)), lambda m: valid(kind, m))
 
-    def between(kind: str, values: Column) -> Column:
-        form = (EXACT.get(kind) or [KINDS[kind]])[0]
-        before, after = form[: form.index(")") + 1], form[form.rindex("(?!") :]
-        quoted = F.array_join(F.transform(values, lambda v: F.concat(F.lit("\\Q"), v, F.lit("\\E"))), "|")
-        return F.when(F.size(values) > 0, F.concat(F.lit(f"{before}(?:"), quoted, F.lit(f"){after}"))).otherwise(F.lit("(?!)"))
+def _closely(text: Column) -> Column:
+    """The tokens of a text in which matches of ANY fail validation. The text is split at every place where a form
+    begins; the best valid match of each place is found in what follows it, and from left to right each is taken that
+    the last one taken has not reached. Work is in proportion to the text: what is looked at of a place is bounded, and
+    tokens are gathered in blocks, as an array that grows is copied."""
+    far = 80  # pieces; each has a character at least, and no form but secrets and long mail addresses is longer
+    pieces = F.split(text, f"(?={ANY})", -1)
 
-    def form(exact: Column) -> Column:
-        taken = F.concat_ws("|", *[between(kind, exact[kind]) for kind in EXACT])
-        left = let(taken, lambda t: F.regexp_replace(text, t, F.lit("\u0000")))
+    def candidates(p: Column) -> Column:
+        before = lambda i: F.right(F.concat(F.lit("\n\n"), F.coalesce(F.get(p, i - 2), F.lit("")), F.coalesce(F.get(p, i - 1), F.lit(""))), F.lit(2))
+        seen = lambda i, n: F.concat(before(i), F.array_join(F.slice(p, i + 1, n), ""))
+        exact = lambda s: F.exists(F.array(*[F.struct(F.lit(kind).alias("k"), F.regexp_extract(s, f"(?s)^..({form})", 1).alias("m")) for kind in EXACT for form in EXACT[kind]]), lambda e: (e["m"] != "") & F.when(e["k"] == "iban", valid("iban", e["m"])).otherwise(valid("card", e["m"])))
+        grouped = lambda s: s.rlike("(?s)^..(?:" + KINDS["iban"] + "|" + KINDS["card"] + ")")
+        sure = F.transform(p, lambda _, i: let(seen(i, F.lit(far)), lambda s: F.when(grouped(s), exact(s)).otherwise(F.lit(False))))
 
-        def whole(rest: Column) -> Column:
-            values = {kind: found(text, kind, LENGTHS.get(kind, [KINDS[kind]])) for kind in CHECKED if kind not in EXACT}
-            values["iban"] = F.concat(exact["iban"], found(rest, "iban", LENGTHS["iban"]))
-            values["card"] = F.concat(exact["card"], found(rest, "card", [KINDS["card"]], "({})"))
-            return F.concat_ws("|", *[let(values[kind], partial(between, kind)) if kind in values else F.lit(f"(?:{form})") for kind, form in KINDS.items()])
+        def with_sure(taken: Column) -> Column:
+            def match(i: Column) -> Column:
+                # how many characters lie before the next place of an EXACT form
+                free = F.array_position(F.slice(taken, i + 2, far), True)
+                ahead = F.when(free > 0, F.array_join(F.slice(p, i + 1, free.cast("int")), ""))
+                found = lambda s: let(F.coalesce(F.concat(before(i), ahead), s), lambda room: _best(s, room))
+                whole = F.size(p) - i
+                near = let(seen(i, F.lit(far)), lambda s: let(found(s), lambda m: F.struct(m.alias("m"), (F.length(s) - F.length(m) < 66).alias("cut"))))
+                return let(near, lambda n: F.when(n["cut"] & (whole > far), found(seen(i, whole))).otherwise(n["m"]))
 
-        return let(left, whole)
+            return F.transform(p, lambda piece, i: F.struct(piece.alias("text"), match(i).alias("m")))
 
-    return let(F.struct(*[found(text, kind, forms).alias(kind) for kind, forms in EXACT.items()]), form)
+        return let(sure, with_sure)
 
+    def step(state: Column, e: Column) -> Column:
+        piece, m, skip = e["text"], e["m"], state["skip"]
+        token = lambda t, hit: F.struct(t.alias("text"), F.lit(hit).alias("hit"))
+        n, size = F.length(piece), F.length(m)
+        rest = lambda taken: F.when(taken < n, F.array(token(F.substring(piece, taken + 1, n), False))).otherwise(F.array().cast(f"array<{TOKEN}>"))
+        after = lambda taken, made: F.struct(F.greatest(taken - n, F.lit(0)).alias("skip"), F.concat(state["out"], made).alias("out"))
+        return F.when((skip == 0) & m.isNotNull(), after(size, F.concat(F.array(token(m, True)), rest(size)))).otherwise(after(skip, rest(skip)))
 
-def _parts(text: Column) -> Column:
-    """The text as array<struct<text, form, hits>>: in one part if every match of ANY is valid, else cut at CUT, with
-    the parts that have an invalid match searched for valid values only."""
-    part = lambda t, form: F.struct(t.alias("text"), form.alias("form"), F.regexp_extract_all(t, form, F.lit(0)).alias("hits"))
-    settled = lambda found: F.forall(found["hits"], _settled)
+    none = F.array().cast(f"array<{TOKEN}>")
+    start = lambda skip: F.struct(skip.cast("int").alias("skip"), none.alias("out"))
 
-    def closely(t: Column) -> Column:
-        again = let(_valid_only(t), lambda form: part(t, form))
-        return let(part(t, F.lit(ANY)), lambda found: F.when(settled(found), found).otherwise(again))
+    def gathered(found: Column) -> Column:
+        size = 256
+        blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int"))
 
-    return let(part(text, F.lit(ANY)), lambda found: F.when(settled(found), F.array(found)).otherwise(F.transform(F.split(text, CUT, -1), closely)))
+        def block(state: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(found, b * size + 1, F.lit(size)), start(state["skip"]), step)
+            return let(inner, lambda s: F.struct(s["skip"].alias("skip"), F.concat(state["out"], F.array(s["out"])).alias("out")))
+
+        nested = F.array().cast(f"array<array<{TOKEN}>>")
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("skip"), nested.alias("out")), block, lambda s: F.flatten(s["out"]))
+
+    return let(let(pieces, candidates), gathered)
+
+
+def _all_tokens(text: Column) -> Column:
+    """The text as tokens: its matches of ANY if all are valid, else cut at CUT, with the parts that have an invalid
+    match looked at closely."""
+    hits = lambda t: F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
+    settled = lambda found: F.forall(found, _settled)
+
+    def either(t: Column, otherwise) -> Column:
+        return let(hits(t), lambda found: F.when(settled(found), _tokens(t, found)).otherwise(otherwise(t)))
+
+    return either(text, lambda t: F.flatten(F.transform(F.split(t, CUT, -1), lambda part: either(part, _closely))))
 
 
 def pseudonymised(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = KEY, undo: bool = False) -> DataFrame:
     """The kept columns, the text with pseudonyms, and how many findings of each kind it had."""
     own = [c for c in keep if c not in ("text", *(f"n_{kind}" for kind in KINDS))]
 
-    def put(part: Column) -> Column:
-        """struct<text, kinds> of a part."""
-
-        def joined(new: Column) -> Column:
-            after = lambda i: F.coalesce(F.get(new, i)["text"], F.get(part["hits"], i), F.lit(""))
-            text = F.array_join(F.transform(F.split(part["text"], part["form"], -1), lambda piece, i: F.concat(piece, after(i))), "")
-            return F.struct(F.when(F.size(new) > 0, text).otherwise(part["text"]).alias("text"), F.transform(new, lambda e: e["kind"]).alias("kinds"))
-
-        return let(F.transform(part["hits"], lambda m: pseudonym(m, key, undo)), joined)
+    def put(token: Column) -> Column:
+        """struct<text, kind> of a token."""
+        plain = F.struct(F.lit(None).cast("string").alias("kind"), token["text"].alias("text"))
+        return F.when(token["hit"], let(pseudonym(token["text"], key, undo), lambda new: F.struct(new["kind"].alias("kind"), F.coalesce(new["text"], token["text"]).alias("text")))).otherwise(plain)
 
-    parts = F.when(F.col("text").rlike(HINT), F.transform(let(F.col("text"), _parts), put))
-    found = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in own], F.col("text").alias("_text"), parts.alias("_parts"))
-    found = found.select("*", F.coalesce(F.flatten(F.transform("_parts", lambda part: part["kinds"])), F.array().cast("array<string>")).alias("_kinds"))
-    text = F.when(F.size("_kinds") > 0, F.array_join(F.transform("_parts", lambda part: part["text"]), "")).otherwise(F.col("_text"))
+    tokens = F.when(F.col("text").rlike(HINT), F.transform(let(F.col("text"), _all_tokens), put))
+    found = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in own], F.col("text").alias("_text"), tokens.alias("_tokens"))
+    found = found.select("*", F.coalesce(F.filter(F.transform("_tokens", lambda token: token["kind"]), lambda kind: kind.isNotNull()), F.array().cast("array<string>")).alias("_kinds"))
+    text = F.when(F.size("_kinds") > 0, F.array_join(F.transform("_tokens", lambda token: token["text"]), "")).otherwise(F.col("_text"))
     count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).alias(f"n_{kind}")
     return found.select(*[F.col(f"_keep_{c}").alias(c) for c in own], text.alias("text"), *map(count, KINDS))
 
