@@ -8,12 +8,14 @@ the few words of a query is `english_query`.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabiya.functions.porter import stem
+from tabiya.functions.words import JAVA_WORD, words_of
 
 #: English stop words of the usual search analyzers. Fixed values.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -22,21 +24,15 @@ SYNONYMS = (
     ("defence", "defense"), ("colour", "color"), ("centre", "center"), ("analyse", "analyze"), ("organise", "organize"),
     ("centralisation", "centralization"), ("recognise", "recognize"), ("specialise", "specialize"), ("mate", "checkmate"),
 )
-WORD = r"[\p{L}\p{N}]+"
-#: With possessive groups the engine loops instead of recursing, so a text of any length is safe; as the classes have
-#: no character in common, the matches are the same.
-ENGLISH_WORD = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+"
-
 
 def standard_tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Words by the rules of `words`, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(JAVA_WORD), F.lit(0))
 
 
 def english_tokens(text: Column) -> Column:
     """Lower-cased tokens without possessive and stop words, not yet stemmed."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(ENGLISH_WORD), F.lit(0))
-    bare = F.transform(found, lambda t: F.regexp_replace(t, "['’]s$", ""))
+    bare = F.transform(standard_tokens(text), lambda t: F.regexp_replace(t, "['’＇]s$", ""))
     return F.filter(bare, lambda t: ~t.isin(STOP_WORDS))
 
 
@@ -58,31 +54,36 @@ def stemmed(rows: DataFrame, token: str = "token") -> DataFrame:
 
 
 def _english_word(word: str) -> str | None:
-    bare = re.sub("['’]s$", "", word.lower())
+    bare = re.sub("['’＇]s$", "", word.lower())
     return None if bare in STOP_WORDS else bare
 
 
 def english_query(text: str, synonyms: bool = False) -> list[list[str]]:
     """One list of alternatives for each position of a query; stop words leave no position."""
-    words = [w for w in map(_english_word, re.findall(r"[^\W_]+(?:['’][^\W_]+)*", text)) if w]
+    words = [w for w in map(_english_word, words_of(text)) if w]
     alike = lambda w: next((list(group) for group in SYNONYMS if w in group), [w]) if synonyms else [w]
     return [sorted({stem(a) for a in alike(w)}) for w in words]
 
 
 def standard_query(text: str) -> list[list[str]]:
-    return [[w] for w in re.findall(r"[^\W_]+", text.lower())]
+    return [[w] for w in words_of(text.lower())]
 
 
 def parsed_prefixes(text: Column, keys: list[str]) -> Column:
     """A search box as struct<terms, filters>: trimmed and lower-cased, split at runs of blanks and plus signs; a piece
     `key:value` of a known key is a filter (the last of a key wins), all others are terms. Trailing empty pieces go, a
     leading one stays."""
-    raw = F.split(F.lower(F.trim(text)), "[ +]+")
-    pieces = F.when((F.size(raw) > 1) & (F.element_at(raw, -1) == ""), F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
-    known = lambda piece: F.regexp_like(piece, F.lit(f"^(?:{'|'.join(keys)}):"))
-    last = lambda key: F.try_element_at(F.filter(pieces, lambda p: p.rlike(f"^{key}:")), F.lit(-1))
-    value = lambda key: F.regexp_replace(last(key), f"^{key}:", "")
-    return F.struct(F.filter(pieces, lambda p: ~known(p)).alias("terms"), *[value(key).alias(key) for key in keys])
+    one = lambda value, body: F.transform(F.array(value), body)[0]  # a lambda variable: computed once for a row
+    trimmed = lambda raw: F.when((F.size(raw) > 1) & (F.element_at(raw, -1) == ""), F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
+    keyed = lambda piece, key: F.startswith(piece, F.lit(f"{key}:"))
+
+    def parsed(pieces: Column) -> Column:
+        known = lambda piece: reduce(Column.__or__, [keyed(piece, key) for key in keys])
+        last = lambda key: F.try_element_at(F.filter(pieces, lambda piece: keyed(piece, key)), F.lit(-1))
+        value = lambda key: one(last(key), lambda found: F.substring(found, F.lit(len(key) + 2), F.length(found)))
+        return F.struct(F.filter(pieces, lambda piece: ~known(piece)).alias("terms"), *[value(key).alias(key) for key in keys])
+
+    return one(one(F.split(F.lower(F.trim(text)), "[ +]+"), trimmed), parsed)
 
 
 #: Characters with a meaning in query strings; `+` isn't among them, as it becomes AND. Fixed values.

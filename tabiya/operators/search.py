@@ -17,17 +17,13 @@ from pyspark.sql import functions as F
 from tabiya.functions import predicates as p
 from tabiya.functions.analysis import english_query, standard_query
 from tabiya.operators import fulltext
+from tabiya.operators.paging import DEFAULT_SIZE, Key, page
 from tabiya.sources.collections import CHAPTER
 
-DEFAULT_SIZE = 12
 ANALYSED_TAGS = ("event", "white", "black", "opening")
 Range = tuple[object, object]
 
 
-def _sorted_by(column: Column, ascending: bool) -> Column:
-    return column.asc_nulls_last() if ascending else column.desc_nulls_last()
-
-
 def split_box(text: str, keys: list[str]) -> tuple[str, dict[str, str]]:
     """One search box's text as (terms, filters); `analysis.parsed_prefixes` does the same for a column of them."""
     import re
@@ -83,9 +79,9 @@ class GameQuery:
     def matches(self, games: DataFrame) -> DataFrame:
         return games.where(self.predicate())
 
-    def sort(self) -> list[Column]:
+    def keys(self) -> list[Key]:
         by = self.sort_by if self.sort_by in ("date", "turns", "average_rating") else "date"
-        return [_sorted_by(F.col(by), self.order.lower() == "asc")]
+        return [(F.col(by), self.order.lower() == "asc")]
 
 
 @dataclass(frozen=True)
@@ -112,8 +108,8 @@ class ForumQuery:
         ids = fulltext.every_word_somewhere(self.index(posts) if index is None else index, query, {"body": 2, "topic": 5}, by_author)
         return rows.join(ids, "_id", "left_semi")
 
-    def sort(self) -> list[Column]:
-        return [F.col("date").desc_nulls_last()]
+    def keys(self) -> list[Key]:
+        return [(F.col("date"), False)]
 
 
 @dataclass(frozen=True)
@@ -130,13 +126,14 @@ class TeamQuery:
         ids = fulltext.every_word_somewhere(self.index(teams) if index is None else index, query, {"name": 10, "description": 2})
         return teams.join(ids, "_id", "left_semi")
 
-    def sort(self) -> list[Column]:
-        return [F.col("nb_members").desc_nulls_last()]
+    def keys(self) -> list[Key]:
+        return [(F.col("nb_members"), False)]
 
 
 @dataclass(frozen=True)
 class UblogQuery:
-    """Words are optional unless AND joins them; `language:xx` and `quality:n` ask the other columns."""
+    """A query string: its clauses are words, `language:xx` and `quality:n`, each optional unless AND joins it to its
+    neighbour. What `min_quality` and `language` ask is a filter."""
 
     text: str
     by: str = "score"
@@ -147,37 +144,68 @@ class UblogQuery:
     def index(posts: DataFrame) -> fulltext.Postings:
         return fulltext.postings(posts, {"text": F.col("text")}, english=False)
 
-    def parts(self) -> tuple[list[list[str]], list[list[str]], list[Column]]:
-        """required positions, optional positions, and conditions on other columns"""
+    def parts(self) -> tuple[list[list[str]], list[list[str]], list[tuple[str, object]], list[tuple[str, object]]]:
+        """required and optional word positions, required and optional (column, value)"""
         from tabiya.functions.analysis import clean
 
         words = clean(self.text).split()
-        required, optional, other = [], [], []
+        required, optional, required_columns, optional_columns = [], [], [], []
         for i, word in enumerate(words):
+            if word == "AND":
+                continue
+            joined = "AND" in words[max(0, i - 1) : i] + words[i + 1 : i + 2]
             name, _, value = word.partition(":")
             if name in ("language", "quality") and value:
-                other.append(F.col(name) == (int(value) if name == "quality" else value))
-            elif word != "AND":
-                joined = "AND" in words[max(0, i - 1) : i] + words[i + 1 : i + 2]
-                group = [t for [t] in standard_query(word)]
-                if group:
-                    (required if joined else optional).append(group)
-        return required, optional, other
+                (required_columns if joined else optional_columns).append((name, int(value) if name == "quality" else value))
+            elif group := [t for [t] in standard_query(word)]:
+                (required if joined else optional).append(group)
+        return required, optional, required_columns, optional_columns
+
+    def _filters(self) -> Column:
+        return p.all_of([p.between(F.col("quality"), self.min_quality), p.term(F.col("language"), self.language)])
+
+    @staticmethod
+    def _column_score(posts: DataFrame, name: str, value: object) -> Column:
+        """What a clause on a column adds: 1 for a number, for a keyword what a word would that is in each post once."""
+        met = F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+        if name != "language":
+            return F.when(met, 1.0).otherwise(0.0)
+        have, with_it = F.count(F.col(name)), F.count(F.when(met, 1))
+        idf = posts.agg(F.log(1 + (have - with_it + 0.5) / (with_it + 0.5)).alias("idf")).scalar()
+        return F.when(met, idf).otherwise(0.0)
 
     def matches(self, posts: DataFrame, index: fulltext.Index | None = None) -> DataFrame:
         """With `_score` if that is the order asked for; other orders score nothing."""
-        required, optional, other = self.parts()
-        filters = p.all_of([*other, p.between(F.col("quality"), self.min_quality), p.term(F.col("language"), self.language)])
-        scored = self.by == "score"
-        if not required and not optional:
-            rows = posts.where(filters if other else F.lit(False))
+        required, optional, must, may = self.parts()
+        rows, scored = posts.where(self._filters()), self.by == "score"
+        met = lambda columns: [F.coalesce(F.col(name) == F.lit(value), F.lit(False)) for name, value in columns]
+        if not (required or optional or must or may):
+            rows = rows.where(F.lit(False))
             return rows.withColumn("_score", F.lit(0.0)) if scored else rows
-        ids = fulltext.required_and_optional(self.index(posts) if index is None else index, required, optional, "text", scored)
-        return posts.where(filters).join(ids, "_id")
+        rows = rows.where(p.all_of(met(must)))
+        found, words_needed = None, bool(required) or not (must or may)
+        if required or optional and (scored or not must):
+            found = fulltext.required_and_optional(self.index(posts) if index is None else index, required, optional, "text", scored)
+            rows = rows.join(found.withColumn("_found", F.lit(True)), "_id", "inner" if words_needed else "left")
+        if not required and not must and may:  # any clause will do
+            rows = rows.where(p.any_of([*met(may), *([F.coalesce("_found", F.lit(False))] if found is not None else [])]))
+        if scored:
+            each = [self._column_score(posts, *clause) for clause in must + may]
+            rows = rows.withColumn("_score", reduce(Column.__add__, each, F.coalesce("_score", F.lit(0.0)) if found is not None else F.lit(0.0)))
+        return rows.select(*posts.columns, *(["_score"] if scored else []))
+
+    def best(self, posts: DataFrame, index: fulltext.TextIndex, k: int) -> DataFrame | None:
+        """`matches` of posts that can be among the k first by score, from parts of the posting lists; None where the
+        whole lists are needed."""
+        required, optional, must, may = self.parts()
+        if self.by != "score" or must or may or not (required or optional) or any(len(group) > 1 for group in required + optional):
+            return None
+        rows = posts.where(self._filters())
+        return rows.join(index.top(required, optional, "text", k, rows).rows, "_id")
 
-    def sort(self) -> list[Column]:
-        first = {"score": [F.col("_score").desc_nulls_last()], "likes": [F.col("likes").desc_nulls_last()]}.get(self.by, [])
-        return [*first, F.col("quality").desc_nulls_last(), _sorted_by(F.col("date"), self.by == "oldest")]
+    def keys(self) -> list[Key]:
+        first = {"score": [(F.col("_score"), False)], "likes": [(F.col("likes"), False)]}.get(self.by, [])
+        return [*first, (F.col("quality"), False), (F.col("date"), self.by == "oldest")]
 
 
 @dataclass(frozen=True)
@@ -290,24 +318,23 @@ class StudyQuery:
         best = fields.groupBy("_id", inside.alias("inside")).agg(F.max("score").alias("_score")).select("_id", "_score")
         return best.unionByName(others).groupBy("_id").agg(F.sum("_score").alias("_score"))
 
-    def sort(self) -> list[Column]:
+    def keys(self) -> list[Key]:
         by = {"name": F.lower("name"), "likes": F.col("likes"), "created_at": F.col("created_at"), "updated_at": F.col("updated_at"), "hot": F.col("rank")}
-        first = [_sorted_by(by[self.sort_by], self.ascending)] if self.sort_by else []
-        return [*first, F.col("_score").desc_nulls_last()]
-
+        first = [(by[self.sort_by], self.ascending)] if self.sort_by else []
+        return [*first, (F.col("_score"), False)]
 
-def page(rows: DataFrame, order: list[Column], offset: int = 0, size: int = DEFAULT_SIZE) -> DataFrame:
-    """A page in sort order: a negative offset is 0, a size below 1 the default. Spark keeps offset + size rows of
-    each partition and never sorts the rest."""
-    return rows.orderBy(*order, "_id").offset(max(0, offset)).limit(size if size > 0 else DEFAULT_SIZE)
 
-
-def search(collection: DataFrame, query, offset: int = 0, size: int = DEFAULT_SIZE, index: fulltext.Index | None = None) -> DataFrame:
+def search(collection: DataFrame, query, offset: int = 0, size: int = DEFAULT_SIZE, index: fulltext.Index | None = None, behind: tuple | None = None) -> DataFrame:
     """_id of the page's documents, in order (and `_score` where the query has one). Text queries read `index`, or
-    make the postings of the whole collection where there is none."""
-    found = query.matches(collection) if index is None else query.matches(collection, index)
+    make the postings of the whole collection where there is none. `behind`: the sort values and the id of the row that
+    the page begins after (see `paging`)."""
+    found = None
+    if isinstance(query, UblogQuery) and isinstance(index, fulltext.TextIndex) and behind is None:
+        found = query.best(collection, index, max(0, offset) + (size if size > 0 else DEFAULT_SIZE))
+    if found is None:
+        found = query.matches(collection) if index is None else query.matches(collection, index)
     kept = ["_id", "_score"] if "_score" in found.columns else ["_id"]
-    return page(found, query.sort(), offset, size).select(*kept)
+    return page(found, query.keys(), offset, size, behind).select(*kept)
 
 
 def count(collection: DataFrame, query, index: fulltext.Index | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tabiya.plans.texts import bm25_sql
 from tabiya.sources import scans
 from tabiya.sources.collections import SPECS, create, write
 from tabiya.sources.shared import new_path
-from tabiya.sources.sinks import write_csv
+from tabiya.sources.sinks import export_stream, exported
 from tabiya.streaming import jobs
 from tabiya.streaming.collection import Collection
 from tabiya.streaming.ingest import ingest, run_all
@@ -166,14 +166,13 @@ def backfill_newest_first(spark, d):
 
 @query("csv_export_stream", RECORDS_SQL + f"SELECT _id, average_rating, uids, duration FROM (SELECT {CSV_SQL} FROM p WHERE status >= 30)")
 def csv_export_stream(spark, d):
-    """A stream of game records appended to one CSV export, file by file, and read back."""
+    """A stream of game records exported as CSV, batch by batch, and read back."""
     source, out = new_path(spark, "csv-source"), new_path(spark, "csv-stream")
     records(spark, d).where(F.col("status") >= 30).repartition(3, "_id").write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    export = lambda batch, _: write_csv(tr.game_csv(batch), out, append=True)
-    stream.writeStream.foreachBatch(export).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    export_stream(stream, out, f"{out}-checkpoint", tr.game_csv).awaitTermination()
     names = tr.game_csv(spark.read.parquet(source)).columns
-    back = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in names)).csv(out)
+    back = exported(spark, out, ", ".join(f"`{c}` string" for c in names))
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("_id", "average_rating", "uids", "duration")])
 
 
@@ -190,14 +189,12 @@ ranked AS (SELECT k, strftime(ts, '%Y-%m-%d %H:%M:%S') AS rank FROM g WHERE even
   CASE WHEN k % 9 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'C' || (k % 7) ELSE 'C' || (k % 7) || '|C' || (k % 7 + 1) END END AS ecos
 FROM p LEFT JOIN liked USING (k) LEFT JOIN ranked USING (k) WHERE k % 8 <> 0 AND (created >= {LOW} OR updated >= {LOW}) AND k NOT IN (SELECT k FROM gone)""")
 def job_study(spark, d):
-    """Scans of consecutive intervals with the log's deletions, likes and ranks, stopped and taken up again."""
+    """A stream of scans of consecutive intervals, with the log's deletions, likes and ranks, stopped and taken up again."""
     collection = jobs.STUDY.collection(spark, new_path(spark, "job-study"))
-    until, start = datetime.fromisoformat(STUDY_UNTIL).replace(tzinfo=timezone.utc), datetime.fromtimestamp(LOW, timezone.utc)
-    clock = lambda *times: {"now": iter(times).__next__, "wait": lambda seconds: None}
-    stop = datetime(2024, 1, 10, tzinfo=timezone.utc)
-    jobs.poll(jobs.STUDY, _tables(spark, d), collection, timedelta(days=1), start, stop, **clock(datetime(2005, 1, 1, tzinfo=timezone.utc), stop))
-    collection.compact()
-    jobs.poll(jobs.STUDY, _tables(spark, d), collection, timedelta(days=1), None, until, **clock(until))
+    end, start, checkpoint = datetime.fromisoformat(STUDY_UNTIL).replace(tzinfo=timezone.utc), datetime.fromtimestamp(LOW, timezone.utc), new_path(spark, "job-study-checkpoint")
+    for until in (datetime(2005, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 10, tzinfo=timezone.utc), end):
+        jobs.watch(jobs.STUDY, None, _tables(spark, d), collection, checkpoint, start, until=until).awaitTermination()
+        collection.compact()
     rows = collection.documents()
     return rows.select("_id", "name", "description", "owner", F.array_join("members", ",").alias("members"), "likes", "rank", "public", "created_at", F.array_join(F.transform("chapters", lambda c: c["tags"]["eco"]), "|").alias("ecos"))
 
@@ -296,4 +293,4 @@ def change_batch_and_stream(spark, d):
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     batch = in_range(scans.change_log(spark, log, schema))
     streamed = spark.read.schema(batch.schema).parquet(out)
-    return batch.intersectAll(streamed)
+    return batch.intersectAll(streamed).unionAll(batch.exceptAll(streamed).unionAll(streamed.exceptAll(batch)))  # what only one has would show

@@ -7,8 +7,13 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from tabiya.functions import predicates as p
-from tabiya.operators.search import ChapterFilter, GameQuery, StudyQuery, count, page, search
+from tabiya.operators.changes import DELETE, INDEX
+from tabiya.operators.paging import newest_page, page
+from tabiya.operators.search import ChapterFilter, GameQuery, StudyQuery, count, search
 from tabiya.plans.standins import GAMES_SQL, STUDIES_SQL, Catalogue, games, stored_index, studies, table
+from tabiya.sources.collections import SPECS
+from tabiya.sources.shared import new_path
+from tabiya.streaming import jobs
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -24,14 +29,62 @@ def game_search(spark, d):
     return search(games(spark, d), GameQuery(rated=True, perf=[1, 2, 3], turns=(80, 20)), 10, 50)
 
 
-@query("game_search_all_groups", GAMES_SQL + """SELECT _id FROM g WHERE (white_user = 'u5' OR black_user = 'u5' OR true) AND status IN (32, 34, 39) AND NOT rated AND duration BETWEEN 100 AND 6000
-  AND clock_inc = 3 AND date BETWEEN 788918400 AND 915148800 AND average_rating > 0 AND average_rating BETWEEN 500 AND 2500 AND ai = 0 AND source = 3 ORDER BY average_rating ASC NULLS LAST, _id LIMIT 40""")
+@query("game_search_all_groups", GAMES_SQL + """, p AS (SELECT * FROM g WHERE winner_color = 1 AND ai = 0 AND status = 34 AND average_rating > 0 ORDER BY average_rating DESC, _id LIMIT 1)
+SELECT g._id FROM g, p WHERE ((g.white_user = p.white_user AND g.black_user = p.black_user) OR (g.white_user = p.black_user AND g.black_user = p.white_user)) AND g.winner_color = p.winner_color AND g.perf = p.perf
+  AND g.source = p.source AND g.status IN (32, 34, 39) AND g.turns BETWEEN p.turns - 5 AND p.turns + 5 AND g.average_rating > 0 AND g.average_rating >= p.average_rating - 100 AND g.ai = 0 AND g.rated = p.rated
+  AND g.date BETWEEN p.date - 86400 AND p.date AND g.duration BETWEEN p.duration - 9 AND p.duration + 9 AND g.clock_init = p.clock_init AND g.clock_inc = p.clock_inc AND g.analysed = p.analysed
+  AND g.white_user = p.white_user AND g.black_user = p.black_user ORDER BY g.average_rating ASC NULLS LAST, g._id LIMIT 40""")
 def game_search_all_groups(spark, d):
-    day = lambda y: datetime(y, 1, 1, tzinfo=timezone.utc)
+    """Every condition set, from one game of the table, which is found."""
+    g = games(spark, d)
+    p_ = g.where("winner_color = 1 AND ai = 0 AND status = 34 AND average_rating > 0").orderBy(F.desc("average_rating"), "_id").first()
+    day = lambda seconds: datetime.fromtimestamp(seconds, timezone.utc)
     asked = GameQuery(
-        status=34, rated=False, duration=(6000, 100), clock_inc=3, date=(day(1999), day(1995)), average_rating=(500, 2500), has_ai=False, ai_level=(3, 8), source=3, sort_by="average_rating", order="ASC"
-    )
-    return search(games(spark, d), asked, -5, 40)
+        user1=p_.black_user, user2=p_.white_user, winner=p_.white_user, loser=p_.black_user, winner_color=1, perf=[p_.perf], source=p_.source, status=34, turns=(p_.turns + 5, p_.turns - 5),
+        average_rating=(p_.average_rating - 100, None), has_ai=False, ai_level=(3, 8), rated=p_.rated, date=(day(p_.date), day(p_.date - 86400)), duration=(p_.duration + 9, p_.duration - 9), clock_init=p_.clock_init,
+        clock_inc=p_.clock_inc, analysed=p_.analysed, white_user=p_.white_user.upper(), black_user=p_.black_user, sort_by="average_rating", order="ASC",
+    )
+    return search(g, asked, -5, 40)
+
+
+CHANGED_SQL = GAMES_SQL + """, v AS (SELECT _id, rated, perf, date, white_user, CASE WHEN status = 30 THEN turns + 7 ELSE turns END AS turns FROM g WHERE status <> 35) """
+
+
+def changed_games(spark, d):
+    """Games as a collection: a base of all, and two open deltas, one that changes some and one that deletes some."""
+    spec, g = SPECS["game"], games(spark, d)
+    collection = jobs.GAME.collection(spark, new_path(spark, "changed-games"))
+
+    def applied(rows, action, seq):
+        given = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in spec.schema.fields]
+        version = F.struct(F.timestamp_seconds(F.lit(0)).alias("t"), F.lit(seq).cast("long").alias("seq")).alias("version")
+        collection.apply(rows.select(*given, version, F.lit(action).alias("action")))
+
+    applied(g, INDEX, 0)
+    collection.compact(buckets=16)
+    applied(g.where("status = 30").withColumn("turns", F.col("turns") + 7), INDEX, 1)
+    applied(g.where("status = 35").select("_id"), DELETE, 1)
+    return collection
+
+
+@query("collection_search", CHANGED_SQL + "SELECT _id FROM v WHERE rated AND perf IN (1, 2, 3) AND turns BETWEEN 20 AND 80 ORDER BY date DESC, _id LIMIT 50 OFFSET 10")
+def collection_search(spark, d):
+    """A search of a base with open deltas laid over it."""
+    return search(changed_games(spark, d).documents(), GameQuery(rated=True, perf=[1, 2, 3], turns=(80, 20)), 10, 50)
+
+
+@query("collection_count", CHANGED_SQL + "SELECT count(*) AS count FROM v WHERE rated AND turns >= 90")
+def collection_count(spark, d):
+    return count(changed_games(spark, d).documents(), GameQuery(rated=True, turns=(90, None)))
+
+
+@query("collection_newest", CHANGED_SQL + "SELECT _id, date FROM v WHERE rated AND turns >= 40 ORDER BY date DESC, _id LIMIT 24 OFFSET 12")
+def collection_newest(spark, d):
+    """The second and third page of the newest games: the second after the first one's last key, in rounds from the
+    newest date on."""
+    collection, asked = changed_games(spark, d), GameQuery(rated=True, turns=(40, None))
+    last = newest_page(collection, asked.matches, "date", 0, 12).collect()[-1]
+    return newest_page(collection, asked.matches, "date", 0, 24, behind=(last["date"], last["_id"]))
 
 
 @query("game_count", GAMES_SQL + "SELECT count(*) AS count FROM g WHERE rated AND perf IN (6, 11)")
@@ -91,7 +144,7 @@ def study_full(spark, d):
 @query("study_sort", STUDIES_SQL + "SELECT _id FROM s ORDER BY rank ASC NULLS LAST, _id LIMIT 80")
 def study_sort(spark, d):
     asked = StudyQuery("", sort_by="hot", ascending=True, empty_text="all")
-    return page(studies(spark, d).withColumn("_score", F.lit(0.0)), asked.sort(), 0, 80).select("_id")
+    return page(studies(spark, d).withColumn("_score", F.lit(0.0)), asked.keys(), 0, 80).select("_id")
 
 
 @query("study_search", None)

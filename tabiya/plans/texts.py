@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from tabiya.functions import analysis, predicates as p
 from tabiya.operators import fulltext
 from tabiya.operators.fulltext import TextIndex
-from tabiya.operators.search import ForumQuery, TeamQuery, UblogQuery, page, search
+from tabiya.operators.paging import page
+from tabiya.operators.search import ForumQuery, TeamQuery, UblogQuery, search
 from tabiya.plans.standins import BLOGS_SQL, FORUM_SQL, STUDIES_SQL, TEAMS_SQL, Catalogue, blogs, forum, stored_index, studies, table, teams
 from tabiya.sources.shared import new_path
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
-TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
-T = TOKENS.format
+#: Words of Latin texts by the boundary rules, for an engine without possessive groups; a quote in SQL is two.
+LETTERS, NUMBERS = r"(?:\p{L}\p{M}*)+(?:[:.·''’]\p{M}*(?:\p{L}\p{M}*)+)*", r"(?:\p{Nd}\p{M}*)+(?:[,;.''’]\p{M}*(?:\p{Nd}\p{M}*)+)*"
+SQL_WORD = f"_*(?:{LETTERS}|{NUMBERS})+(?:_+(?:{LETTERS}|{NUMBERS})+)*_*"
+T = lambda column: f"regexp_extract_all(lower({column}), '{SQL_WORD}')"
 
 
 @query("forum_all_terms", FORUM_SQL + f"""SELECT _id FROM f WHERE NOT troll AND (list_contains({T('body')}, 'the') OR list_contains({T('topic')}, 'the')) AND (list_contains({T('body')}, 'with') OR list_contains({T('topic')}, 'with'))
@@ -23,7 +26,7 @@ def forum_all_terms(spark, d):
     posts = forum(spark, d)
     index = fulltext.postings(posts, {"body": F.col("body"), "topic": F.col("topic")}, english=False)
     ids = fulltext.every_word_somewhere(index, analysis.standard_query("the with"), {"body": 2, "topic": 5})
-    return page(posts.where(p.shown(F.col("troll"), False)).join(ids, "_id", "left_semi"), ForumQuery("").sort(), 0, 100).select("_id")
+    return page(posts.where(p.shown(F.col("troll"), False)).join(ids, "_id", "left_semi"), ForumQuery("").keys(), 0, 100).select("_id")
 
 
 @query("forum_search", None)
@@ -37,7 +40,7 @@ def team_any_field(spark, d):
     found = teams(spark, d)
     index = fulltext.postings(found, {"name": F.col("name"), "description": F.col("description")}, english=False)
     ids = fulltext.every_word_somewhere(index, analysis.standard_query("blue promo"), {"name": 10, "description": 2})
-    return page(found.join(ids, "_id", "left_semi"), TeamQuery("").sort(), 0, 60).select("_id")
+    return page(found.join(ids, "_id", "left_semi"), TeamQuery("").keys(), 0, 60).select("_id")
 
 
 @query("team_search", None)
@@ -76,8 +79,8 @@ def bm25_scores(spark, d):
 
 @query("bm25_topk", BLOGS_SQL + ", " + bm25_sql("b", {"text": 1}, ["from", "they"]) + "SELECT _id, round(score, 6) AS score FROM r JOIN b USING (_id) ORDER BY r.score DESC, quality DESC NULLS LAST, date DESC, _id LIMIT 30")
 def bm25_topk(spark, d):
-    found = UblogQuery("from they", by="score").matches(blogs(spark, d), stored_index(spark, d, "ublog"))
-    return page(found, UblogQuery("", by="score").sort(), 0, 30).select("_id", F.round("_score", 6).alias("score"))
+    """The best posts, from the parts of the posting lists that can hold them."""
+    return search(blogs(spark, d), UblogQuery("from they", by="score"), 0, 30, stored_index(spark, d, "ublog")).select("_id", F.round("_score", 6).alias("score"))
 
 
 @query("boosted_best_field", TEAMS_SQL + ", " + bm25_sql("t", {"name": 10, "description": 2}, ["small", "blue"]) + "SELECT _id, round(max(score), 6) AS score FROM r GROUP BY _id")
@@ -113,7 +116,7 @@ def index_statistics(spark, d):
     return TextIndex(spark, new_path(spark, "index-new"), UblogQuery.index).build(blogs(spark, d)).postings().statistics()
 
 
-@query("stop_possessive", rf"""WITH t AS (SELECT regexp_replace(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')), '[''’]s$', '') AS token FROM documents)
+@query("stop_possessive", rf"""WITH t AS (SELECT regexp_replace(unnest({T('text')}), '[''’]s$', '') AS token FROM documents)
 SELECT token, count(*) AS n FROM t WHERE token NOT IN ({STOPPED}) GROUP BY token""")
 def stop_possessive(spark, d):
     tokens = table(spark, d, "documents").select(F.explode(analysis.english_tokens(F.col("text"))).alias("token"))
@@ -165,13 +168,24 @@ def querystring_required(spark, d):
     """`the AND with nicht`: the last word is optional."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("_id"), "text")
     index = fulltext.postings(docs, {"text": F.col("text")}, english=False)
-    required, optional, _ = UblogQuery("the AND with nicht").parts()
+    required, optional, _, _ = UblogQuery("the AND with nicht").parts()
     return fulltext.required_and_optional(index, required, optional, "text").select(F.col("_id").alias("doc_id"))
 
 
-@query("ublog_sort", BLOGS_SQL + f"""SELECT _id FROM b WHERE quality >= 1 AND language = 'en' AND list_has_any({T('text')}, ['the', 'with']) ORDER BY likes DESC NULLS LAST, quality DESC NULLS LAST, date DESC NULLS LAST, _id LIMIT 40""")
+@query("ublog_sort", BLOGS_SQL + f"""SELECT _id FROM b WHERE quality >= 1 AND (language = 'fr' OR list_has_any({T('text')}, ['the', 'with'])) ORDER BY likes DESC NULLS LAST, quality DESC NULLS LAST, date DESC NULLS LAST, _id LIMIT 400""")
 def ublog_sort(spark, d):
-    return search(blogs(spark, d), UblogQuery("the with language:en", by="likes", min_quality=1), 0, 40, stored_index(spark, d, "ublog")).select("_id")
+    return search(blogs(spark, d), UblogQuery("the with language:fr", by="likes", min_quality=1), 0, 400, stored_index(spark, d, "ublog")).select("_id")
+
+
+@query("querystring_clauses", BLOGS_SQL + f"""SELECT 'any' AS asked, _id FROM b WHERE language = 'fr' OR quality = 1 OR list_contains({T('text')}, 'nicht')
+UNION ALL SELECT 'both', _id FROM b WHERE language = 'de' AND list_contains({T('text')}, 'nicht')
+UNION ALL SELECT 'one', _id FROM b WHERE language = 'en'""")
+def querystring_clauses(spark, d):
+    """`language:` and `quality:` are clauses like words: optional, unless AND joins them to a neighbour."""
+    posts, index = blogs(spark, d), stored_index(spark, d, "ublog")
+    asked = {"any": "nicht language:fr quality:1", "both": "nicht AND language:de", "one": "nicht language:en AND language:en"}
+    found = [UblogQuery(text, by="newest").matches(posts, index).select(F.lit(name).alias("asked"), "_id") for name, text in asked.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 @query("ublog_oldest", BLOGS_SQL + f"""SELECT _id FROM b WHERE list_has_any({T('text')}, ['nicht', 'und']) ORDER BY quality DESC NULLS LAST, date ASC NULLS LAST, _id LIMIT 40 OFFSET 5""")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from tabiya.sources.shared import completed, run_id
 
 #: Upper ends of the latency buckets, in milliseconds. Fixed values.
 LATENCY_BUCKETS = (5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000)
@@ -13,6 +19,20 @@ def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def export_stream(stream: DataFrame, path: str, checkpoint: str, rows: Callable[[DataFrame], DataFrame] = lambda batch: batch, every: str | None = None) -> StreamingQuery:
+    """A stream exported exactly once: each batch has a folder of its own, by the run and its number, which a batch that
+    is run again overwrites; a folder counts when it is complete. Without `every` what is there is worked off."""
+    run = run_id(stream.sparkSession, checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, n: write_csv(rows(batch), f"{path}/part={run}-{n}")).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def exported(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of an export by `export_stream`."""
+    parts = [f"{path}/part={name}" for name in completed(spark, path, "part")]
+    return spark.read.option("header", True).schema(schema).csv(parts) if parts else spark.createDataFrame([], schema)
+
+
 def latency_histogram(requests: DataFrame, duration: str = "millis", by: tuple[str, ...] = ("operation", "error")) -> DataFrame:
     """Requests by bucket, operation and error type; bucket is the number of upper ends below the duration."""
     bucket = sum((F.when(F.col(duration) > end, 1).otherwise(0) for end in LATENCY_BUCKETS), F.lit(0))

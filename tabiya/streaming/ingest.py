@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tabiya.operators.changes import action_counts, last_per_document
+from tabiya.sources.shared import run_id
 from tabiya.streaming.collection import Collection
 
 __all__ = ["Collection", "ingest", "run_all", "run_id"]
 
 
-def run_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id of the stream with this checkpoint, kept beside it: a new checkpoint is a new run, also in an old place."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/_run")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(path):
-        stream = files.open(path)
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
-    made, stream = uuid.uuid4().hex, files.create(path, False)
-    try:
-        stream.writeUTF(made)
-    finally:
-        stream.close()
-    return made
-
-
 def ingest(
     events: DataFrame,
     collection: Collection,

@@ -29,6 +29,8 @@ from tabiya.operators.enrich import bot_accounts, looked_up, with_bot_flags, wit
 from tabiya.operators.fulltext import TextIndex
 from tabiya.sources import scans
 from tabiya.sources.collections import SPECS
+from tabiya.sources.intervals import interval_stream
+from tabiya.sources.shared import run_id
 from tabiya.streaming.collection import Collection
 from tabiya.streaming.ingest import ingest
 
@@ -163,19 +165,17 @@ def index_all(jobs: list[tuple[Job, Tables, Collection]], since: object, until:
 def follow(index: TextIndex, collection: Collection) -> TextIndex:
     """Brings a stored text index up to a collection: the first time of all its documents, then of those that the
     deltas since then are about. Deltas may only be dropped once the indexes of a collection have followed them."""
-    deltas, done = set(collection.tables("delta")), index.generations()
-    if not done:
-        index.follow(0, deltas)
-        return index.build(collection.documents())
-    new = deltas - index.followed()
+    deltas = set(collection.tables("delta"))
+    if not index.states():
+        return index.build(collection.documents(), deltas.union(*map(collection.covered, collection.bases()[-1:])))
+    known = index.followed()
+    new = deltas - known
     if not new:
         return index
-    if lost := set().union(*map(collection.covered, collection.bases())) - index.followed() - deltas:
+    if lost := set().union(*map(collection.covered, collection.bases())) - known - deltas:
         raise ValueError(f"{len(lost)} deltas were dropped before the index had them; build it anew")
-    generation, documents = done[-1] + 1, collection.documents()
-    ids = collection.touched(new)
-    index.follow(generation, new)
-    return index.update(documents.join(ids, "_id", "left_semi"), ids.join(documents.select("_id"), "_id", "left_anti"))
+    documents, ids = collection.documents(), collection.touched(new)
+    return index.update(documents.join(ids, "_id", "left_semi"), ids.join(documents.select("_id"), "_id", "left_anti"), new)
 
 
 def intervals(since: datetime, every: timedelta, until: datetime | None = None, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc), wait: Callable[[float], None] = time.sleep) -> Iterator[tuple[datetime, datetime]]:
@@ -200,6 +200,24 @@ def poll(job: Job, tables: Tables, collection: Collection, every: timedelta, sin
         collection.set_position(job.name, high.isoformat())
 
 
-def watch(job: Job, events: DataFrame, tables: Tables, collection: Collection, checkpoint: str, since: object = None, every: str | None = None, dry_run: Callable | None = None) -> StreamingQuery:
-    """A job's change events as a stream (see `ingest`); the operations and lengths that count are the job's."""
+def watch_intervals(job: Job, tables: Tables, collection: Collection, checkpoint: str, since: datetime | None = None, until: datetime | None = None, every: str | None = None, dry_run: Callable | None = None) -> StreamingQuery:
+    """A job's scans of consecutive intervals as a stream. A new checkpoint starts at `since`, by default now; where the
+    query left off is in the checkpoint, and a batch that is run again scans the same interval and overwrites its delta."""
+    spark, run = collection.spark, run_id(collection.spark, checkpoint)
+
+    def body(batch: DataFrame, number: int) -> None:
+        for low, high in batch.collect():  # one row
+            changes = job.scan(tables, F.lit(low), F.lit(high))
+            dry_run(action_counts(changes), number) if dry_run else collection.apply(changes, number, run)
+
+    stream = interval_stream(spark, since or datetime.now(timezone.utc), until)
+    writer = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def watch(job: Job, events: DataFrame | None, tables: Tables, collection: Collection, checkpoint: str, since: object = None, every: str | None = None, dry_run: Callable | None = None, until: datetime | None = None) -> StreamingQuery:
+    """A job's change events as a stream (see `ingest`); the operations and lengths that count are the job's. Jobs that
+    have no events, as that of studies, scan consecutive intervals until `until` instead."""
+    if job.log is not None:
+        return watch_intervals(job, tables, collection, checkpoint, since, until, every, dry_run)
     return ingest(events, collection, lambda batch: job.events(batch, tables), checkpoint, since, dry_run, every, last_only=False)

@@ -7,6 +7,7 @@ from oracle import SMALL, same
 
 from tabiya.functions.analysis import STOP_WORDS
 from tabiya.functions.porter import stem
+from tabiya.functions.words import words_of
 from tabiya.plans import standins
 from tabiya.plans.catalogue import ORACLES, QUERIES
 
@@ -21,7 +22,7 @@ def test_query_equals_sql(spark, name):
 
 
 def _stems(text):
-    words = [re.sub("['’]s$", "", w) for w in re.findall(r"[^\W_]+(?:['’][^\W_]+)*", (text or "").lower())]
+    words = [re.sub("['’]s$", "", w) for w in words_of((text or "").lower())]
     return [stem(w) for w in words if w not in STOP_WORDS]
 
 

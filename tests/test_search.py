@@ -35,7 +35,17 @@ def test_ublog(spark):
     assert ids(search(posts, UblogQuery("hello", "newest", 2))) == []
     assert ids(search(posts, UblogQuery("tiny and river", "likes"))) == ["abcdefgh"]
     assert ids(search(posts, UblogQuery("tiny", "newest"))) == ["abcdefgh", "none"]  # quality comes before the date
-    assert ids(search(posts, UblogQuery("tiny quality:1", "likes"))) == ["abcdefgh"]
+    assert ids(search(posts, UblogQuery("tiny quality:1", "likes"))) == ["none", "abcdefgh"] and ids(search(posts, UblogQuery("tiny and quality:1", "likes"))) == ["abcdefgh"]
+
+
+def test_clauses_on_columns_are_optional_unless_joined(spark):
+    posts = spark.createDataFrame([("a", "tiny", "en", 0, 5, 1), ("b", "other", "en", 0, 5, 2), ("c", "tiny", "fr", 0, 5, None), ("d", "other", "fr", 0, 5, 3)], SPECS["ublog"].schema)
+    found = lambda text, by="newest": set(ids(search(posts, UblogQuery(text, by))))
+    assert found("tiny language:en") == {"a", "b", "c"} == found("tiny language:en", "score")
+    assert found("tiny and language:en") == {"a"} == found("language:en and tiny", "score") and found("language:en and quality:2") == {"b"}
+    assert found("other tiny and language:fr") == {"c"} and found("quality:3 quality:1") == {"a", "d"} and found("language:de") == set()
+    scores = {r["_id"]: r["_score"] for r in search(posts, UblogQuery("tiny language:en")).collect()}
+    assert scores["a"] == pytest.approx(scores["b"] + scores["c"]) and scores["b"] == pytest.approx(0.6931, abs=1e-4)
 
 
 def test_team(spark):

@@ -183,6 +183,11 @@ def test_an_index_follows_its_collection(spark, tmp_path):
     collection.apply(posts([("f", "tiny", 8, INDEX)]))
     with pytest.raises(ValueError):
         jobs.follow(index, collection)
+    anew = TextIndex(spark, str(tmp_path / "anew"), UblogQuery.index)  # built when changes are only in the base
+    jobs.follow(anew, collection)
+    collection.apply(posts([("g", "tiny", 9, INDEX)]))
+    assert jobs.follow(anew, collection).generations() == [0, 1]
+    assert {r["_id"] for r in search(collection.documents(), UblogQuery("tiny"), index=anew).collect()} == {"c", "d", "e", "f", "g"}
 
 
 def test_quantiles_are_exact(spark):

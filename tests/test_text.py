@@ -46,9 +46,23 @@ def test_cleaned_queries_agree(spark):
 
 def test_hostile_texts_are_analysed(spark):
     """No pattern recurses: a text of any length is safe."""
-    texts = ["a'" * 100_000, "a" * 200_000, "' " * 100_000, "a’b" * 50_000]
+    texts = ["a'" * 100_000, "a" * 200_000, "' " * 100_000, "a’b" * 50_000, "_" * 200_000, "1." * 100_000 + "a_" * 50_000, "e\u0301" * 100_000]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(analysis.english_tokens(F.col("t"))).alias("n"), F.size(analysis.standard_tokens(F.col("t"))).alias("m")).collect()
-    assert [r.n for r in rows] == [1, 1, 0, 1] and [r.m for r in rows] == [100_000, 1, 0, 50_001]
+    assert [r.n for r in rows] == [1, 1, 0, 1, 0, 2, 1] == [r.m for r in rows]
+
+
+#: Texts and their words by the published rules and the examples beside them.
+SEGMENTED = {
+    "The quick (“brown”) fox can’t jump 32.3 feet, right?": ["the", "quick", "brown", "fox", "can’t", "jump", "32.3", "feet", "right"], "3.14 foo_bar U.S.A. x": ["3.14", "foo_bar", "u.s.a", "x"],
+    "e\u0301te\u0301 a": ["e\u0301te\u0301", "a"], "हिन्दी भाषा": ["हिन्दी", "भाषा"], "漢字かな": ["漢", "字", "か", "な"], "カタカナー x": ["カタカナー", "x"], "can't o’neil": ["can't", "o’neil"], "1,000.5; a.b 2.c": ["1,000.5", "a.b", "2", "c"],
+    "__ _a_ a3.5b": ["_a_", "a3.5b"], "ภาษาไทย": ["ภาษาไทย"], "א\"ב ג'": ['א"ב', "ג'"], "한국어 😀": ["한국어"], "a:b c-d x\u00adyz p\u200bq": ["a:b", "c", "d", "x\u00adyz", "p", "q"], "32.3°f": ["32.3", "f"], "": [], "!?": [],
+}
+
+
+def test_words_are_those_of_the_boundary_rules_in_columns_and_queries(spark):
+    rows = spark.createDataFrame([(t,) for t in SEGMENTED], "t string").select("t", analysis.standard_tokens(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == SEGMENTED
+    assert {t: [w for [w] in analysis.standard_query(t)] for t in SEGMENTED} == SEGMENTED
 
 
 def test_the_two_box_readers_agree(spark):
