@@ -4,7 +4,8 @@ A flat file is nothing but ids, documents ended by a separator id; no index says
 of fixed size, cut wherever they fall. A task searches a block with one vectorised comparison and keeps four numbers
 (ids, separators, ids before the first and after the last separator) and the lengths between separators. A prefix scan
 over a file's blocks, in running sums, then gives each block the number of documents before it and the place where the
-document that is open at its start began; that stitches documents that span blocks, however many.
+document that is open at its start began; that stitches documents that span blocks, however many. The scan looks at the
+four numbers only, in two levels: over runs of RUN blocks, and inside each run; lengths are joined to its result.
 
 Files are tables of (file, block, ids binary) in the shared folder, or real files (`flat_files`), of which each task
 opens the shared path and reads its own ranges only, so one file of any size is spread over many tasks. Ids that don't
@@ -29,6 +30,7 @@ from tabiya.llm.tokens import encoded, vocabulary_path
 
 #: The vocabulary's end-of-text id, which no text's own ids contain; ids in a block; bytes of an id.
 SEPARATOR, BLOCK_IDS, DTYPE = 50_256, 1 << 17, "<u2"
+RUN = 4096
 
 
 def flat_table(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -106,11 +108,23 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> D
 
     kind = blocks.schema["file"].dataType.simpleString()
     found = blocks.select("file", F.col("block").cast("long"), "ids").mapInArrow(run, f"file {kind}, block long, n long, separators long, lead long, tail long, between array<long>")
-    ordered = Window.partitionBy("file").orderBy("block")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("first", F.coalesce(F.sum("separators").over(before), F.lit(0)))
-    placed = placed.withColumn("past", F.when(F.col("separators") > 0, F.col("start") + F.col("n") - F.col("tail")))
-    placed = placed.withColumn("opened", F.coalesce(F.last("past", ignorenulls=True).over(before), F.lit(0))).withColumn("is_last", F.lead("block").over(ordered).isNull())
+    found = written(found, "scanned")
+    numbers = found.select("file", "block", "n", "separators", "tail", F.floor(F.col("block") / RUN).alias("run"))
+    inside, over_runs = Window.partitionBy("file", "run").orderBy("block"), Window.partitionBy("file").orderBy("run")
+    before = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda name, window: F.coalesce(F.sum(name).over(before(window)), F.lit(0))
+    # Places are counted from the run's beginning first; `past` is the one behind the last separator.
+    local = numbers.withColumn("in_run", running("n", inside)).withColumn("docs_in_run", running("separators", inside))
+    local = local.withColumn("past", F.when(F.col("separators") > 0, F.col("in_run") + F.col("n") - F.col("tail")))
+    local = local.withColumn("opened_in_run", F.last("past", ignorenulls=True).over(before(inside))).withColumn("ends_run", F.lead("block").over(inside).isNull())
+    runs = local.groupBy("file", "run").agg(F.sum("n").alias("run_n"), F.sum("separators").alias("run_separators"), F.max("past").alias("run_past"))
+    runs = runs.withColumn("run_start", running("run_n", over_runs)).withColumn("run_first", running("run_separators", over_runs))
+    runs = runs.withColumn("run_opened", F.coalesce(F.last(F.col("run_start") + F.col("run_past"), ignorenulls=True).over(before(over_runs)), F.lit(0))).withColumn("last_run", F.lead("run").over(over_runs).isNull())
+    placed = local.join(runs.select("file", "run", "run_start", "run_first", "run_opened", "last_run"), ["file", "run"]).select(
+        "file", "block", (F.col("run_start") + F.col("in_run")).alias("start"), (F.col("run_first") + F.col("docs_in_run")).alias("first"), (F.col("run_start") + F.col("past")).alias("past"),
+        F.coalesce(F.col("run_start") + F.col("opened_in_run"), "run_opened").alias("opened"), (F.col("ends_run") & F.col("last_run")).alias("is_last"),
+    )
+    placed = found.select("file", "block", "n", "separators", "lead", "between").join(placed, ["file", "block"])
     end = F.col("start") + F.col("n")
     open_at_end = end - F.coalesce("past", "opened")
     entry = lambda n, ended: F.struct(n.alias("n"), F.lit(ended).alias("ended"))

@@ -265,6 +265,23 @@ def test_token_counts_equal_brute_force(spark, awkward, nothing, tokenizer, tmp_
         assert [(r.n_tokens, r.ended) for r in rows] == [(2, True), (0, True), (1, True), (21, False)]
 
 
+@pytest.mark.parametrize("run", [1, 3, 4096])
+def test_stitching_over_runs_of_blocks_and_tasks(spark, monkeypatch, run):
+    """Files of many small blocks in any order over several tasks, with documents that span blocks and whole runs."""
+    monkeypatch.setattr(tc, "RUN", run)
+    rng, rows, want = np.random.default_rng(run), [], collections.Counter()
+    for file in range(4):
+        ids = np.where(rng.random(400) < (0.01, 0.1, 0.6, 0)[file], 9, rng.integers(0, 9, 400)).astype("<u2")
+        rows += [(file, i, ids[5 * i : 5 * i + 5].tobytes()) for i in range(80)]
+        cuts = np.flatnonzero(ids == 9)
+        lengths = (np.diff(np.concatenate([[-1], cuts])) - 1).tolist()
+        want.update((file, i, n, True) for i, n in enumerate(lengths))
+        if (rest := 399 - (cuts[-1] if len(cuts) else -1)) > 0:
+            want[file, len(lengths), rest, False] += 1
+    blocks = spark.createDataFrame(rows, "file int, block long, ids binary").repartition(7, F.rand(3))
+    assert collections.Counter(tuple(r) for r in tc.scan(blocks, separator=9).collect()) == want
+
+
 def test_ids_that_do_not_fit_are_an_error():
     assert tc.narrowed(np.array([0, 65_535], "<u4")) == b"\0\0\xff\xff"
     with pytest.raises(ValueError):
