@@ -86,6 +86,14 @@ def element_postings(collection: DataFrame, array: str, fields: Mapping[str, Cal
     return _counted(rows, english)
 
 
+def element_values(collection: DataFrame, array: str, fields: Mapping[str, Callable[[Column], Column]]) -> Postings:
+    """Postings of exact fields inside an array of structs: a value that isn't null is one word as it is."""
+    elements = collection.select("_id", F.posexplode(array).alias("element", "e"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), of_(F.col("e")).alias("value")) for name, of_ in fields.items()])).alias("f")
+    rows = elements.select("_id", "element", each).where("f.value IS NOT NULL").select("_id", "f.field", "element", F.array("f.value").alias("tokens"))
+    return _counted(rows, stem=False)
+
+
 @dataclass(frozen=True)
 class Segment:
     """A stored set of postings: of the generations of changes from `first` to `last`. parts: into how many parts its

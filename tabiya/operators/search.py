@@ -18,9 +18,10 @@ from tabiya.functions import predicates as p
 from tabiya.functions.analysis import english_query, standard_query
 from tabiya.operators import fulltext
 from tabiya.operators.paging import DEFAULT_SIZE, Key, page
-from tabiya.sources.collections import CHAPTER
 
 ANALYSED_TAGS = ("event", "white", "black", "opening")
+#: Chapter tags that are asked as whole values, and the fields of the index that hold them.
+EXACT_TAGS, EXACT = ("variant", "eco", "white_fide_id", "black_fide_id"), "chapters.="
 Range = tuple[object, object]
 
 
@@ -221,40 +222,32 @@ class ChapterFilter:
     fide_id1: str | None = None
     fide_id2: str | None = None
 
-    def exact(self, chapter: Column) -> Column | None:
-        """The conditions on whole values."""
-        tags = chapter["tags"]
-        asked = [p.term(tags["variant"], self.variant), p.term(tags["eco"], self.eco), p.either_way(tags["white_fide_id"], tags["black_fide_id"], self.fide_id1, self.fide_id2)]
-        return None if all(a is None for a in asked) else p.all_of(asked)
-
-    def elements(self, index: fulltext.Index) -> DataFrame | None:
-        """(_id, element) of the chapters that meet the conditions on words, which are analysed as English with
-        synonyms; None if there are no such conditions."""
-        white, black = "chapters.white", "chapters.black"
+    def matching(self, studies: DataFrame, index: fulltext.Index) -> DataFrame:
+        """The studies with one chapter that meets all conditions. Conditions on words, which are analysed as English
+        with synonyms, and on whole values are all asked of the postings, whose elements say which chapter they are of;
+        no study is read for its chapters."""
         words = lambda text: english_query(text, synonyms=True)
         asked = {name: ([f"chapters.{name}"], words(text)) for name, text in (("opening", self.opening), ("event", self.event)) if text is not None}
-        players = [x for x in (self.player1, self.player2) if x is not None]
-        pairs = {f"{side}{i}": ([side], words(x)) for side in (white, black) for i, x in enumerate(players)} if len(players) == 2 else {}
-        single = {"player": ([white, black], words(players[0]))} if len(players) == 1 else {}
-        conditions = asked | pairs | single
-        if not conditions:
-            return None
+        asked |= {name: ([EXACT + name], [[value]]) for name, value in (("variant", self.variant), ("eco", self.eco)) if value is not None}
+        either: list[tuple[str, str, str, str]] = []  # four conditions: one way round, the other way round
+        for name, (white, black), given, query in (
+            ("player", ("chapters.white", "chapters.black"), (self.player1, self.player2), words),
+            ("fide", (EXACT + "white_fide_id", EXACT + "black_fide_id"), (self.fide_id1, self.fide_id2), lambda value: [[value]]),
+        ):
+            values = [x for x in given if x is not None]
+            if len(values) == 1:
+                asked[name] = ([white, black], query(values[0]))
+            elif values:
+                pairs = {f"{name}-{side}{i}": ([place], query(x)) for side, place in (("white", white), ("black", black)) for i, x in enumerate(values)}
+                asked |= pairs
+                either.append((f"{name}-white0", f"{name}-black1", f"{name}-white1", f"{name}-black0"))
 
         def test(met: Callable[[str], Column]) -> Column:
-            both = [(met(f"{white}0") & met(f"{black}1")) | (met(f"{white}1") & met(f"{black}0"))] if pairs else []
-            return p.all_of([*[met(name) for name in asked | single], *both])
+            paired = {name for names in either for name in names}
+            both = [(met(a) & met(b)) | (met(c) & met(d)) for a, b, c, d in either]
+            return p.all_of([*[met(name) for name in asked if name not in paired], *both])
 
-        return fulltext.element_conditions(index, conditions, test)
-
-    def matching(self, studies: DataFrame, index: fulltext.Index) -> DataFrame:
-        """The studies with one chapter that meets all conditions."""
-        chapter_words = self.elements(index)
-        if chapter_words is None:
-            return studies.where(p.same_element(F.col("chapters"), self.exact))
-        if self.exact(F.lit(None).cast(CHAPTER)) is not None:
-            fit = studies.select("_id", F.posexplode("chapters").alias("element", "c"))
-            chapter_words = fit.where(self.exact(F.col("c"))).select("_id", "element").join(chapter_words, ["_id", "element"], "left_semi")
-        return studies.join(chapter_words, "_id", "left_semi")
+        return studies.join(fulltext.element_conditions(index, asked, test), "_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -272,12 +265,15 @@ class StudyQuery:
 
     @staticmethod
     def index(studies: DataFrame, only: set[str] | None = None) -> fulltext.Postings:
-        """The study's own fields, and names, descriptions and tags of its chapters; `only` some of them."""
+        """The study's own fields, and names, descriptions and tags of its chapters, some as words and some as whole
+        values; `only` some of them."""
         own = {"name": F.col("name"), "topics": F.concat_ws(" ", "topics"), "description": F.col("description")}
         tag = lambda name: lambda c: c["tags"][name]
         inner = {"chapters.name": lambda c: c["name"], "chapters.description": lambda c: c["description"]} | {f"chapters.{t}": tag(t) for t in ANALYSED_TAGS}
         chosen = lambda fields: {name: of for name, of in fields.items() if only is None or name in only}
+        values = {EXACT + t: tag(t) for t in EXACT_TAGS}
         parts = [fulltext.postings(studies, chosen(own))] if chosen(own) else []
+        parts += [fulltext.element_values(studies, "chapters", chosen(values))] if chosen(values) else []
         parts += [fulltext.element_postings(studies, "chapters", chosen(inner))] if chosen(inner) else []
         return reduce(fulltext.Postings.plus, parts) if parts else fulltext.postings(studies.limit(0), own)
 
@@ -299,7 +295,7 @@ class StudyQuery:
         filtered = isinstance(self.chapter, ChapterFilter) and self.chapter != ChapterFilter()
         fields = self._fields(terms, owner is not None)
         if index is None:
-            index = self.index(studies, {*fields, *([f"chapters.{t}" for t in ANALYSED_TAGS] if filtered else [])})
+            index = self.index(studies, {*fields, *([*[f"chapters.{t}" for t in ANALYSED_TAGS], *[EXACT + t for t in EXACT_TAGS]] if filtered else [])})
         rows = studies.where(p.all_of([p.term(F.col("owner"), owner), p.has_element(F.col("members"), member), p.visible(F.col("public"), F.col("members"), self.user_id)]))
         if filtered:
             rows = self.chapter.matching(rows, index)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabiya.functions import predicates as p
 from tabiya.operators.changes import DELETE, INDEX
+from tabiya.operators.keywords import KeywordIndex, matching, matching_count
 from tabiya.operators.paging import newest_page, page
 from tabiya.operators.search import ChapterFilter, GameQuery, StudyQuery, count, search
 from tabiya.plans.standins import GAMES_SQL, STUDIES_SQL, Catalogue, games, stored_index, studies, table
@@ -78,6 +81,25 @@ def collection_count(spark, d):
     return count(changed_games(spark, d).documents(), GameQuery(rated=True, turns=(90, None)))
 
 
+@query("keyword_lookup", CHANGED_SQL.replace("white_user, CASE", "white_user, black_user, winner_color, analysed, CASE") + """SELECT 'pair' AS asked, _id FROM v WHERE (white_user = 'u899' AND black_user = 'u7') OR (white_user = 'u7' AND black_user = 'u899')
+UNION ALL SELECT 'user', _id FROM v WHERE white_user = 'u5' OR black_user = 'u5' UNION ALL SELECT 'winner', _id FROM v WHERE (white_user = 'u11' AND winner_color = 1) OR (black_user = 'u11' AND winner_color = 2)
+UNION ALL SELECT 'flags', _id FROM v WHERE rated AND perf IN (6, 11) AND analysed UNION ALL SELECT 'both', _id FROM v WHERE (white_user = 'u5' OR black_user = 'u5') AND rated AND turns >= 40""")
+def keyword_lookup(spark, d):
+    """Users from lists, flags from bitmaps, with the changes since the base laid over them."""
+    collection = changed_games(spark, d)
+    index = KeywordIndex(spark, new_path(spark, "keywords")).build(collection.base_documents())
+    asked = {"pair": GameQuery(user1="u899", user2="u7"), "user": GameQuery(user1="u5"), "winner": GameQuery(winner="u11"), "flags": GameQuery(rated=True, perf=[6, 11], analysed=True), "both": GameQuery(user1="u5", rated=True, turns=(40, None))}
+    return reduce(DataFrame.unionAll, [matching(collection, index, q).select(F.lit(name).alias("asked"), "_id") for name, q in asked.items()])
+
+
+@query("keyword_count", CHANGED_SQL + "SELECT count(*) AS count FROM v WHERE rated AND perf IN (6, 11)")
+def keyword_count(spark, d):
+    """Counted in bitmaps, and in the changes since."""
+    collection = changed_games(spark, d)
+    index = KeywordIndex(spark, new_path(spark, "keywords")).build(collection.base_documents())
+    return matching_count(collection, index, GameQuery(rated=True, perf=[6, 11]))
+
+
 @query("collection_newest", CHANGED_SQL + "SELECT _id, date FROM v WHERE rated AND turns >= 40 ORDER BY date DESC, _id LIMIT 24 OFFSET 12")
 def collection_newest(spark, d):
     """The second and third page of the newest games: the second after the first one's last key, in rounds from the

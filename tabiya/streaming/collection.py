@@ -129,22 +129,45 @@ class Collection:
         found = rows.groupBy("_id").agg(*newest)
         return found.select(*[F.col(f"_whole.{c}").alias(c) if every_column and c in fixed else F.col(c) for c in self.stored.names])
 
-    def _laid_over(self) -> DataFrame:
-        """The newest base with the open deltas laid over it, in stored columns."""
+    def _layers(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """The base's rows that no open delta is about, and the ids and the rows, merged, of those that some are."""
         manifest, (open_, _) = self.manifest(), self.open_deltas()
         base, changes = self._base_rows(manifest), self._delta_rows(open_)
         if not open_:
-            return base
+            return base, None, None
+        ids = changes.select("_id").distinct()
         if not manifest:
-            return self._merged(changes)
+            return base, ids, self._merged(changes)
         counts = {r.bucket: r.n for r in changes.groupBy(bucket_of(manifest[0].buckets).alias("bucket")).agg(F.count("*").alias("n")).collect()}  # MOST_BUCKETS rows
-        ids, some = changes.select("_id").distinct(), self._base_rows(manifest, set(counts))
+        some = self._base_rows(manifest, set(counts))
         if sum(counts.values()) <= BROADCAST_IDS:
-            untouched, touched = base.join(F.broadcast(ids), "_id", "left_anti"), some.join(F.broadcast(ids), "_id", "left_semi")
+            ids = F.broadcast(ids)
+            untouched, touched = base.join(ids, "_id", "left_anti"), some.join(ids, "_id", "left_semi")
         else:
             maybe = maybe_in(ids, sum(counts.values()))
-            untouched, touched = base.where(~maybe), some.where(maybe)
-        return untouched.unionByName(self._merged(touched.unionByName(changes)))
+            untouched, touched, ids = base.where(~maybe), some.where(maybe), None
+        return untouched, ids, self._merged(touched.unionByName(changes))
+
+    def _laid_over(self) -> DataFrame:
+        """The newest base with the open deltas laid over it, in stored columns."""
+        untouched, _, merged = self._layers()
+        return untouched if merged is None else untouched.unionByName(merged)
+
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        """Documents that are there; updates of unknown ones are neither deleted nor not deleted."""
+        return rows.where("NOT deleted").select(*[c for c in self.schema.names if c not in ("version", "deleted")])
+
+    def base_documents(self) -> DataFrame:
+        """The documents of the newest base, without open deltas."""
+        return self._shown(self._base_rows(self.manifest()))
+
+    def touched_documents(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The ids that open deltas are about, and those of these documents that are there, as they now are."""
+        _, ids, merged = self._layers()
+        if merged is None:
+            return None, None
+        ids = self._delta_rows(self.open_deltas()[0]).select("_id").distinct() if ids is None else ids
+        return ids, self._shown(merged.join(ids, "_id", "left_semi"))
 
     def snapshot(self) -> DataFrame:
         """The newest version of each document, deleted ones as rows with `deleted`."""
@@ -152,8 +175,8 @@ class Collection:
         return rows.select(*[F.col("_at.version").alias(c) if c == "version" else F.col(c) for c in self.schema.names])
 
     def documents(self) -> DataFrame:
-        """The documents as they are; updates of unknown ones are neither deleted nor not deleted."""
-        return self._laid_over().where("NOT deleted").select(*[c for c in self.schema.names if c not in ("version", "deleted")])
+        """The documents as they are."""
+        return self._shown(self._laid_over())
 
     def touched(self, deltas: set[str]) -> DataFrame:
         """_id of the documents that some deltas are about."""
