@@ -21,6 +21,7 @@ from tabiya.sources.shared import new_path
 from tabiya.sources.sinks import export_stream, exported
 from tabiya.streaming import jobs
 from tabiya.streaming.collection import Collection
+from tabiya.streaming.guard import Guard
 from tabiya.streaming.ingest import ingest, run_all
 
 CATALOGUE = Catalogue()
@@ -250,6 +251,12 @@ def _translated(last):
     return last.select(F.col("doc_id").alias("_id"), "value", F.col("seq").alias("likes"), version, F.when(F.col("op") == "delete", DELETE).otherwise(INDEX).alias("action"))
 
 
+def _translated_partly(rows):
+    action = F.when(F.col("op") == "update", UPDATE).when(F.col("op") == "delete", DELETE).otherwise(INDEX)
+    version = F.struct(F.col("cluster_time").alias("t"), "seq").alias("version")
+    return rows.select(F.col("doc_id").alias("_id"), "value", F.col("seq").alias("likes"), F.lit(True).alias("has_likes"), version, action.alias("action"))
+
+
 @query("stream_restart", CHANGES_SQL + "SELECT CAST(doc_id AS VARCHAR) AS _id, value, seq AS likes FROM l WHERE op <> 'delete'")
 def stream_restart(spark, d):
     """The first half of the log, a compaction, and a start at a time before that, with a new checkpoint, on the same
@@ -270,17 +277,36 @@ def stream_partial_updates(spark, d):
     folder = new_path(spark, "partial")
     collection, events = _values(spark, f"{folder}/values", ("likes",)), _raw_events(spark, d)
 
-    def translate(rows):
-        action = F.when(F.col("op") == "update", UPDATE).when(F.col("op") == "delete", DELETE).otherwise(INDEX)
-        version = F.struct(F.col("cluster_time").alias("t"), "seq").alias("version")
-        return rows.select(F.col("doc_id").alias("_id"), "value", F.col("seq").alias("likes"), F.lit(True).alias("has_likes"), version, action.alias("action"))
-
     for name, part in (("later", "seq % 2 = 1"), ("first", "seq % 2 = 0")):
-        ingest(events.where(part), collection, translate, f"{folder}/{name}", last_only=False).awaitTermination()
+        ingest(events.where(part), collection, _translated_partly, f"{folder}/{name}", last_only=False).awaitTermination()
         collection.compact()
     return collection.documents()
 
 
+@query("stream_guarded", CHANGES_SQL + """, w AS (SELECT * FROM c WHERE op <> 'update' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cluster_time DESC, seq DESC) = 1),
+u AS (SELECT doc_id, seq AS likes FROM c WHERE op <> 'delete' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cluster_time DESC, seq DESC) = 1)
+SELECT CAST(doc_id AS VARCHAR) AS _id, value, u.likes, CAST(0 AS BIGINT) AS written_again FROM w JOIN u USING (doc_id) WHERE op = 'insert'""")
+def stream_guarded(spark, d):
+    """The log in three files, then all of it again, by the same stream and by one that starts from what the collection
+    has: the documents, and how many delta rows the repetitions left."""
+    folder = new_path(spark, "guarded")
+    collection, log = _values(spark, f"{folder}/values", ("likes",)), change_events(spark, d)
+    rows = log.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("cluster_time").cast("timestamp").alias("cluster_time"), "seq", "op", "value")
+    guard = lambda seed: Guard(deletion=F.col("op") == "delete", partial=F.col("op") == "update", gives=F.array(F.lit("likes")), seed=seed)
+
+    def ingested(name, seed=False):
+        events = scans.change_log(spark, f"{folder}/log", rows.schema, stream=True, max_files=1)
+        ingest(events, collection, _translated_partly, f"{folder}/{name}", last_only=False, guard=guard(seed)).awaitTermination()
+
+    rows.repartition(3, F.xxhash64("seq")).write.parquet(f"{folder}/log")
+    ingested("first")
+    before = set(collection.tables("delta"))
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    ingested("first")
+    ingested("second", seed=True)
+    return collection.documents().withColumn("written_again", F.lit(collection.delta_rows(set(collection.tables("delta")) - before)).cast("long"))
+
+
 @query("change_batch_and_stream", CHANGES_SQL + "SELECT doc_id, seq FROM c WHERE cluster_time >= TIMESTAMP '2024-01-10' AND cluster_time < TIMESTAMP '2024-01-12'")
 def change_batch_and_stream(spark, d):
     """A range of a change log read as a table; the same events come from the stream."""

@@ -73,18 +73,25 @@ def change_log(spark: SparkSession, path: str, schema: StructType, stream: bool
     return reader.schema(schema).format(file_format).load(path)
 
 
+def counted_games(events: DataFrame, parity: bool = False) -> Column:
+    """Which events are changes of games that fit, or deletions (not with `parity`)."""
+    doc, deletion = events["full_document"], events["op"] == DELETE
+    fit = F.coalesce(eligible(doc["status"], doc["source"], doc["players"]), F.lit(False))
+    return events["op"].isin(list(OPERATIONS["game"])) & (fit if parity else fit | deletion)
+
+
 def game_changes(events: DataFrame, parity: bool = False) -> DataFrame:
     """Last change of each game as index or delete. With `parity` deletes are dropped, as a filter that asks for the
     state of a document that is gone would do."""
-    rows = events.where(F.col("op").isin(list(OPERATIONS["game"])))
-    doc = F.col("full_document")
-    fit = F.coalesce(eligible(doc["status"], doc["source"], doc["players"]), F.lit(False))
-    return last_per_document(rows.where(fit if parity else fit | (F.col("op") == DELETE))).withColumn("action", action(F.col("op"), F.lit(False)))
+    return last_per_document(events.where(counted_games(events, parity))).withColumn("action", action(F.col("op"), F.lit(False)))
+
+
+def counted(events: DataFrame, collection: str, longest: int | None = None) -> Column:
+    """Which events are changes of the other collections; the length is asked of documents that are indexed."""
+    known = events["op"].isin(list(OPERATIONS[collection]))
+    return known if longest is None else known & ((events["op"] == DELETE) | (F.length(events["full_document"]["text"]) <= longest))
 
 
 def changes(events: DataFrame, collection: str, dead: Column, longest: int | None = None) -> DataFrame:
-    """Last change of each document of the other collections; the length is asked of documents that are indexed."""
-    rows = events.where(F.col("op").isin(list(OPERATIONS[collection])))
-    if longest is not None:
-        rows = rows.where((F.col("op") == DELETE) | (F.length("full_document.text") <= longest))
-    return last_per_document(rows).withColumn("action", action(F.col("op"), dead))
+    """Last change of each document of the other collections."""
+    return last_per_document(events.where(counted(events, collection, longest))).withColumn("action", action(F.col("op"), dead))

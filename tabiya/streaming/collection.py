@@ -169,6 +169,10 @@ class Collection:
         ids = self._delta_rows(self.open_deltas()[0]).select("_id").distinct() if ids is None else ids
         return ids, self._shown(merged.join(ids, "_id", "left_semi"))
 
+    def moments(self) -> DataFrame:
+        """`_id`, `_at` and each `_at_<column>` of every document, also of deleted and of unknown ones."""
+        return self._laid_over().select("_id", "_at", *[f"_at_{c}" for c in self.updatable])
+
     def snapshot(self) -> DataFrame:
         """The newest version of each document, deleted ones as rows with `deleted`."""
         rows = self._laid_over().where("_at IS NOT NULL")
@@ -182,6 +186,10 @@ class Collection:
         """_id of the documents that some deltas are about."""
         return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/delta={d}" for d in sorted(deltas)]).select("_id").distinct()
 
+    def delta_rows(self, deltas: set[str]) -> int:
+        """How many changes some deltas hold, from the footers of their files."""
+        return self._delta_rows(sorted(deltas)).count()
+
     # Writing
 
     def apply(self, changes: DataFrame, batch: int = 0, run: str | None = None) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql.types import BooleanType, LongType, StructType, TimestampType
 
 from tabiya.functions import games as g
 from tabiya.operators import translate as tr
-from tabiya.operators.changes import DELETE, INDEX, UPDATE, action_counts
+from tabiya.operators.changes import DELETE, INDEX, UPDATE, action, action_counts
 from tabiya.operators.enrich import bot_accounts, looked_up, with_bot_flags, with_chapters, with_topic
 from tabiya.operators.fulltext import TextIndex
 from tabiya.sources import scans
@@ -32,6 +32,7 @@ from tabiya.sources.collections import SPECS
 from tabiya.sources.intervals import interval_stream
 from tabiya.sources.shared import run_id
 from tabiya.streaming.collection import Collection
+from tabiya.streaming.guard import Guard
 from tabiya.streaming.ingest import ingest
 
 Tables = Callable[[str], DataFrame]
@@ -117,6 +118,12 @@ class Job:
         found = self.changes(self.records(tables, since, until), tables)
         return found if self.log is None else found.unionByName(self.log(tables, since, until), allowMissingColumns=True)
 
+    def guard(self, events: DataFrame, horizon: timedelta, seed: bool) -> Guard:
+        """What a stream of the job's events remembers: events that are no changes of the collection don't count."""
+        counts = scans.counted_games(events, self.parity) if self.name == "game" else scans.counted(events, self.name, self.longest)
+        dead = F.lit(False) if self.name == "game" else self.dead(F.col("full_document"))
+        return Guard(counts, action(F.col("op"), dead) == DELETE, horizon=horizon, seed=seed)
+
     def events(self, events: DataFrame, tables: Tables) -> DataFrame:
         """The same of change events (op, cluster_time, seq, doc_id, full_document)."""
         if self.name == "game":
@@ -215,9 +222,14 @@ def watch_intervals(job: Job, tables: Tables, collection: Collection, checkpoint
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def watch(job: Job, events: DataFrame | None, tables: Tables, collection: Collection, checkpoint: str, since: object = None, every: str | None = None, dry_run: Callable | None = None, until: datetime | None = None) -> StreamingQuery:
+def watch(
+    job: Job, events: DataFrame | None, tables: Tables, collection: Collection, checkpoint: str, since: object = None, every: str | None = None, dry_run: Callable | None = None, until: datetime | None = None,
+    remember: timedelta | None = None, seed: bool = False,
+) -> StreamingQuery:
     """A job's change events as a stream (see `ingest`); the operations and lengths that count are the job's. Jobs that
-    have no events, as that of studies, scan consecutive intervals until `until` instead."""
+    have no events, as that of studies, scan consecutive intervals until `until` instead. With `remember`, changes that
+    the stream had within that time, or newer ones of the same document, are dropped before they are written."""
     if job.log is not None:
         return watch_intervals(job, tables, collection, checkpoint, since, until, every, dry_run)
-    return ingest(events, collection, lambda batch: job.events(batch, tables), checkpoint, since, dry_run, every, last_only=False)
+    guard = None if remember is None else job.guard(events, remember, seed)
+    return ingest(events, collection, lambda batch: job.events(batch, tables), checkpoint, since, dry_run, every, last_only=False, guard=guard)
