@@ -87,7 +87,7 @@ UNION ALL SELECT 'flags', _id FROM v WHERE rated AND perf IN (6, 11) AND analyse
 def keyword_lookup(spark, d):
     """Users from lists, flags from bitmaps, with the changes since the base laid over them."""
     collection = changed_games(spark, d)
-    index = KeywordIndex(spark, new_path(spark, "keywords")).build(collection.base_documents())
+    index = KeywordIndex(spark, new_path(spark, "keywords")).follow(collection)
     asked = {"pair": GameQuery(user1="u899", user2="u7"), "user": GameQuery(user1="u5"), "winner": GameQuery(winner="u11"), "flags": GameQuery(rated=True, perf=[6, 11], analysed=True), "both": GameQuery(user1="u5", rated=True, turns=(40, None))}
     return reduce(DataFrame.unionAll, [matching(collection, index, q).select(F.lit(name).alias("asked"), "_id") for name, q in asked.items()])
 
@@ -96,7 +96,7 @@ def keyword_lookup(spark, d):
 def keyword_count(spark, d):
     """Counted in bitmaps, and in the changes since."""
     collection = changed_games(spark, d)
-    index = KeywordIndex(spark, new_path(spark, "keywords")).build(collection.base_documents())
+    index = KeywordIndex(spark, new_path(spark, "keywords")).follow(collection)
     return matching_count(collection, index, GameQuery(rated=True, perf=[6, 11]))
 
 

@@ -161,6 +161,12 @@ class Collection:
         """The documents of the newest base, without open deltas."""
         return self._shown(self._base_rows(self.manifest()))
 
+    def bucket_documents(self, rows: list[Row]) -> DataFrame:
+        """The documents of some buckets of a manifest, with `_bucket`."""
+        paths = [f"{self.path}/data={r.data}/_bucket={r.bucket}" for r in rows]
+        found = self.spark.read.schema(StructType([*self.stored.fields]).add("_bucket", IntegerType())).option("basePath", self.path).parquet(*paths)
+        return found.where("NOT deleted").select(*[c for c in self.schema.names if c not in ("version", "deleted")], "_bucket")
+
     def touched_documents(self) -> tuple[DataFrame | None, DataFrame | None]:
         """The ids that open deltas are about, and those of these documents that are there, as they now are."""
         _, ids, merged = self._layers()

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -28,7 +29,7 @@ def test_lookups_equal_scans(spark, tmp_path):
     collection = Collection(spark, str(tmp_path / "games"), jobs.GAME.schema(), (), None, buckets=4)
     collection.apply(stamped(rows(range(300), 0)))
     collection.compact()
-    index = KeywordIndex(spark, str(tmp_path / "keywords")).build(collection.base_documents())
+    index = KeywordIndex(spark, str(tmp_path / "keywords")).follow(collection)
     asked = [
         GameQuery(user1="ann"), GameQuery(user1="ann", user2="bob"), GameQuery(user1="cat", user2="cat"), GameQuery(rated=True, perf=[1, 3]), GameQuery(status=34, source=1), GameQuery(status=31, analysed=False, source=3, clock_inc=3, winner_color=2),
         GameQuery(winner="bob", loser="ann"), GameQuery(white_user="ANN", black_user="bob", turns=(10, 60)), GameQuery(user1="bob", perf=[2], rated=True), GameQuery(turns=(1, 5)), GameQuery(user1="nobody"),
@@ -48,3 +49,39 @@ def test_lookups_equal_scans(spark, tmp_path):
     collection.apply(stamped(rows([*range(0, 40), *range(300, 310)], 1)))
     collection.apply(stamped(rows(range(50, 60), 2)).withColumn("action", F.lit(DELETE)))
     same([asked[i] for i in (1, 3, 6, 8)])
+    collection.compact()
+    with pytest.raises(ValueError):
+        matching(collection, index, asked[0])
+    index.follow(collection)
+    same([asked[i] for i in (0, 3, 6)])
+
+
+def test_only_rewritten_buckets_are_indexed_anew(spark, tmp_path):
+    spec = SPECS["game"]
+    stored = StructType([*spec.schema.fields, StructField("seq", LongType()), StructField("action", StringType())])
+    collection = Collection(spark, str(tmp_path / "games"), jobs.GAME.schema(), (), None, buckets=16)
+
+    def applied(ids, seq, rated):
+        own = lambda i: {"_id": str(i), "status": 30, "perf": 1, "rated": rated, "white_user": f"u{i % 7}", "black_user": "v", "date": i}
+        rows = spark.createDataFrame([(*[own(i).get(f.name) for f in spec.schema.fields], seq, INDEX) for i in ids], stored)
+        collection.apply(rows.withColumn("version", F.struct(F.timestamp_seconds(F.lit(0)).alias("t"), F.col("seq"))).drop("seq"))
+        return collection.compact()
+
+    applied(range(400), 0, True)
+    index = KeywordIndex(spark, str(tmp_path / "keywords")).follow(collection)
+    assert len(index.used) == 16 and {p for p, _ in index.used} == {0}
+    changed, rated = applied([3], 1, False), set(map(str, range(400))) - {"3"}
+    index.follow(collection)
+    assert len(changed) == 1 and [home for part, home in index.used if part == 1] == changed
+    assert index._part("numbers", 1).count() == collection.base_documents().join(index._part("numbers", 1), "_id", "left_semi").count() < 80
+    found = lambda query: {r["_id"] for r in matching(collection, index, query).collect()}
+    assert found(GameQuery(rated=True)) == rated and matching_count(collection, index, GameQuery(rated=True)).first()["count"] == 399
+    assert found(GameQuery(user1="u3", rated=False)) == {"3"} and found(GameQuery(white_user="u3", rated=True)) == {str(i) for i in range(400) if i % 7 == 3 and i != 3}
+    assert index.follow(collection).parts() == [0, 1]  # nothing new, no part
+    for seq in range(2, 6):  # small parts are taken over, so that few are in use
+        applied([seq * 31], seq, False)
+        index.follow(collection)
+        rated -= {str(seq * 31)}
+    assert found(GameQuery(rated=True)) == rated and len({p for p, _ in index.used}) <= 4
+    index.drop_unused(collection)
+    assert set(index.parts()) == {p for p, _ in index.used} and found(GameQuery(rated=True)) == rated
