@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timezone
 
 from pyspark.sql import Window
@@ -165,12 +166,17 @@ def backfill_newest_first(spark, d):
     return scans.games(records(spark, d), at(LOW), at(HIGH), newest_first=True).limit(50).select("_id", "created")
 
 
+#: Records of a file of the exported stream, about.
+EXPORT_ROWS = 1 << 18
+
+
 @query("csv_export_stream", RECORDS_SQL + f"SELECT _id, average_rating, uids, duration FROM (SELECT {CSV_SQL} FROM p WHERE status >= 30)")
 def csv_export_stream(spark, d):
-    """A stream of game records exported as CSV, batch by batch, and read back."""
+    """A stream of game records exported as CSV in three batches, and read back; files are of a size, however many."""
     source, out = new_path(spark, "csv-source"), new_path(spark, "csv-stream")
-    records(spark, d).where(F.col("status") >= 30).repartition(3, "_id").write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = max(3, math.ceil(table(spark, d, "orders").count() / EXPORT_ROWS))
+    records(spark, d).where(F.col("status") >= 30).repartition(files, "_id").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", math.ceil(files / 3)).parquet(source)
     export_stream(stream, out, f"{out}-checkpoint", tr.game_csv).awaitTermination()
     names = tr.game_csv(spark.read.parquet(source)).columns
     back = exported(spark, out, ", ".join(f"`{c}` string" for c in names))

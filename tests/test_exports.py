@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from oracle import SMALL
+from pyspark.sql import functions as F
 
 from tabiya.sources import sinks
 from tabiya.sources.shared import read_text, write_text
@@ -82,3 +84,14 @@ def test_a_small_file_is_whole_or_absent(spark, tmp_path):
     assert read_text(spark, path) == "two" and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["small"]
     open(path, "w").close()
     assert read_text(spark, path) is None
+
+
+def test_files_of_an_exported_stream_do_not_grow_with_it(spark, tmp_path, monkeypatch):
+    from tabiya.plans import jobs as plans
+
+    monkeypatch.setattr(plans, "new_path", lambda spark, label: str(tmp_path / label))
+    monkeypatch.setattr(plans, "EXPORT_ROWS", 100, raising=False)
+    found = plans.csv_export_stream(spark, SMALL).count()
+    per_file = [r["count"] for r in spark.read.parquet(str(tmp_path / "csv-source")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == found and max(per_file) < found / 5
+    assert len(list((tmp_path / "csv-stream").glob("part=*"))) == 3
