@@ -11,7 +11,7 @@ from tabiya.operators.changes import DELETE, INDEX, UPDATE
 from tabiya.sources.scans import change_log
 from tabiya.streaming import jobs
 from tabiya.streaming.collection import Collection
-from tabiya.streaming.guard import SETTINGS, Guard
+from tabiya.streaming.guard import SETTINGS, Guard, newer_only, settings
 from tabiya.streaming.ingest import ingest
 
 EVENTS = "doc_id string, cluster_time long, seq int, op string, other string, value int, likes int, has_value boolean, has_likes boolean"
@@ -131,3 +131,23 @@ def test_versions_that_can_not_be_guarded(spark):
         from tabiya.streaming.guard import newer_only
 
         newer_only(events, Guard())
+
+
+def test_python_sees_three_values_of_an_event_and_gives_it_back_whole(spark, tmp_path):
+    schema = spark.createDataFrame([], "doc_id long, cluster_time timestamp, seq long, n long, b byte, f float, x double, d decimal(20,3), t timestamp_ntz, day date, raw binary, s string, tags array<string>, m map<string,int>, doc struct<a:long,inner:struct<v:string>>").schema
+    at = datetime(2024, 1, 16, 1, 2, 3, 456789)
+    rows = [
+        (1, at, 1, (1 << 62) + 1, -1, 0.1, float("nan"), None, at, at.date(), b"\\x00\\xff", "", ["a", None], {"k": None}, ((1 << 60) + 1, ("v",))),
+        (1, at, 2, None, None, None, float("-inf"), None, None, None, None, None, None, None, None),
+        (2, None, -5, -(1 << 63), 127, None, 1e-310, None, None, None, b"", "\\u2028\\n", [], {}, (None, (None,))),
+        (2, None, -6, 0, 0, None, None, None, None, None, None, "late", None, None, (None, None)),
+    ]
+    spark.createDataFrame(rows, schema).withColumn("d", F.when(F.col("seq") > 0, F.lit("12345678901234567.120").cast("decimal(20,3)"))).coalesce(1).write.parquet(str(tmp_path / "log"))
+    stream, out = change_log(spark, str(tmp_path / "log"), schema, stream=True), str(tmp_path / "out")
+    with settings(spark):
+        passed = newer_only(stream, Guard())
+        passed.writeStream.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "c")).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    key = lambda r: (r.doc_id, r.seq)
+    got = sorted(spark.read.parquet(out).collect(), key=key)
+    want = sorted((r for r in spark.read.schema(schema).parquet(str(tmp_path / "log")).collect() if r.s != "late"), key=key)
+    assert repr(got) == repr(want)
