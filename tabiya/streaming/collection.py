@@ -35,9 +35,10 @@ from tabiya.sources.shared import completed, read_text, write_text
 
 #: Changes with one version are ordered as a batch is: whole documents, partial updates, deletions.
 ORDER = {UPDATE: 1, DELETE: 2}
-#: Documents of a bucket, when a collection is dealt into buckets; buckets at most; a bucket may grow by this factor
-#: before all are dealt anew. Ids that may be broadcast; bits of the filter of more ids than that, at most.
-BUCKET_ROWS, MOST_BUCKETS, GROWTH = 500_000, 1 << 14, 4
+#: Documents of a bucket and bytes of its files, when a collection is dealt into buckets; buckets at most; a bucket may
+#: grow by this factor before all are dealt anew. Ids that may be broadcast; bits of the filter of more ids than that, at
+#: most.
+BUCKET_ROWS, BUCKET_BYTES, MOST_BUCKETS, GROWTH = 500_000, 1 << 26, 1 << 14, 4
 BROADCAST_IDS, FILTER_BITS = 1_000_000, 1 << 27
 #: A manifest's rows: a bucket, the compaction that wrote it, how many buckets there are, documents in it, and quantiles
 #: of the column that files are sorted by.
@@ -219,9 +220,10 @@ class Collection:
         if not seen and not old:
             return []
         changes, before = self._delta_rows(open_), old[0].buckets if old else 0
-        rows_in_all = sum(r.rows for r in old) + changes.count()
-        fitting = min(MOST_BUCKETS, 1 << max(0, -(-rows_in_all // BUCKET_ROWS) - 1).bit_length())
-        wanted = buckets or self.buckets or (fitting if not before or rows_in_all > GROWTH * BUCKET_ROWS * before else before)
+        rows_in_all, bytes_in_all = sum(r.rows for r in old) + changes.count(), self._bytes(old, open_)
+        full = max(-(-rows_in_all // BUCKET_ROWS), -(-bytes_in_all // BUCKET_BYTES))  # buckets that would be full
+        fitting = min(MOST_BUCKETS, 1 << max(0, full - 1).bit_length())
+        wanted = buckets or self.buckets or (fitting if not before or full > GROWTH * before else before)
         bucket, kept = bucket_of(wanted), {}
         if wanted == before:
             touched = changes.select(bucket.alias("b"))
@@ -239,6 +241,18 @@ class Collection:
         new.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base={n}")
         return sorted(r.bucket for r in self.manifest(n) if r.data == n)
 
+    def _bytes(self, manifest: list[Row], deltas: list[str]) -> int:
+        """Of the files of a base's buckets and of some deltas."""
+        path, files = self._files()
+        length = lambda name: files.getContentSummary(path(f"{self.path}/{name}")).getLength()
+        used, found = {f"data={r.data}/_bucket={r.bucket}" for r in manifest}, 0
+        for n in {r.data for r in manifest}:
+            listed = files.listFiles(path(f"{self.path}/data={n}"), True)
+            while listed.hasNext():
+                file = listed.next()
+                found += file.getLen() if f"data={n}/{file.getPath().getParent().getName()}" in used else 0
+        return found + sum(length(f"delta={d}") for d in deltas)
+
     def _write_buckets(self, rows: DataFrame, n: int) -> None:
         order = [F.col("_bucket"), *([F.col(self.layout.sort).desc_nulls_last()] if self.layout and self.layout.sort else [])]
         codec = self.layout.compression if self.layout else "snappy"

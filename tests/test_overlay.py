@@ -167,3 +167,18 @@ def test_buckets_follow_the_documents(spark, tmp_path, monkeypatch):
         sizes.append(collection.manifest()[0].buckets)
     assert sizes == [1, 1, 32, 32] and collection.documents().count() == 1001
     assert all(r.marks is None for r in collection.manifest())
+
+
+def test_buckets_follow_the_bytes_of_wide_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(co, "BUCKET_BYTES", 20_000)
+    collection = _collection(spark, str(tmp_path / "wide"))
+    rng, sizes = random.Random(3), []
+    for batch, n in ((0, 100), (1, 10), (2, 700)):
+        rows = [(f"d{batch}-{i}", rng.randbytes(500).hex(), 1, 1, batch, INDEX, True, True) for i in range(n)]
+        collection.apply(spark.createDataFrame(rows, CHANGES), batch, "run")
+        written = collection.compact()
+        sizes.append(collection.manifest()[0].buckets)
+        if batch == 1:
+            assert len(written) < sizes[-1]
+    assert sizes[0] == sizes[1] >= 4 and sizes[2] > sizes[1]
+    assert collection.documents().count() == 810 and max(r.rows for r in collection.manifest()) < 100
