@@ -54,3 +54,16 @@ def test_common_words_are_tried_first_and_are_the_same():
     for text in texts:
         assert words.words_of(text) == words.regex.findall(slow, text, words.regex.V1)
     assert re.fullmatch(r"[\w.']+", words.words_of("don't")[0])
+
+
+def test_lengths_are_dealt_over_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "TASK_ROWS", 100)
+    docs = spark.createDataFrame([(f"d{i}", "two words" if i % 3 else "", ["b", "the", "", "c c"]) for i in range(300)], "_id string, text string, many array<string>")
+    many = docs.withColumn("many", F.transform("many", lambda t: F.struct(t.alias("t"))))
+    make = lambda rows: fulltext.postings(rows, {"text": F.col("text")}).plus(fulltext.element_postings(rows, "many", {"many.t": lambda c: c["t"]})).plus(fulltext.element_values(rows, "many", {"many.=t": lambda c: c["t"]}))
+    TextIndex(spark, str(tmp_path / "index"), make).build(many)
+    stored = spark.read.parquet(str(tmp_path / "index" / "lengths=0-0"))
+    per_file = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) >= 10 and max(per_file) <= 150
+    found = {(r["_id"], r.field): (r.n_docs, r.total) for r in stored.collect()}
+    assert len(found) == stored.count() == 800 and found["d1", "text"] == (1, 2) and found["d0", "many.t"] == (2, 3) and found["d0", "many.=t"] == (4, 4)
