@@ -15,6 +15,7 @@ are about are taken out and asked by themselves.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from tabiya.operators.search import GameQuery, count
 from tabiya.sources.shared import completed
-from tabiya.streaming.collection import Collection
+from tabiya.streaming.collection import BROADCAST_IDS, Collection
 
 #: Fields of games that have bitmaps, and those that have lists.
 FLAGS, USERS = ("perf", "status", "source", "rated", "winner_color", "analysed", "clock_inc"), ("white_user", "black_user")
@@ -165,18 +166,41 @@ def asked_of_lists(query: GameQuery) -> tuple[dict[str, list[str]], list[list[tu
     return conditions, wanted, whole
 
 
+def _named(documents: DataFrame, queries: Mapping[str, GameQuery]) -> DataFrame:
+    """asked and _id: a row for each query that a document meets, by the query's name, in one pass."""
+    met = F.filter(F.array(*[F.when(q.predicate(), F.lit(name)) for name, q in queries.items()]), lambda name: name.isNotNull())
+    return documents.select(F.explode(met).alias("asked"), "_id")
+
+
+def matching_each(collection: Collection, index: KeywordIndex, queries: Mapping[str, GameQuery]) -> DataFrame:
+    """asked and _id of the games that match each of some queries, by the queries' names. Changes are merged and asked
+    once for all of them, as are the base's documents where lists and bitmaps don't answer the whole question; `index`
+    has followed the collection's newest base."""
+    asked = {name: asked_of_lists(q) for name, q in queries.items()}
+    looked = {name: q for name, q in queries.items() if any(asked[name][:2])}
+    others = {name: q for name, q in queries.items() if name not in looked}
+    parts = [_named(collection.documents(), others)] if others else []
+    if looked:
+        index.at(collection)
+        ids = lambda whole: [index.ids(*asked[name][:2]).select(F.lit(name).alias("asked"), "_id") for name in looked if asked[name][2] == whole]
+        found, partly = ids(True), ids(False)
+        if partly:
+            left = reduce(DataFrame.unionByName, partly)
+            few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+            rows = collection.base_documents().join(F.broadcast(left) if few else left, "_id")
+            met = [(F.col("asked") == name) & q.predicate() for name, q in looked.items() if not asked[name][2]]
+            found.append(rows.where(reduce(Column.__or__, met)).select("asked", "_id"))
+        rows = reduce(DataFrame.unionByName, found)
+        touched, changed = collection.touched_documents()
+        parts.append(rows if touched is None else rows.join(touched, "_id", "left_anti").select("asked", "_id"))
+        if changed is not None:
+            parts.append(_named(changed, looked))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def matching(collection: Collection, index: KeywordIndex, query: GameQuery) -> DataFrame:
     """_id of the games that match; `index` has followed the collection's newest base."""
-    conditions, wanted, whole = asked_of_lists(query)
-    if not conditions and not wanted:
-        return query.matches(collection.documents()).select("_id")
-    found = index.at(collection).ids(conditions, wanted)
-    touched, changed = collection.touched_documents()
-    if touched is not None:
-        found = found.join(touched, "_id", "left_anti")
-    if not whole:
-        found = query.matches(collection.base_documents().join(found, "_id", "left_semi")).select("_id")
-    return found if changed is None else found.unionByName(query.matches(changed).select("_id"))
+    return matching_each(collection, index, {"": query}).select("_id")
 
 
 def matching_count(collection: Collection, index: KeywordIndex, query: GameQuery) -> DataFrame:

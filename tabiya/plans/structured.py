@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabiya.functions import predicates as p
 from tabiya.operators.changes import DELETE, INDEX
-from tabiya.operators.keywords import KeywordIndex, matching, matching_count
+from tabiya.operators.keywords import KeywordIndex, matching_count, matching_each
 from tabiya.operators.paging import newest_page, page
 from tabiya.operators.search import ChapterFilter, GameQuery, StudyQuery, count, search
 from tabiya.plans.standins import GAMES_SQL, STUDIES_SQL, Catalogue, games, stored_index, studies, table
@@ -89,7 +86,7 @@ def keyword_lookup(spark, d):
     collection = changed_games(spark, d)
     index = KeywordIndex(spark, new_path(spark, "keywords")).follow(collection)
     asked = {"pair": GameQuery(user1="u899", user2="u7"), "user": GameQuery(user1="u5"), "winner": GameQuery(winner="u11"), "flags": GameQuery(rated=True, perf=[6, 11], analysed=True), "both": GameQuery(user1="u5", rated=True, turns=(40, None))}
-    return reduce(DataFrame.unionAll, [matching(collection, index, q).select(F.lit(name).alias("asked"), "_id") for name, q in asked.items()])
+    return matching_each(collection, index, asked)
 
 
 @query("keyword_count", CHANGED_SQL + "SELECT count(*) AS count FROM v WHERE rated AND perf IN (6, 11)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tabiya.operators.changes import DELETE, INDEX
-from tabiya.operators.keywords import KeywordIndex, asked_of_lists, matching, matching_count
+from tabiya.operators.keywords import KeywordIndex, asked_of_lists, matching, matching_count, matching_each
 from tabiya.operators.search import GameQuery, count
 from tabiya.sources.collections import SPECS
 from tabiya.streaming import jobs
@@ -85,3 +85,27 @@ def test_only_rewritten_buckets_are_indexed_anew(spark, tmp_path):
     assert found(GameQuery(rated=True)) == rated and len({p for p, _ in index.used}) <= 4
     index.drop_unused(collection)
     assert set(index.parts()) == {p for p, _ in index.used} and found(GameQuery(rated=True)) == rated
+
+
+def test_several_queries_merge_the_changes_once(spark, tmp_path):
+    collection = jobs.GAME.collection(spark, str(tmp_path / "games"))
+    names = SPECS["game"].schema.names
+
+    def applied(ids, seq, **more):
+        given = {"rated": F.col("id") % 2 == 0, "perf": F.col("id") % 3, "turns": F.col("id") % 90, "white_user": F.concat(F.lit("u"), (F.col("id") % 7).cast("string")), "date": F.col("id")} | more
+        kinds = {f.name: f.dataType for f in SPECS["game"].schema.fields}
+        columns = [(F.col("id").cast("string") if c == "_id" else given.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in names]
+        version = F.struct(F.timestamp_seconds(F.lit(0)).alias("t"), F.lit(seq).cast("long").alias("seq")).alias("version")
+        collection.apply(spark.range(*ids).select(*columns, version, F.lit(INDEX).alias("action")))
+
+    applied((0, 200), 0)
+    collection.compact(buckets=4)
+    applied((150, 220), 1, rated=F.lit(True))
+    index = KeywordIndex(spark, str(tmp_path / "keywords")).follow(collection)
+    asked = {"user": GameQuery(user1="u3"), "flags": GameQuery(rated=True, perf=[1]), "both": GameQuery(user1="u3", turns=(40, None)), "range": GameQuery(turns=(80, None)), "won": GameQuery(winner="u3")}
+    found = matching_each(collection, index, asked)
+    want = {(name, r["_id"]) for name, q in asked.items() for r in q.matches(collection.documents()).collect()}
+    rows = [(r.asked, r["_id"]) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 100
+    lines = lambda *names: sum("max_by(" in line for line in matching_each(collection, index, {k: asked[k] for k in names})._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert lines("user", "both", "won") == lines("user") == 1
